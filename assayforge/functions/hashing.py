@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 
 
 def key_string(*keys: Column | str) -> Column:
-    """The key columns as one string; a null part is written as ``~``."""
-    parts = [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("~")) for k in keys]
-    return parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
+    """The key columns as one string joined by ``|``; a null part is written as ``~``."""
+    parts = []
+    for key in keys:
+        column = F.col(key) if isinstance(key, str) else key
+        parts += [F.lit("|"), F.coalesce(column.cast("string"), F.lit("~"))]
+    return parts[1] if len(keys) == 1 else F.concat(*parts[1:])
 
 
 def seeded_hash(*keys: Column | str, seed: int | Column) -> Column:
     """32 hexadecimal digits, uniform over the keys."""
-    seed = seed if isinstance(seed, Column) else F.lit(seed)
-    return F.md5(F.concat_ws("|", key_string(*keys), seed.cast("string")))
+    tail = F.concat(F.lit("|"), seed.cast("string")) if isinstance(seed, Column) else F.lit(f"|{seed}")
+    return F.md5(F.concat(key_string(*keys), tail))
 
 
 def hex_to_long(digits: Column) -> Column:

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from assayforge.functions.hashing import seeded_hash
 from assayforge.functions.numeric import ceil_div
-from assayforge.operators.ranking import BUCKET_DIGITS, hash_rank
+from assayforge.operators.ranking import hash_rank
 
+_CUT_DIGITS = 5  # about a million prefixes, so the one that decides holds a millionth of the rows
 _FULL_DIGITS = 32
 
 
@@ -33,7 +34,7 @@ def hash_cutoff(df: DataFrame, *, key: Sequence[str], seed: int, n: int | None =
     group = list(within)
     digests = df.select(*group, seeded_hash(*key, seed=seed).alias("_digest"))
     cut = None
-    for digits in (BUCKET_DIGITS, 2 * BUCKET_DIGITS, _FULL_DIGITS):
+    for digits in (_CUT_DIGITS, _FULL_DIGITS):
         prefix = F.substring("_digest", 1, digits).alias("cutoff")
         if cut is None:
             counts = digests.groupBy(*group, prefix).agg(F.count("*").alias("n"))

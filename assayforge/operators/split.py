@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from assayforge.functions.hashing import seeded_hash
 from assayforge.operators.sample import hash_cutoff
-from assayforge.operators.skew import lookup_join
+from assayforge.operators.skew import fits_broadcast, spread_join
 from assayforge.schemas import TRAIN, VALIDATION
+from assayforge.session import pinned
 
 HELD_OUT_FRACTION = 0.03
 
@@ -24,10 +25,17 @@ def distinct_keys(df: DataFrame, columns: Sequence[str], out: str = "block") ->
     )
 
 
+def held_out_cutoff(df: DataFrame, columns: Sequence[str], *, fraction: float = HELD_OUT_FRACTION,
+                    seed: int) -> Column:
+    """Digest up to which keys are held out, as a scalar; the distinct keys are gathered once."""
+    keys = pinned(distinct_keys(df, columns))
+    return hash_cutoff(keys, key=["block"], seed=seed, fraction=fraction).scalar()
+
+
 def held_out_keys(df: DataFrame, columns: Sequence[str], *, fraction: float = HELD_OUT_FRACTION, seed: int,
                   out: str = "block") -> DataFrame:
     """``ceil(fraction * n)`` of the ``n`` distinct keys, chosen by seeded hash."""
-    keys = distinct_keys(df, columns, out)
+    keys = pinned(distinct_keys(df, columns, out))
     cut = hash_cutoff(keys, key=[out], seed=seed, fraction=fraction)
     return keys.where(seeded_hash(out, seed=seed) <= cut.scalar())
 
@@ -39,25 +47,33 @@ def any_held_out(columns: Sequence[str], seed: int, cutoff: Column) -> Column:
 
 
 def group_split(df: DataFrame, columns: Sequence[str], *, fraction: float = HELD_OUT_FRACTION, seed: int,
-                out: str = "subset") -> DataFrame:
+                out: str = "subset", keys_from: DataFrame | None = None) -> DataFrame:
     """Adds 1 (validation) to rows touching a held-out key and 0 (train) to the others.
 
+    The keys are those of ``df``, or of ``keys_from`` where a cheaper scan holds the same columns.
     Held-out keys are those up to a hash cutoff, so a row decides from its own keys and one scalar:
     the rows are neither joined nor shuffled, however many keys are held out.
     """
-    cut = hash_cutoff(distinct_keys(df, columns), key=["block"], seed=seed, fraction=fraction)
-    held = any_held_out(columns, seed, cut.scalar())
+    cut = held_out_cutoff(df if keys_from is None else keys_from, columns, fraction=fraction, seed=seed)
+    held = any_held_out(columns, seed, cut)
     return df.withColumn(out, F.when(held, VALIDATION).otherwise(TRAIN).cast("tinyint"))
 
 
 def flag_members(df: DataFrame, columns: Sequence[str], keys: DataFrame, key: str, out: str = "is_member") -> DataFrame:
-    """Adds whether any of ``columns`` is in the given key set."""
+    """Adds whether any of ``columns`` is in the given key set.
+
+    The key set is written out once, then broadcast if its counted size allows; a larger one is
+    joined with hot keys spread.
+    """
+    members = pinned(keys.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct())
+    small = fits_broadcast(members)
     marked, flags = df, []
     for i, column in enumerate(columns):
-        flag = f"_in{i}"
-        members = keys.select(F.col(key).alias(column)).where(F.col(column).isNotNull()).distinct()
-        marked = lookup_join(marked, members.withColumn(flag, F.lit(True)), [column])
-        flags.append(F.coalesce(F.col(flag), F.lit(False)))
+        found = members.select(F.col("_key").alias(column), F.lit(True).alias(f"_in{i}"))
+        marked = (
+            marked.join(F.broadcast(found), column, "left") if small else spread_join(marked, found, [column], "left")
+        )
+        flags.append(F.coalesce(F.col(f"_in{i}"), F.lit(False)))
     return marked.withColumn(out, reduce(or_, flags)).select(*df.columns, out)
 
 

@@ -17,9 +17,11 @@ def prepare_dataset(spark: SparkSession, train: str, test: str, extra: str, out:
                     partitions: int = 20, clean: Callable[[Column], Column] = replace_linker) -> DataFrame:
     """Raw train and test Parquet and extra CSV to the unified dataset."""
     readers.require_paths(spark, train, test, extra)
-    wide_train = unify.pivot_train(readers.read_assays(spark, train, RAW_TRAIN), order_by="id")
+    raw_train = readers.read_assays(spark, train, RAW_TRAIN)
+    wide_train = unify.pivot_train(raw_train, order_by="id")
     wide_test = unify.pivot_test(readers.read_assays(spark, test, RAW_TEST))
-    unified = unify.unify(wide_train, wide_test, readers.read_extra_counts(spark, extra), seed=seed, clean=clean)
+    unified = unify.unify(wide_train, wide_test, readers.read_extra_counts(spark, extra), seed=seed, clean=clean,
+                          blocks=raw_train)
     writers.write_unified(unified, out, seed=seed, partitions=partitions)
     return readers.read_parquet(spark, out, schema=UNIFIED)
 

@@ -65,9 +65,10 @@ def assay_extra(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unified(spark: SparkSession, d: str) -> DataFrame:
-    train = unify.pivot_train(assay_train(spark, d), FLAGS, order_by="place")
+    long_train = assay_train(spark, d)
+    train = unify.pivot_train(long_train, FLAGS, order_by="place")
     test = unify.pivot_test(assay_test(spark, d), STATUSES)
-    return unify.unify(train, test, assay_extra(spark, d), seed=SEED, proteins=FLAGS)
+    return unify.unify(train, test, assay_extra(spark, d), seed=SEED, proteins=FLAGS, blocks=long_train)
 
 
 TRAIN_CTE = f"""train AS (
@@ -195,9 +196,8 @@ def shared_blocks(spark, d):
 def overlap_sizes(spark, d):
     """How many held-out blocks each row touches, counted."""
     lines = table(spark, d, "lineitem").select(*BLOCKS)
-    blocks = split.distinct_keys(lines, BLOCKS)
-    cut = sample.hash_cutoff(blocks, key=["block"], seed=SEED, fraction=split.HELD_OUT_FRACTION)
-    held = [F.when(split.any_held_out([c], SEED, cut.scalar()), F.col(c)) for c in BLOCKS]
+    cut = split.held_out_cutoff(lines, BLOCKS, seed=SEED)
+    held = [F.when(split.any_held_out([c], SEED, cut), F.col(c)) for c in BLOCKS]
     row = F.array(*BLOCKS)
     return (
         lines.select(split.overlap_size(row, F.array_compact(F.array(*held))).alias("n_shared"))

@@ -45,9 +45,10 @@ def ceil_div(n: Column, size: int) -> Column:
     return F.ceil(n / F.lit(size)).cast("long")
 
 
-def uniform_integer(u: Column, low: int, high: int) -> Column:
+def uniform_integer(u: Column, low: int, high: int | Column) -> Column:
     """Integer in [low, high) from a uniform draw."""
-    return (F.lit(low) + F.floor(u * F.lit(high - low))).cast("int")
+    high = high if isinstance(high, Column) else F.lit(high)
+    return (F.lit(low) + F.floor(u * (high - F.lit(low)))).cast("int")
 
 
 def categorical(u: Column, probabilities: list[float]) -> Column:

@@ -30,7 +30,8 @@ MIN_FREQUENCY = 3
 
 
 def document_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", tokenize(F.col("text"), TEXT_PATTERN).alias("tokens"))
+    docs = readers.spread_scan(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", tokenize(F.col("text"), TEXT_PATTERN).alias("tokens"))
 
 
 def document_vocabulary(spark, d):

@@ -103,6 +103,15 @@ def molecules(spark: SparkSession, smiles: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(smiles)), "position long, smiles string")
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all task slots if its scan has fewer splits than slots, else as it is.
+
+    For row-local but heavy work on a few small files; a scan of many files is left alone.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def row_count(df: DataFrame) -> int:
     return df.count()
 

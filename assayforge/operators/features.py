@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel, Pipeline
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -29,23 +29,21 @@ def one_hot_columns(df: DataFrame, column: str, categories: Sequence[str], prefi
     return df.withColumns(flags)
 
 
-def bits_vector(n_bits: int, bits: str, out: str) -> PipelineModel:
-    """Set-bit positions to a sparse 0/1 vector of length ``n_bits``."""
-    to_vector = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(n_bits)], inputCol=f"_{bits}_text", outputCol=out
-    ).setBinary(True).setMinTF(1.0)
-    return PipelineModel([to_vector])
-
-
 def add_bits_vector(df: DataFrame, bits: str, n_bits: int, out: str = "fingerprint") -> DataFrame:
-    text = df.withColumn(f"_{bits}_text", F.col(bits).cast("array<string>"))
-    return bits_vector(n_bits, bits, out).transform(text).drop(f"_{bits}_text")
+    """Adds a sparse 0/1 vector of length ``n_bits`` from the positions of the set bits."""
+    names = [str(i) for i in range(n_bits)]
+    to_vector = CountVectorizerModel.from_vocabulary(names, inputCol="_names", outputCol=out).setBinary(True)
+    return to_vector.transform(df.withColumn("_names", F.col(bits).cast("array<string>"))).drop("_names")
 
 
 def add_array_vector(df: DataFrame, array: str, out: str) -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(array).cast("array<double>")))
 
 
+def assembler(columns: Sequence[str], out: str = "features") -> VectorAssembler:
+    """Stage that puts vectors and numbers side by side in one vector."""
+    return VectorAssembler(inputCols=list(columns), outputCol=out)
+
+
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
-    """Vectors and numbers side by side in one vector."""
-    return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)
+    return assembler(columns, out).transform(df)

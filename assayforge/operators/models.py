@@ -18,11 +18,14 @@ def positive_probability(column: str = "probability") -> Column:
     return F.get(vector_to_array(F.col(column)), 1)
 
 
-def train_random_forest(df: DataFrame, *, features: str = "features", label: str = "binds", trees: int = 100,
-                        seed: int = 42, max_depth: int = 5) -> Model:
-    forest = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, seed=seed,
-                                    maxDepth=max_depth)
-    return forest.fit(df)
+def random_forest(*, features: str = "features", label: str = "binds", trees: int = 100, seed: int = 42,
+                  max_depth: int = 5) -> RandomForestClassifier:
+    return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, seed=seed, maxDepth=max_depth)
+
+
+def train_random_forest(df: DataFrame, **params) -> Model:
+    """A forest fitted on ``df``; parameters as in ``random_forest``."""
+    return random_forest(**params).fit(df)
 
 
 def score(df: DataFrame, model: Model, *, keep: Sequence[str], out: str = "binds") -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
@@ -12,14 +14,18 @@ HOT_SHARE = 1 / 200
 SALTS = 32
 
 
+def _any_null(keys: Sequence[str]) -> Column:
+    return reduce(or_, [F.col(k).isNull() for k in keys])
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; counts no further than that."""
     return df.limit(max_rows + 1).count() <= max_rows
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of all rows: by arithmetic fewer than ``1 / share`` of them."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    """Non-null keys holding more than ``share`` of all rows: fewer than ``1 / share`` of them."""
+    counts = df.where(~_any_null(keys)).groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("total"))
     return counts.where(F.col("_n") > F.lit(share) * total.scalar()).select(*keys)
 
@@ -29,14 +35,14 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     """Equi-join of a large ``left`` with a ``right`` that has one row per key.
 
     Rows of a hot key on the left are dealt to ``salts`` partitions, and only that key's row on the
-    right is repeated for each of them.
+    right is repeated for each of them. Rows with a null key match nothing and are dealt likewise.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how: {how}")
     hot = hot_keys(left, keys, share).withColumn("_hot", F.lit(True))
     salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     dealt = left.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(0)
+        "_salt", F.when(F.col("_hot") | _any_null(keys), salt).otherwise(0)
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = (

@@ -86,8 +86,9 @@ def import_vocabulary_text(spark: SparkSession, path: str, first_id: int = 2) ->
     """
     require_paths(spark, path)
     lines = F.split(F.col("value"), "\r\n|\n|\r")
-    tokens = F.filter(F.transform(lines, F.trim), lambda t: F.length(t) > 0)
-    placed = spark.read.option("wholetext", True).text(path).select(F.posexplode(tokens).alias("i", "token"))
+    stripped = F.transform(lines, lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
+    tokens = F.filter(stripped, lambda t: F.length(t) > 0)
+    placed = spark.read.text(path, wholetext=True).select(F.posexplode(tokens).alias("i", "token"))
     return placed.select("token", (F.col("i") + first_id).cast("int").alias("token_id"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayforge.schemas import PAD_ID
@@ -32,6 +32,16 @@ def tokenize(text: Column, pattern: str = SMILES_PATTERN) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
+def elements(df: DataFrame, array: str, *keep: str, position: str = "position", value: str = "value") -> DataFrame:
+    """One row (keep..., position, value) per array element.
+
+    The outer form and a filter on the position give the same rows as a plain explode, for which
+    Spark adds a filter on the array and so works out a computed array three times.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(position, value))
+    return rows.where(F.col(position).isNotNull())
+
+
 def pad(ids: Column, length: int, on_overflow: str = "error", fill: int = PAD_ID) -> Column:
     """``ids`` filled up to ``length``.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayforge.functions.sequences import elements
 from assayforge.operators.ranking import running_sums
 from assayforge.schemas import LABEL_MISSING
 
@@ -26,7 +27,7 @@ def label_rows(df: DataFrame, labels: Sequence[str], predictions: Sequence[str],
 
 def one_hot_rows(df: DataFrame, label: str, probabilities: str) -> DataFrame:
     """(y, p) for every class of every position: y is 1 for the position's own class."""
-    rows = df.select(label, F.posexplode(probabilities).alias("class", "p"))
+    rows = elements(df, probabilities, label, position="class", value="p")
     return rows.select(F.when(F.col(label) == F.col("class"), 1).otherwise(0).alias("y"), "p")
 
 

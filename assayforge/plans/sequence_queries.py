@@ -12,6 +12,7 @@ from assayforge.functions.hashing import uniform
 from assayforge.functions.sequences import (
     SMILES_PATTERN,
     TEXT_PATTERN,
+    elements,
     pad,
     replace_linker,
     replace_pattern,
@@ -149,7 +150,7 @@ def mlm_mask(spark, d):
 @query(f"""WITH {VOCAB_CTE}
   SELECT id AS token_id, count(*) AS n, round(1 / sqrt(count(*)), 9) AS alpha FROM enc WHERE id >= 2 GROUP BY id""")
 def token_weights(spark, d):
-    ids = encoded_documents(spark, d).select(F.explode("ids").alias("id"))
+    ids = elements(encoded_documents(spark, d), "ids", value="id")
     return losses.token_weights(ids, "id").withColumn("alpha", F.round("alpha", 9))
 
 
@@ -160,8 +161,8 @@ def token_weights(spark, d):
       sum(CASE WHEN label <> -1 THEN -pow(1 - p, 2) * ln(p) ELSE 0 END) AS s FROM p GROUP BY original)
   SELECT round(sum(s / sqrt(n)) / sum(n_selected / sqrt(n)), 9) AS loss FROM per_token WHERE original >= 2""")
 def masked_token_loss(spark, d):
-    rows = masked_documents(spark, d).select("doc_id", F.posexplode("target").alias("pos", "t"))
-    scored = rows.select("t.label", "t.original", uniform("doc_id", "pos", seed=7).alias("p"))
+    rows = masking.target_rows(masked_documents(spark, d), "target", "doc_id")
+    scored = rows.select("label", "original", uniform("doc_id", "position", seed=7).alias("p"))
     loss = losses.masked_token_loss(scored, original="original", label="label", prediction="p")
     return loss.select(F.round("loss", 9).alias("loss"))
 

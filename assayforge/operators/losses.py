@@ -18,6 +18,7 @@ from assayforge.functions.numeric import (
 )
 from assayforge.operators.skew import lookup_join
 from assayforge.schemas import FIRST_TOKEN_ID, LABEL_MISSING, NOT_SELECTED
+from assayforge.session import pinned
 
 EPSILON = 1e-7
 GAMMA = 2.0
@@ -87,7 +88,7 @@ def masked_focal_loss(df: DataFrame, labels: Sequence[str], predictions: Sequenc
     weights = df.groupBy(*group).agg(F.struct(*[
         w.alias(f"l{i}") for i, w in enumerate(_weight_columns(labels, pooled=False))
     ]).alias("_w"))
-    weighted = lookup_join(df, weights, group) if batch else df.withColumn("_w", weights.scalar())
+    weighted = lookup_join(df, pinned(weights), group) if batch else df.withColumn("_w", weights.scalar())
     numerator, denominator = [], []
     for i, (y, term) in enumerate(zip(labels, terms)):
         alpha0, alpha1 = _alpha(F.col(f"_w.l{i}.n0"), F.col(f"_w.l{i}.n1"))

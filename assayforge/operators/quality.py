@@ -72,8 +72,11 @@ def summary(reports: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(n_rows, digest) that do not depend on row order or partitioning; copies count each time."""
+    """(n_rows, digest) that do not depend on row order or partitioning; copies count each time.
+
+    The digest is a sum of row hashes, written as text since it may outgrow 64 bits.
+    """
     return df.agg(
         F.count("*").alias("n_rows"),
-        F.sum(hash_uint32(key_string(*columns)).cast("decimal(20,0)")).cast("decimal(38,0)").alias("digest"),
+        F.sum(hash_uint32(key_string(*columns)).cast("decimal(20,0)")).cast("string").alias("digest"),
     )

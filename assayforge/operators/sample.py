@@ -1,7 +1,7 @@
 """Deterministic sampling, splitting, shuffling and batching.
 
 Exact sample sizes come from a hash cutoff: count rows per digest prefix, find the prefix in which
-the wanted number is reached, look only at that prefix's rows for the exact digest, then filter.
+the wanted number is reached, look inside that prefix alone for the exact digest, then filter.
 The data itself is never shuffled or sorted for it. ``key`` columns must identify a row; should
 they not, all rows of one key fall on the same side.
 """
@@ -18,8 +18,9 @@ from assayforge.functions.hashing import seeded_hash
 from assayforge.functions.numeric import ceil_div
 from assayforge.operators.ranking import hash_rank
 
-_CUT_DIGITS = 5  # about a million prefixes, so the one that decides holds a millionth of the rows
-_FULL_DIGITS = 32
+# Prefix lengths of the successive counts: 4,096 prefixes, then 65,536 within the deciding one, then
+# whole digests of what is left, one row in 2^28 on average.
+_DIGITS = (3, 7, 32)
 
 
 def hash_cutoff(df: DataFrame, *, key: Sequence[str], seed: int, n: int | None = None,
@@ -34,7 +35,7 @@ def hash_cutoff(df: DataFrame, *, key: Sequence[str], seed: int, n: int | None =
     group = list(within)
     digests = df.select(*group, seeded_hash(*key, seed=seed).alias("_digest"))
     cut = None
-    for digits in (_CUT_DIGITS, _FULL_DIGITS):
+    for digits in _DIGITS:
         prefix = F.substring("_digest", 1, digits).alias("cutoff")
         if cut is None:
             counts = digests.groupBy(*group, prefix).agg(F.count("*").alias("n"))

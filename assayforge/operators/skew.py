@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 1 / 200
 SALTS = 32
 
@@ -18,9 +19,12 @@ def _any_null(keys: Sequence[str]) -> Column:
     return reduce(or_, [F.col(k).isNull() for k in keys])
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; counts no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` of text; counts no further."""
+    text = [F.coalesce(F.octet_length(name), F.lit(0)) for name, kind in df.dtypes if kind == "string"]
+    size = F.sum(reduce(add, text)) if text else F.lit(0)
+    seen = df.limit(max_rows + 1).agg(F.count("*").alias("n"), size.alias("bytes")).first()
+    return seen["n"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
@@ -31,15 +35,17 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> Da
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-                salts: int = SALTS, share: float = HOT_SHARE) -> DataFrame:
+                salts: int = SALTS, share: float = HOT_SHARE, hot: DataFrame | None = None) -> DataFrame:
     """Equi-join of a large ``left`` with a ``right`` that has one row per key.
 
     Rows of a hot key on the left are dealt to ``salts`` partitions, and only that key's row on the
     right is repeated for each of them. Rows with a null key match nothing and are dealt likewise.
+    ``hot`` gives the hot keys of ``left`` where they are known already.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how: {how}")
-    hot = hot_keys(left, keys, share).withColumn("_hot", F.lit(True))
+    hot = hot_keys(left, keys, share) if hot is None else hot
+    hot = hot.withColumn("_hot", F.lit(True))
     salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     dealt = left.join(F.broadcast(hot), list(keys), "left").withColumn(
         "_salt", F.when(F.col("_hot") | _any_null(keys), salt).otherwise(0)

@@ -31,12 +31,13 @@ def scored_documents(spark, d):
 
 def scored_lines(spark, d):
     """Three 0/1 targets per line and three independent predictions from one hash of its keys."""
+    keys = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     lines = table(spark, d, "lineitem").select(
         F.array(
             (F.col("l_quantity") > 25).cast("int"), (F.col("l_discount") > 0.05).cast("int"),
             (F.col("l_tax") > 0.04).cast("int"),
         ).alias("bits"),
-        seeded_hash("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", seed=3).alias("digest"),
+        seeded_hash(*keys, seed=3).alias("digest"),
     )
     return lines.select("bits", F.array(*[digest_uniform(F.col("digest"), w) for w in range(3)]).alias("p"))
 
@@ -115,7 +116,7 @@ def ap_cte(by: str | None, name: str = "ap", source: str = "rows_of", score: str
   SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS cnt FROM {name}_ties
   WINDOW w AS (PARTITION BY g ORDER BY s DESC)),
 {name} AS (
-  SELECT g, sum(n) AS n, sum(pos) AS n_positive,
+  SELECT g, sum(n)::BIGINT AS n, sum(pos)::BIGINT AS n_positive,
     CASE WHEN sum(pos) = 0 THEN 0 ELSE sum(pos * tp::DOUBLE / cnt) / sum(pos) END AS average_precision
   FROM {name}_cum GROUP BY g)"""
 

@@ -16,10 +16,9 @@ from assayforge.functions.udfs import batch_scorer
 from assayforge.operators import features, models, scoring, unify, vocabulary
 from assayforge.operators.fingerprint import token_fingerprint
 from assayforge.plans.preparation_queries import DIGITS, ATOMS, STATUSES, TEST_CTE, assay_test
-from assayforge.plans.registry import query, table
+from assayforge.plans.registry import query, spread_table, table
 from assayforge.schemas import LABEL_MISSING
 from assayforge.session import new_folder, pinned
-from assayforge.sources import readers
 from assayforge.streaming import incremental
 
 FOREST_BITS = 1024
@@ -33,7 +32,7 @@ MAX_LENGTH = 128
 
 def document_features(spark, d):
     """Fingerprint bits of the text and one-hot language in one vector."""
-    docs = readers.spread_scan(table(spark, d, "documents").select("doc_id", "lang", "text"))
+    docs = spread_table(spark, d, "documents", "doc_id", "lang", "text")
     tokens = docs.select("doc_id", "lang", tokenize(F.col("text"), TEXT_PATTERN).alias("tokens"))
     bits = token_fingerprint(tokens, "tokens", radius=2, n_bits=FOREST_BITS).drop("tokens")
     vectors = features.add_bits_vector(bits, "bits", FOREST_BITS)

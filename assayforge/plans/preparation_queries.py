@@ -148,7 +148,7 @@ _SPLIT = " OR ".join(f"{c} IN (SELECT block FROM held)" for c in BLOCKS)
 
 
 @query(f"""WITH {held_out_cte('lineitem', BLOCKS)}
-  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN {_SPLIT} THEN 1 ELSE 0 END AS subset
+  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (CASE WHEN {_SPLIT} THEN 1 ELSE 0 END)::TINYINT AS subset
   FROM lineitem""")
 def group_split(spark, d):
     lines = table(spark, d, "lineitem").select(*BLOCKS, "l_linenumber")
@@ -166,7 +166,7 @@ def split_antijoin(spark, d):
 
 @query(f"""WITH {held_out_cte('lineitem', BLOCKS)}
   SELECT count(*) FILTER (WHERE NOT ({_SPLIT})) AS n_train, count(*) FILTER (WHERE {_SPLIT}) AS n_validation,
-    0 AS n_leaked FROM lineitem""")
+    0::BIGINT AS n_leaked FROM lineitem""")
 def split_leakage(spark, d):
     lines = table(spark, d, "lineitem").select(*BLOCKS)
     held = split.held_out_keys(lines, BLOCKS, seed=SEED)
@@ -190,7 +190,7 @@ def shared_blocks(spark, d):
 
 
 @query(f"""WITH {held_out_cte('lineitem', BLOCKS)}
-  SELECT n_shared, count(*) AS n FROM (
+  SELECT n_shared::INTEGER AS n_shared, count(*) AS n FROM (
     SELECT len(list_distinct(list_filter([l_orderkey, l_partkey, l_suppkey], lambda b: list_contains(h.all_held, b))))
       AS n_shared FROM lineitem, (SELECT list(block) AS all_held FROM held) h) GROUP BY n_shared""")
 def overlap_sizes(spark, d):
@@ -262,7 +262,7 @@ def batch_ids(spark, d):
 # --- unified dataset --------------------------------------------------------------------------
 
 @query(f"""WITH {UNIFIED_CTE}
-  SELECT smiles, array_to_string(binds, ',') AS binds, subset, replace(smiles, '[Dy]', '[H]') AS smiles_no_linker
+  SELECT smiles, array_to_string(binds, ',') AS binds, subset::TINYINT AS subset, replace(smiles, '[Dy]', '[H]') AS smiles_no_linker
   FROM unified""")
 def unify_sources(spark, d):
     return unified(spark, d).withColumn("binds", F.array_join(F.col("binds").cast("array<string>"), ","))
@@ -322,7 +322,7 @@ def quality_summary(spark, d):
 
 
 @query(f"""SELECT count(*) AS n_rows, sum({sql_uint32(
-    "event_id::VARCHAR || '|' || user_id::VARCHAR || '|' || event_type || '|' || props")})::DECIMAL(38,0) AS digest
+    "event_id::VARCHAR || '|' || user_id::VARCHAR || '|' || event_type || '|' || props")})::VARCHAR AS digest
   FROM events""")
 def dataset_checksum(spark, d):
     return quality.checksum(table(spark, d, "events"), ["event_id", "user_id", "event_type", "props"])

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assayforge.sources.readers import spread_scan
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -28,6 +30,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table, dealt over all slots when its files are too few to keep them busy."""
+    return spread_scan(table(spark, folder, name).select(*columns))
+
+
 # SQL fragments used by several queries.
 
 def sql_hash(*keys: str, seed: int | str) -> str:

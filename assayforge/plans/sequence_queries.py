@@ -20,7 +20,7 @@ from assayforge.functions.sequences import (
 )
 from assayforge.operators import fingerprint, losses, masking, vocabulary
 from assayforge.plans.preparation_queries import SEED, UNIFIED_CTE, unified
-from assayforge.plans.registry import query, sql_uint32, sql_uniform, table
+from assayforge.plans.registry import query, spread_table, sql_uint32, sql_uniform, table
 from assayforge.schemas import FIRST_TOKEN_ID
 from assayforge.session import new_folder, pinned
 from assayforge.sources import readers, writers
@@ -31,7 +31,7 @@ MIN_FREQUENCY = 3
 
 
 def document_tokens(spark, d):
-    docs = readers.spread_scan(table(spark, d, "documents").select("doc_id", "text"))
+    docs = spread_table(spark, d, "documents", "doc_id", "text")
     return docs.select("doc_id", tokenize(F.col("text"), TEXT_PATTERN).alias("tokens"))
 
 
@@ -50,7 +50,7 @@ _SMILES_TOKENS = "regexp_extract_all(smiles, '" + SMILES_PATTERN + "')"
 VOCAB_CTE = f"""tok AS ({_TOKENS}),
 occ AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM tok),
 vocab AS (
-  SELECT token, row_number() OVER (ORDER BY token) + 1 AS token_id
+  SELECT token, (row_number() OVER (ORDER BY token) + 1)::INTEGER AS token_id
   FROM (SELECT token FROM occ GROUP BY token HAVING count(*) >= {MIN_FREQUENCY})),
 enc AS (SELECT doc_id, pos, coalesce(token_id, 1) AS id FROM occ LEFT JOIN vocab USING (token))"""
 
@@ -92,7 +92,7 @@ def linker_replace(spark, d):
     )
 
 
-@query(f"""SELECT doc_id, len(tokens) AS n_tokens, len(list_distinct(tokens)) AS n_distinct,
+@query(f"""SELECT doc_id, len(tokens)::INTEGER AS n_tokens, len(list_distinct(tokens))::INTEGER AS n_distinct,
     md5(array_to_string(tokens, ' ')) AS digest FROM ({_TOKENS})""")
 def tokenize_counts(spark, d):
     return document_tokens(spark, d).select(
@@ -102,20 +102,20 @@ def tokenize_counts(spark, d):
 
 
 @query(f"""WITH {UNIFIED_CTE}
-  SELECT token, row_number() OVER (ORDER BY token) + 1 AS token_id
+  SELECT token, (row_number() OVER (ORDER BY token) + 1)::INTEGER AS token_id
   FROM (SELECT DISTINCT unnest({_SMILES_TOKENS}) AS token FROM unified)""")
 def molecule_vocab(spark, d):
     tokens = unified(spark, d).select(tokenize(F.col("smiles"), SMILES_PATTERN).alias("tokens"))
     return vocabulary.build_vocabulary(tokens, "tokens")
 
 
-@query(f"""SELECT token, row_number() OVER (ORDER BY token) + 1 AS token_id
+@query(f"""SELECT token, (row_number() OVER (ORDER BY token) + 1)::INTEGER AS token_id
   FROM (SELECT DISTINCT unnest(tokens) AS token FROM ({_TOKENS}))""")
 def vocab(spark, d):
     return vocabulary.build_vocabulary(document_tokens(spark, d), "tokens")
 
 
-@query(f"""SELECT token, row_number() OVER (ORDER BY token) + 1 AS token_id FROM (
+@query(f"""SELECT token, (row_number() OVER (ORDER BY token) + 1)::INTEGER AS token_id FROM (
     SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM ({_TOKENS}))
     GROUP BY token HAVING count(*) >= 5 ORDER BY n DESC, token LIMIT 1000)""")
 def vocab_min_freq(spark, d):
@@ -125,7 +125,7 @@ def vocab_min_freq(spark, d):
 # --- encoding and masking ---------------------------------------------------------------------
 
 @query(f"""WITH {VOCAB_CTE}
-  SELECT doc_id, len(tokens) AS n_tokens, array_to_string(
+  SELECT doc_id, len(tokens)::INTEGER AS n_tokens, array_to_string(
       list_resize(coalesce(ids, []), greatest({PAD_LENGTH}, len(tokens)), 0), ' ') AS ids
   FROM tok LEFT JOIN (SELECT doc_id, list(id ORDER BY pos) AS ids FROM enc GROUP BY doc_id) USING (doc_id)""")
 def encode_pad(spark, d):
@@ -138,7 +138,7 @@ def encode_pad(spark, d):
 
 @query(f"""WITH {MASK_CTE}
   SELECT doc_id, string_agg(input, ' ' ORDER BY pos) AS input, string_agg(label, ' ' ORDER BY pos) AS label,
-    count(*) FILTER (WHERE label <> -1) AS n_selected FROM masked GROUP BY doc_id""")
+    (count(*) FILTER (WHERE label <> -1))::INTEGER AS n_selected FROM masked GROUP BY doc_id""")
 def mlm_mask(spark, d):
     label = F.col("target.label")
     return masked_documents(spark, d).where(F.size("ids") > 0).select(
@@ -148,7 +148,7 @@ def mlm_mask(spark, d):
 
 
 @query(f"""WITH {VOCAB_CTE}
-  SELECT id AS token_id, count(*) AS n, round(1 / sqrt(count(*)), 9) AS alpha FROM enc WHERE id >= 2 GROUP BY id""")
+  SELECT id::INTEGER AS token_id, count(*) AS n, round(1 / sqrt(count(*)), 9) AS alpha FROM enc WHERE id >= 2 GROUP BY id""")
 def token_weights(spark, d):
     ids = elements(encoded_documents(spark, d), "ids", value="id")
     return losses.token_weights(ids, "id").withColumn("alpha", F.round("alpha", 9))
@@ -180,7 +180,7 @@ def _window_bits(n_bits: int, radius: int) -> str:
 @query(f"""WITH tok AS ({_TOKENS}),
   placed AS (SELECT doc_id, tokens, unnest(generate_series(1, len(tokens))) AS pos FROM tok),
   bits AS (SELECT DISTINCT doc_id, bit FROM ({_window_bits(2048, 2)}))
-  SELECT doc_id, len(tokens) > 0 AS is_valid, coalesce(n_bits, 0) AS n_bits, coalesce(bits, '') AS bits
+  SELECT doc_id, len(tokens) > 0 AS is_valid, coalesce(n_bits, 0)::INTEGER AS n_bits, coalesce(bits, '') AS bits
   FROM tok LEFT JOIN (SELECT doc_id, count(*) AS n_bits, string_agg(bit, ' ' ORDER BY bit) AS bits
     FROM bits GROUP BY doc_id) USING (doc_id)""")
 def token_fingerprint(spark, d):
@@ -207,7 +207,7 @@ code{k} AS (
   {_round_sql(1)}, {_round_sql(2)},
   bits AS (SELECT DISTINCT g, ('0x' || substr(code, 1, 8))::BIGINT % 2048 AS bit
     FROM (FROM code0 UNION ALL FROM code1 UNION ALL FROM code2))
-  SELECT g AS conv_id, count(*) AS n_bits, string_agg(bit, ' ' ORDER BY bit) AS bits FROM bits GROUP BY g""")
+  SELECT g AS conv_id, count(*)::INTEGER AS n_bits, string_agg(bit, ' ' ORDER BY bit) AS bits FROM bits GROUP BY g""")
 def graph_fingerprint(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role")
     following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("turn").alias("dst"))

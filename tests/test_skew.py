@@ -45,3 +45,9 @@ def test_lookup_join_both_ways(facts, dims):
     large = lookup_join(facts, dims, ["k"], max_rows=10).select("id", "v").collect()
     assert sorted(map(str, small)) == sorted(map(str, large))
     assert fits_broadcast(dims, 4001) and not fits_broadcast(dims, 4000)
+
+
+def test_long_texts_do_not_fit(spark):
+    wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    assert fits_broadcast(wide, max_bytes=10_000) and not fits_broadcast(wide, max_bytes=9_999)
+    assert fits_broadcast(wide.limit(0))

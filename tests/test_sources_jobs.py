@@ -85,6 +85,8 @@ def test_mode_views(spark, built):
     assert (clf.columns, clf.count()) == (["binds", "input"], n[0])
     assert (fps.columns, fps.count()) == (["ecfp", "input"], n[0] + n[2])
     assert (mlm.columns, mlm.count()) == (["k", "input", "target"], 12)
+    dense = views.training_view(records, "fps", vocab, max_length=16, dense_bits=2048).first()["ecfp"]
+    assert len(dense) == 2048 and set(dense) <= {0, 1} and sum(dense) > 0
     assert all(len(r["input"]) == 16 for r in mlm.collect())
     assert views.training_view(records, "mlm", vocab, key=["k"], validation=True) is None
     assert views.training_view(records, "clf", vocab, max_length=16, validation=True).count() == n[1]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,61 +24,51 @@ from assayforge.operators.ranking import hash_rank
 _DIGITS = (3, 7, 32)
 
 
-def hash_cutoff(df: DataFrame, *, key: Sequence[str], seed: int, n: int | None = None,
-                fraction: float | None = None, within: Sequence[str] = ()) -> DataFrame:
-    """One row per group with ``cutoff``: the digest of the last row to take.
+def hash_cutoffs(df: DataFrame, *, key: Sequence[str], seed: int, n: int | None = None,
+                 fraction: float | None = None, label: str | None = None) -> dict:
+    """``{class: digest of the last row to take}``; the only class is None without ``label``.
 
-    Takes ``n`` rows, or ``ceil(fraction * rows)``; a group with fewer rows is taken whole.
-    ``within`` values must be few (class labels): the result is broadcast.
+    Takes ``n`` rows per class, or ``ceil(fraction * rows)``; a smaller class is taken whole and a
+    class with nothing to take is left out. One row per class and count comes to the driver.
     """
     if (n is None) == (fraction is None):
         raise ValueError("give n or fraction")
-    group = list(within)
-    digests = df.select(*group, seeded_hash(*key, seed=seed).alias("_digest"))
-    cut = None
+    of_class = F.lit(None).cast("string") if label is None else F.col(label)
+    digests = df.select(of_class.alias("label"), seeded_hash(*key, seed=seed).alias("digest"))
+    by_class = Window.partitionBy("label")
+    upto = by_class.orderBy("cutoff").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges: dict = {}
     for digits in _DIGITS:
-        prefix = F.substring("_digest", 1, digits).alias("cutoff")
-        if cut is None:
-            counts = digests.groupBy(*group, prefix).agg(F.count("*").alias("n"))
-            total = F.sum("n").over(Window.partitionBy(*group))
-            wanted = F.lit(n) if n is not None else F.ceil(F.lit(fraction) * total)
-            counts = counts.withColumn("wanted", F.least(wanted, total).cast("long"))
-            before = F.lit(0)
+        if edges:
+            here = [(F.col("label").eqNullSafe(F.lit(c)), e) for c, e in edges.items()]
+            rows = digests.where(reduce(or_, [same & F.col("digest").startswith(e.cutoff) for same, e in here]))
+            wanted = F.coalesce(*[F.when(same, e.wanted - e.before) for same, e in here])
         else:
-            edge = cut.select(*group, F.struct("cutoff", "wanted", "_before").alias("_edge"))
-            if group:
-                inside = digests.join(F.broadcast(edge), group)
-            else:
-                inside = digests.withColumn("_edge", edge.scalar())
-            inside = inside.where(F.substring("_digest", 1, digits_before) == F.col("_edge.cutoff"))
-            counts = inside.groupBy(*group, prefix).agg(
-                F.count("*").alias("n"), F.first("_edge.wanted").alias("wanted"), F.first("_edge._before").alias("_before")
-            )
-            before = F.col("_before")
-        upto = Window.partitionBy(*group).orderBy("cutoff").rowsBetween(Window.unboundedPreceding, 0)
-        counts = counts.withColumn("_upto", before + F.sum("n").over(upto))
-        reached = (F.col("_upto") >= F.col("wanted")) & (F.col("_upto") - F.col("n") < F.col("wanted"))
-        cut = counts.where(reached).select(
-            *group, "cutoff", "wanted", (F.col("_upto") - F.col("n")).alias("_before")
-        )
-        digits_before = digits
-    return cut.select(*group, "cutoff")
-
-
-def below_cutoff(key: Sequence[str | Column], seed: int, cutoff: Column) -> Column:
-    return seeded_hash(*key, seed=seed) <= cutoff
+            rows = digests
+            total = F.sum("n").over(by_class)
+            wanted = F.lit(n) if n is not None else F.ceil(F.lit(fraction) * total)
+            wanted = F.least(wanted, total)
+        counts = rows.groupBy("label", F.substring("digest", 1, digits).alias("cutoff")).agg(F.count("*").alias("n"))
+        sums = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("wanted", wanted.cast("long"))
+        found = sums.where("upto >= wanted AND upto - n < wanted").withColumn("before", F.col("upto") - F.col("n"))
+        edges = {row.label: row for row in found.collect()}
+        if not edges:
+            return {}
+    return {c: e.cutoff for c, e in edges.items()}
+
+
+def below_cutoff(key: Sequence[str | Column], seed: int, cutoff: str | None) -> Column:
+    """Whether the row's digest is taken; nothing is without a cutoff."""
+    return F.lit(False) if cutoff is None else seeded_hash(*key, seed=seed) <= cutoff
 
 
 def balanced_sample(df: DataFrame, *, label: str, classes: Sequence, n: int, key: Sequence[str],
                     seed: int) -> DataFrame:
     """``n`` random rows of each listed class (all of a smaller class)."""
     wanted = df.where(F.col(label).isin(list(classes)))
-    cut = hash_cutoff(wanted, key=key, seed=seed, n=n, within=[label])
-    return (
-        wanted.join(F.broadcast(cut), label)
-        .where(below_cutoff(key, seed, F.col("cutoff")))
-        .select(*df.columns)
-    )
+    cutoffs = hash_cutoffs(wanted, key=key, seed=seed, n=n, label=label)
+    taken = [(F.col(label) == c) & below_cutoff(key, seed, cutoff) for c, cutoff in cutoffs.items()]
+    return wanted.where(reduce(or_, taken, F.lit(False)))
 
 
 def balanced_sample_sql(path: str, *, label: str, classes: Sequence[int], n: int, key: str, seed: int) -> str:
@@ -93,8 +84,8 @@ def balanced_sample_sql(path: str, *, label: str, classes: Sequence[int], n: int
 def row_split(df: DataFrame, *, key: Sequence[str], test_fraction: float, seed: int,
               out: str = "is_test") -> DataFrame:
     """Adds a flag that is true for exactly ``ceil(test_fraction * rows)`` random rows."""
-    cut = hash_cutoff(df, key=key, seed=seed, fraction=test_fraction)
-    return df.withColumn(out, F.coalesce(below_cutoff(key, seed, cut.scalar()), F.lit(False)))
+    cutoff = hash_cutoffs(df, key=key, seed=seed, fraction=test_fraction).get(None)
+    return df.withColumn(out, below_cutoff(key, seed, cutoff))
 
 
 def seeded_shuffle(df: DataFrame, *, key: Sequence[str], seed: int, partitions: int | None = None) -> DataFrame:

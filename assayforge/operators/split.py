@@ -9,8 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayforge.functions.hashing import seeded_hash
-from assayforge.operators.sample import hash_cutoff
+from assayforge.operators.sample import below_cutoff, hash_cutoffs
 from assayforge.operators.skew import fits_broadcast, spread_join
 from assayforge.schemas import TRAIN, VALIDATION
 from assayforge.session import pinned
@@ -26,24 +25,23 @@ def distinct_keys(df: DataFrame, columns: Sequence[str], out: str = "block") ->
 
 
 def held_out_cutoff(df: DataFrame, columns: Sequence[str], *, fraction: float = HELD_OUT_FRACTION,
-                    seed: int) -> Column:
-    """Digest up to which keys are held out, as a scalar; the distinct keys are gathered once."""
+                    seed: int) -> str | None:
+    """Digest up to which keys are held out; the distinct keys are gathered once."""
     keys = pinned(distinct_keys(df, columns))
-    return hash_cutoff(keys, key=["block"], seed=seed, fraction=fraction).scalar()
+    return hash_cutoffs(keys, key=["block"], seed=seed, fraction=fraction).get(None)
 
 
 def held_out_keys(df: DataFrame, columns: Sequence[str], *, fraction: float = HELD_OUT_FRACTION, seed: int,
                   out: str = "block") -> DataFrame:
     """``ceil(fraction * n)`` of the ``n`` distinct keys, chosen by seeded hash."""
     keys = pinned(distinct_keys(df, columns, out))
-    cut = hash_cutoff(keys, key=[out], seed=seed, fraction=fraction)
-    return keys.where(seeded_hash(out, seed=seed) <= cut.scalar())
+    cutoff = hash_cutoffs(keys, key=[out], seed=seed, fraction=fraction).get(None)
+    return keys.where(below_cutoff([out], seed, cutoff))
 
 
-def any_held_out(columns: Sequence[str], seed: int, cutoff: Column) -> Column:
+def any_held_out(columns: Sequence[str], seed: int, cutoff: str | None) -> Column:
     """Whether any key column is held out; a null key never is."""
-    tests = [F.col(c).isNotNull() & (seeded_hash(c, seed=seed) <= cutoff) for c in columns]
-    return F.coalesce(reduce(or_, tests), F.lit(False))
+    return reduce(or_, [F.col(c).isNotNull() & below_cutoff([c], seed, cutoff) for c in columns])
 
 
 def group_split(df: DataFrame, columns: Sequence[str], *, fraction: float = HELD_OUT_FRACTION, seed: int,
@@ -51,11 +49,11 @@ def group_split(df: DataFrame, columns: Sequence[str], *, fraction: float = HELD
     """Adds 1 (validation) to rows touching a held-out key and 0 (train) to the others.
 
     The keys are those of ``df``, or of ``keys_from`` where a cheaper scan holds the same columns.
-    Held-out keys are those up to a hash cutoff, so a row decides from its own keys and one scalar:
+    Held-out keys are those up to a hash cutoff, so a row decides from its own keys and one constant:
     the rows are neither joined nor shuffled, however many keys are held out.
     """
-    cut = held_out_cutoff(df if keys_from is None else keys_from, columns, fraction=fraction, seed=seed)
-    held = any_held_out(columns, seed, cut)
+    cutoff = held_out_cutoff(df if keys_from is None else keys_from, columns, fraction=fraction, seed=seed)
+    held = any_held_out(columns, seed, cutoff)
     return df.withColumn(out, F.when(held, VALIDATION).otherwise(TRAIN).cast("tinyint"))
 
 

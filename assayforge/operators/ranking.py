@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from assayforge.functions.hashing import seeded_hash
 from assayforge.session import pinned
 
-BUCKET_DIGITS = 4  # 16^4 = 65,536 buckets: the size bound of every offset table below
+BUCKET_DIGITS = 4  # 16^4 = 65,536 buckets, so that many offset rows per group
 
 
 def _running_total(counts: DataFrame, order: str, amounts: Sequence[str], within: Sequence[str]) -> DataFrame:
@@ -30,8 +30,8 @@ def hash_rank(df: DataFrame, *, key: Sequence[str], seed: int | Column, out: str
               within: Sequence[str] = ()) -> DataFrame:
     """Adds the 1-based place of every row in the order of its seeded key hash.
 
-    ``key`` must identify a row. ``within`` starts a new numbering per group; its values must be
-    few (epochs, classes), since one offset row per (group, bucket) is broadcast.
+    ``key`` must identify a row. ``within`` starts a new numbering per group. Rows are shuffled once,
+    to their bucket; the offsets, one row per (group, bucket), join them there.
     """
     digest = seeded_hash(*key, seed=seed)
     marked = df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS))
@@ -40,7 +40,7 @@ def hash_rank(df: DataFrame, *, key: Sequence[str], seed: int | Column, out: str
     inside = Window.partitionBy(*within, "_bucket").orderBy("_digest", *key)
     return (
         marked.withColumn("_inside", F.row_number().over(inside))
-        .join(F.broadcast(offsets), [*within, "_bucket"])
+        .join(offsets, [*within, "_bucket"])
         .withColumn(out, (F.col("n_before") + F.col("_inside")).cast("long"))
         .select(*df.columns, out)
     )
@@ -59,7 +59,7 @@ def ordered_rank(df: DataFrame, *, order: Sequence[str], out: str = "position")
     inside = Window.partitionBy("_range").orderBy(*order)
     return (
         ranged.withColumn("_inside", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_range")
+        .join(offsets, "_range")
         .withColumn(out, (F.col("n_before") + F.col("_inside")).cast("long"))
         .select(*df.columns, out)
     )

@@ -46,11 +46,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, columns: S
              rename: dict[str, str] | None = None) -> DataFrame:
     """Columns of a CSV file with a header, matched by name and renamed.
 
-    A schema that lists fewer columns than the file has is fine: the header decides which column
-    is which, so the file's own names are read as text first and the wanted ones cast.
+    The file may have more columns than the schema: its header says which is which, the wanted ones
+    are parsed and cast, and files of one folder must agree on the header.
     """
     require_paths(spark, path)
-    header = spark.read.option("header", True).csv(path)
+    header = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     wanted = [f for f in schema.fields if columns is None or f.name in columns]
     require_columns(header, [f.name for f in wanted])
     df = header.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])

@@ -15,7 +15,7 @@ from assayforge.functions.sequences import SMILES_PATTERN, TEXT_PATTERN, tokeniz
 from assayforge.functions.udfs import batch_scorer
 from assayforge.operators import features, models, scoring, unify, vocabulary
 from assayforge.operators.fingerprint import token_fingerprint
-from assayforge.plans.preparation_queries import DIGITS, ATOMS, STATUSES, TEST_CTE, assay_test
+from assayforge.plans.preparation_queries import STATUSES, TEST_CTE, assay_test
 from assayforge.plans.registry import query, spread_table, table
 from assayforge.schemas import LABEL_MISSING
 from assayforge.session import new_folder, pinned

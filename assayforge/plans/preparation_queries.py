@@ -262,7 +262,8 @@ def batch_ids(spark, d):
 # --- unified dataset --------------------------------------------------------------------------
 
 @query(f"""WITH {UNIFIED_CTE}
-  SELECT smiles, array_to_string(binds, ',') AS binds, subset::TINYINT AS subset, replace(smiles, '[Dy]', '[H]') AS smiles_no_linker
+  SELECT smiles, array_to_string(binds, ',') AS binds, subset::TINYINT AS subset,
+    replace(smiles, '[Dy]', '[H]') AS smiles_no_linker
   FROM unified""")
 def unify_sources(spark, d):
     return unified(spark, d).withColumn("binds", F.array_join(F.col("binds").cast("array<string>"), ","))

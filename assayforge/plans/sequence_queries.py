@@ -148,7 +148,8 @@ def mlm_mask(spark, d):
 
 
 @query(f"""WITH {VOCAB_CTE}
-  SELECT id::INTEGER AS token_id, count(*) AS n, round(1 / sqrt(count(*)), 9) AS alpha FROM enc WHERE id >= 2 GROUP BY id""")
+  SELECT id::INTEGER AS token_id, count(*) AS n, round(1 / sqrt(count(*)), 9) AS alpha
+  FROM enc WHERE id >= 2 GROUP BY id""")
 def token_weights(spark, d):
     ids = elements(encoded_documents(spark, d), "ids", value="id")
     return losses.token_weights(ids, "id").withColumn("alpha", F.round("alpha", 9))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayforge import schemas
+from assayforge import schemas, session
 from assayforge.functions.sequences import replace_linker
 from assayforge.functions.udfs import safe_map
 from assayforge.operators import quality, views
@@ -160,3 +160,31 @@ def test_molecules_and_preview(spark):
     assert readers.preview(df, 2).count() == 2
     assert readers.spread_scan(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 8
     assert readers.spread_scan(spark.range(100, numPartitions=20)).rdd.getNumPartitions() == 20
+
+
+def test_a_large_group_of_copies_is_dealt_over_the_files(spark, tmp_path):
+    rows = spark.range(4000).select(
+        F.when(F.col("id") < 2000, "CC").otherwise(F.concat(F.lit("C"), "id")).alias("smiles"),
+        F.array(F.lit(0), F.lit(1), F.lit(2)).alias("binds"), F.lit(0).alias("subset"), F.lit("C").alias("smiles_no_linker"))
+    path = str(tmp_path / "unified")
+    writers.write_unified(rows, path, seed=1, partitions=8)
+    written = spark.read.parquet(path)
+    assert quality.checksum(written, ["smiles"]).first() == quality.checksum(rows, ["smiles"]).first()
+    sizes = written.groupBy(F.input_file_name()).count().toPandas()["count"]
+    assert len(sizes) == 8 and sizes.max() < 1000
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+    assert session.new_folder(spark, "x").startswith(session.shared_dir(spark))

@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayforge.llm import byte_bpe, lm, packing, secrets, simhash, token_files
+import corpus_pipeline
+from assayforge.llm import (
+    byte_bpe,
+    line_crf,
+    line_dedup,
+    lm,
+    packing,
+    quality_rules,
+    secrets,
+    simhash,
+    token_files,
+    topk,
+)
 from assayforge.plans.registry import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +43,16 @@ def op1_packing(spark: SparkSession, d: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", ids_crc32(F.col("ids")), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, with the numbers of its lines that go and the digest of the text that stays."""
+    out = line_dedup.deduplicated(table(spark, d, "documents"), removed="removed")
+    return out.select(
+        "doc_id", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 @query
 def op3_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents"))
@@ -44,6 +66,78 @@ def op4_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op5_topk(spark: SparkSession, d: str) -> DataFrame:
+    return topk.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+SQL["op5_topk"] = """
+WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x::DOUBLE)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+      FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+  FROM s) WHERE rank <= 20"""
+
+
+@query
+def op6_line_crf(spark: SparkSession, d: str) -> DataFrame:
+    return line_crf.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality_rules.judge(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def _quality_rules_sql() -> str:
+    r = quality_rules
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    share = lambda top, bottom: (
+        f"CASE WHEN {bottom} = 0 THEN 0 ELSE least({r.STEPS}, ({r.STEPS} * {top} + {bottom} - 1) // greatest({bottom}, 1)) END")
+    rules = " UNION ALL ".join(
+        f"SELECT stratum, good, '{name}' AS rule, {share(*parts)} AS bucket FROM judged" for name, parts in r.SIGNALS.items())
+    stratum = "CASE " + " ".join(
+        f"WHEN n_words >= {least} THEN {i}" for i, least in reversed(list(enumerate(r.BANDS)))) + " ELSE -1 END"
+    cuts = ", ".join(f"max(CASE WHEN rule = '{name}' THEN k END) AS cut_{name}" for name in r.SIGNALS)
+    hit = " OR ".join(f"coalesce({share(*parts)} > cut_{name}, false)" for name, parts in r.SIGNALS.items())
+    tests = len(r.BANDS) * len(r.SIGNALS) * (r.STEPS - 1)
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, [x FOR x IN regexp_split_to_array(text, '[\x20\x09-\x0D]+') IF x <> ''] AS words,
+             [x FOR x IN string_split(text, chr(10)) IF translate(x, {white}, '') <> ''] AS lines FROM t),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS win
+        FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 7)) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, sum(least(8, i - before))::BIGINT AS n_repeat_words FROM (
+          SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -8) AS before FROM rep) GROUP BY doc_id),
+f AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(translate(text, {white}, ''))::BIGINT AS word_chars,
+             (length(text) - length(translate(text, '{r.SYMBOLS}', '')))::BIGINT AS n_symbols,
+             (length(text) - length(translate(text, '{r.CAPITALS}', '')))::BIGINT AS n_capitals,
+             len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
+g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {stratum} AS stratum FROM f),
+known AS (SELECT doc_id, max(quality)::BIGINT AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+judged AS (SELECT * FROM g JOIN known USING (doc_id) WHERE NOT base_failed),
+counted AS (SELECT stratum, rule, bucket, sum(good) AS good, sum(1 - good) AS bad FROM ({rules}) GROUP BY ALL),
+tried AS (SELECT stratum, rule, k, sum(good)::BIGINT AS n_good, sum(bad)::BIGINT AS n_bad,
+                 coalesce(sum(good) FILTER (bucket > k), 0)::BIGINT AS r_good,
+                 coalesce(sum(bad) FILTER (bucket > k), 0)::BIGINT AS r_bad
+          FROM counted, (SELECT unnest(generate_series(1, {r.STEPS - 1})) AS k) GROUP BY stratum, rule, k),
+safe AS (SELECT * FROM tried WHERE r_good < n_good * {r.RISK} AND ln(list_sum([
+           exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({r.RISK}) + (n_good - i) * ln(1 - {r.RISK}))
+           FOR i IN generate_series(0, r_good)])) <= ln({r.LEVEL} / {tests})),
+lowest AS (SELECT stratum, rule, min(k) AS k FROM safe WHERE r_bad * n_good > 4 * r_good * n_bad GROUP BY ALL),
+cuts AS (SELECT stratum, {cuts} FROM lowest GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT ({hit}) AS kept, n_capitals, n_lines FROM g LEFT JOIN cuts USING (stratum)"""
+
+
+SQL["op7_quality_rules"] = _quality_rules_sql()
+
+
 @query
 def op8_token_files(spark: SparkSession, d: str) -> DataFrame:
     folder = token_files.token_folder(spark)
@@ -65,3 +159,13 @@ def op9_secrets(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op10_lm_scores(spark: SparkSession, d: str) -> DataFrame:
     return lm.score(table(spark, d, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    packed = corpus_pipeline.run(spark, d)
+    return packed.select("doc_id", "start", "length", ids_crc32(F.col("ids")), "doc_tokens", "sequence_id", "offset")
+
+
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

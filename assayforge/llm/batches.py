@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from assayforge.session import new_folder
 
-BYTES_PER_SLICE = 8 * 2**20
+BYTES_PER_SLICE = 4 * 2**20
 
 
 def per_worker(key: tuple, make: Callable[[], object]) -> object:
@@ -31,6 +31,28 @@ def per_worker(key: tuple, make: Callable[[], object]) -> object:
     return kept[key]
 
 
+class Memo(dict):
+    """What was worked out for strings, of bounded size: two generations, the older one is dropped as a whole."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def find(self, keys: list[str]) -> list[bytes | None]:
+        """The values of ``keys``, None for unknown ones; what only the older generation has becomes young again."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        found = list(map(self.get, keys))
+        if self.older:
+            for i, value in enumerate(found):
+                if value is None:
+                    value = self.older.get(keys[i])
+                    if value is not None:
+                        found[i] = self[keys[i]] = value
+        return found
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -16,10 +16,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from assayforge.llm.batches import binary_array, gathered, map_rows, per_worker, slices, texts
+from assayforge.llm.batches import Memo, binary_array, gathered, map_rows, per_worker, slices, texts
 
-MEMO_CHUNKS = 900_000
-MEMO_PAIRS = 1_000_000
+MEMO_CHUNKS = 180_000
+MEMO_PAIRS = 300_000
 LONGEST_MEMO = 64
 _SPACE_BEFORE_SPACE = (r" (?:[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
                        r"\x{3000}]|\z)")
@@ -41,7 +41,7 @@ class ByteBpe:
         self.shorter: list[int | None] = [None] * size  # the longest shorter token that starts a token
         self.halves = [(rank, rank) for rank in range(size)]  # what the last merge of a token joins
         self.pairs: dict[tuple[int, int], int] = {}
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO_CHUNKS)
         self.fits_memo: dict[tuple[int, int], bool] = {}
         self.matches = ahocorasick.Automaton()  # of every start of a token: the longest token in it
         for token, rank in sorted(self.ranks.items(), key=lambda x: x[1]):
@@ -136,15 +136,13 @@ class ByteBpe:
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of different chunks."""
         known = self.memo
-        if len(known) > MEMO_CHUNKS:
-            known = self.memo = {}
-        found = list(map(known.get, chunks))
+        found = known.find(chunks)
         split, packed = self.split.findall, self.packed
         for i, ids in enumerate(found):
             if ids is None:
                 chunk, parts = chunks[i], []
                 for piece in split(chunk):
-                    ids = known.get(piece)
+                    ids = known.get(piece) or known.older.get(piece)
                     if ids is None:
                         ids = b"".join([packed[t] for t in self.encode_piece(piece.encode())])
                         if len(piece) <= LONGEST_MEMO:

@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from assayforge.llm.batches import binary_array, gathered, map_rows, per_worker, slices, texts
+from assayforge.llm.batches import Memo, binary_array, gathered, map_rows, per_worker, slices, texts
 
-MEMO_CHUNKS = 900_000
+MEMO_CHUNKS = 180_000
 LONGEST_MEMO = 48
 TABLE_BITS = 20
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -135,14 +135,12 @@ class WordTokenizer:
         self.merges = Merges([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs],
                              np.array([vocab[letters[b]] for b in range(256)], np.int32),
                              np.array([vocab[letters[b] + suffix] for b in range(256)], np.int32))
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO_CHUNKS)
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
         """Ids of different chunks."""
         known = self.memo
-        if len(known) > MEMO_CHUNKS:
-            known = self.memo = {}
-        found = list(map(known.get, chunks))
+        found = known.find(chunks)
         unseen = [i for i, ids in enumerate(found) if ids is None]
         cut: dict[int, list[str]] = {}
         pieces: dict[str, bytes | None] = {}
@@ -154,11 +152,8 @@ class WordTokenizer:
                     pieces[piece] = None
             else:
                 found[i] = np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        new = []
-        for piece in pieces:
-            pieces[piece] = ids = known.get(piece)
-            if ids is None:
-                new.append(piece)
+        pieces = dict(zip(pieces, known.find(list(pieces)), strict=True))
+        new = [piece for piece, ids in pieces.items() if ids is None]
         pieces.update(zip(new, self.merges([p.encode() for p in new]), strict=True))
         known.update((p, pieces[p]) for p in new)
         for i, own in cut.items():

@@ -72,18 +72,29 @@ def document_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict[str, list]]],
-             schema: str) -> DataFrame:
-    """``mapInArrow`` with a function that yields columns as a dictionary of lists or arrays."""
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+Rows = Callable[[Iterator[pa.RecordBatch]], Iterable[dict[str, list]]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in fn(batches):
+
+def map_rows(df: DataFrame, *steps: Rows | str) -> DataFrame:
+    """``mapInArrow`` with functions that yield columns as a dictionary of lists or arrays.
+
+    ``steps`` are functions, each followed by the schema of what it yields. Several of them run one
+    after the other on the same batches, in one Python worker.
+    """
+    parts = [(fn, to_arrow_schema(StructType.fromDDL(ddl))) for fn, ddl in zip(steps[::2], steps[1::2], strict=True)]
+
+    def batches_of(found: Iterable[dict[str, list]], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for columns in found:
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in arrow],
                 schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fn, arrow in parts:
+            batches = batches_of(fn(batches), arrow)
+        return batches
+
+    return df.mapInArrow(run, steps[-1])
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = BYTES_PER_SLICE) -> Iterator[pa.RecordBatch]:

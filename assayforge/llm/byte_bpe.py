@@ -16,9 +16,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from assayforge.llm.batches import Memo, binary_array, gathered, map_rows, per_worker, slices, texts
+from assayforge.llm.batches import Memo, Rows, binary_array, gathered, map_rows, per_worker, slices, texts
 
-MEMO_CHUNKS = 180_000
+MEMO_CHUNKS = 120_000
 MEMO_PAIRS = 300_000
 LONGEST_MEMO = 64
 _SPACE_BEFORE_SPACE = (r" (?:[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
@@ -203,26 +203,42 @@ def byte_bpe(path: str, pattern: str) -> ByteBpe:
     return per_worker(("byte BPE", path, pattern), lambda: ByteBpe(path, pattern))
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """(doc_id, ids): every whole text's ids as little-endian unsigned 32-bit integers.
-
-    A null or empty text has no ids. Each row gives one row, with null or repeated doc_id too; other
-    columns are left out. No rows give no rows.
-    """
+def _encoding(ranks: str, pattern: str) -> Rows:
     def run(batches):
         coder = byte_bpe(ranks, pattern)
         for batch in slices(batches):
             yield {"doc_id": batch.column(0), "ids": binary_array(*coder.encode(batch.column(1)))}
 
-    return map_rows(texts(docs), run, "doc_id long, ids binary")
+    return run
 
 
-def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, decoded): the bytes of the ids beside them; null ids count as none."""
+def _decoding(ranks: str, pattern: str) -> Rows:
     def run(batches):
         coder = byte_bpe(ranks, pattern)
         for batch in slices(batches):
             yield {"doc_id": batch.column(0), "ids": batch.column(1),
                    "decoded": [coder.decode(i or b"") for i in batch.column(1).to_pylist()]}
 
-    return map_rows(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")
+    return run
+
+
+IDS, DECODED = "doc_id long, ids binary", "doc_id long, ids binary, decoded binary"
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """(doc_id, ids): every whole text's ids as little-endian unsigned 32-bit integers.
+
+    A null or empty text has no ids. Each row gives one row, with null or repeated doc_id too; other
+    columns are left out. No rows give no rows.
+    """
+    return map_rows(texts(docs), _encoding(ranks, pattern), IDS)
+
+
+def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded): the bytes of the ids beside them; null ids count as none."""
+    return map_rows(encoded.select("doc_id", "ids"), _decoding(ranks, pattern), DECODED)
+
+
+def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """``decode`` of ``encode`` in one pass."""
+    return map_rows(texts(docs), _encoding(ranks, pattern), IDS, _decoding(ranks, pattern), DECODED)

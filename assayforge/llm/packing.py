@@ -9,8 +9,8 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from assayforge.llm.batches import map_rows, slices
-from assayforge.llm.tokens import token_ids
+from assayforge.llm.batches import map_rows, slices, texts
+from assayforge.llm.tokens import IDS, token_ids
 
 CAPACITY = 4096
 GROUP_PIECES = 256
@@ -159,5 +159,5 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: i
                 pieces = [(place[doc], start, length) for doc, start, length in pieces]
         yield rows(pack_group(pieces, capacity, last=True)[0])
 
-    return map_rows(token_ids(docs, tokenizer, end_id), run,
+    return map_rows(texts(docs), token_ids(tokenizer, end_id), IDS, run,
                     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -60,8 +60,7 @@ def op3_simhash(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def op4_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
-    encoded = byte_bpe.encode(table(spark, d, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
-    return byte_bpe.decode(encoded, BYTE_RANKS, public_tokenizers.PATTERN).select(
+    return byte_bpe.round_trip(table(spark, d, "documents"), BYTE_RANKS, public_tokenizers.PATTERN).select(
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

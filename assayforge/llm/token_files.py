@@ -22,8 +22,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayforge.llm.batches import binary_array, map_rows, slices
-from assayforge.llm.tokens import token_ids, word_tokenizer
+from assayforge.llm.batches import binary_array, map_rows, slices, texts
+from assayforge.llm.tokens import IDS, token_ids, word_tokenizer
 from assayforge.session import new_folder
 
 DOCS_PER_SHARD = 8192
@@ -221,7 +221,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: i
         if rows:
             yield close()
 
-    ids = map_rows(token_ids(docs, tokenizer, end_id), dealt, "range int, doc_id long, ids binary")
+    ids = map_rows(texts(docs), token_ids(tokenizer, end_id), IDS, dealt, "range int, doc_id long, ids binary")
     ordered = ids.repartition("range").sortWithinPartitions("range", "doc_id", "ids")
     made = map_rows(ordered, stored, "shard long, path string, n_docs long, n_ids long")
     made.write.parquet(f"{folder.rstrip('/')}/manifest")

@@ -15,11 +15,10 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
 
-from assayforge.llm.batches import Memo, binary_array, gathered, map_rows, per_worker, slices, texts
+from assayforge.llm.batches import Memo, Rows, binary_array, gathered, per_worker, slices
 
-MEMO_CHUNKS = 180_000
+MEMO_CHUNKS = 120_000
 LONGEST_MEMO = 48
 TABLE_BITS = 20
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -177,10 +176,14 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return per_worker(("word tokenizer", path), lambda: WordTokenizer(path))
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): each whole text's ids and the end id, as little-endian unsigned 32-bit integers.
+IDS = "doc_id long, ids binary"
 
-    A null or empty text gives the end id alone; every row gives one row, repeated ids too.
+
+def token_ids(tokenizer: str, end_id: int) -> Rows:
+    """A step from (doc_id, text) to (doc_id, ids), for ``map_rows``.
+
+    ids: each whole text's ids and the end id, as little-endian unsigned 32-bit integers. An empty text
+    gives the end id alone; every row gives one row.
     """
     def run(batches):
         encode = word_tokenizer(tokenizer).encode
@@ -189,4 +192,4 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             ids = np.insert(ids, offsets[1:], end_id)
             yield {"doc_id": batch.column(0), "ids": binary_array(ids, offsets + np.arange(len(offsets)))}
 
-    return map_rows(texts(docs), run, "doc_id long, ids binary")
+    return run

@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -63,12 +64,11 @@ def line_features(batch: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros((0, len(FEATURES))), np.zeros(0, np.int64), np.zeros(len(docs), np.int64)
 
     def count(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask)])
-        return total[end] - total[start]
+        total = np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
+        return (total[end] - total[start]).astype(np.int64)
 
     size = np.maximum(count(~white), 1)
     share = {name: count(np.isin(data, list(values))) / size for name, values in _CLASSES.items()}
-    word_end = np.append(word_at[1:], len(data))
     # The same bytes give the same code: texts' words in order, as the byte scan found them.
     coded = _words(batch).dictionary_encode().indices.to_numpy()
     again = np.zeros(len(coded), bool)
@@ -85,7 +85,6 @@ def line_features(batch: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     same[ranked[1:]] = (digest[ranked[1:]] == digest[ranked[:-1]]) & (doc_of[ranked[1:]] == doc_of[ranked[:-1]])
     table = [np.log1p(words), size / words / 10, *[share[name] for name in FEATURES[2:9]],
              np.bincount(word_line[again], minlength=n) / words, different, same.astype(float)]
-    del word_end
     return np.stack(table, 1), end - start, np.searchsorted(start, docs)
 
 
@@ -236,16 +235,17 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, rows: int = T
     return fit(own, sizes, bounds, good, weight / weight.mean(), steps)
 
 
+def _scores(batch: pa.Array, model: LineField | float) -> np.ndarray:
+    if isinstance(model, float):
+        return np.full(len(batch), model)
+    return model.score(model.quality(*line_features(batch)))
+
+
 def score(docs: DataFrame, model: LineField | float) -> DataFrame:
     """(doc_id, score) of every row, null and empty texts (which have no lines) too."""
     def run(batches):
         for batch in slices(batches):
-            if isinstance(model, float):
-                out = np.full(batch.num_rows, model)
-            else:
-                own, sizes, bounds = line_features(batch.column(1))
-                out = model.score(model.quality(own, sizes, bounds))
-            yield {"doc_id": batch.column(0), "score": pa.array(out, pa.float64())}
+            yield {"doc_id": batch.column(0), "score": pa.array(_scores(batch.column(1), model), pa.float64())}
 
     return map_rows(texts(docs), run, "doc_id long, score double")
 
@@ -265,11 +265,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: in
 def accepted(docs: DataFrame, model: LineField | float, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``least``, with all their columns."""
     @F.pandas_udf("double")
-    def scored(text):
-        import pandas as pd
-
-        if isinstance(model, float):
-            return pd.Series(np.full(len(text), model))
-        return pd.Series(model.score(model.quality(*line_features(pa.array(text.fillna(""), pa.string())))))
+    def scored(text: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(text.fillna(""), pa.string())], names=["text"])
+        return pd.Series(np.concatenate([np.zeros(0), *(_scores(part.column(0), model) for part in slices([batch], 0))]))
 
     return docs.where(scored(F.col("text").cast("string")) >= least)

@@ -36,10 +36,13 @@ def pr_auc(df: DataFrame, *, y: str = "y", p: str = "p", by: Sequence[str] = (),
     """(by..., pr_auc): interpolated area under the precision-recall curve on even thresholds.
 
     Predictions are counted into one bucket per threshold interval first, so what is shuffled and
-    summed afterwards is at most ``thresholds`` rows per group.
+    summed afterwards is at most ``thresholds`` rows per group. A prediction that is null, not a
+    number or outside 0..1 raises an error: the area is not defined there.
     """
     last = thresholds - 1
-    bucket = F.greatest(F.ceil(F.col(p) * F.lit(last)) - 1, F.lit(0)).cast("int")
+    place = F.greatest(F.ceil(F.col(p) * F.lit(last)) - 1, F.lit(0)).cast("int")
+    bucket = F.when(F.col(p).between(0, 1), place).otherwise(
+        F.raise_error(F.concat(F.lit("prediction outside 0..1: "), F.coalesce(F.col(p).cast("string"), F.lit("null")))).cast("int"))
     counts = df.groupBy(*by, bucket.alias("b")).agg(
         F.sum(F.col(y)).alias("pos"), F.count("*").alias("n")
     )

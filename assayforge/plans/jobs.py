@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayforge.functions.sequences import SMILES_PATTERN, replace_linker, tokenize
 from assayforge.operators import quality, scoring, unify, views, vocabulary
@@ -14,11 +15,17 @@ from assayforge.sources import readers, writers
 
 
 def prepare_dataset(spark: SparkSession, train: str, test: str, extra: str, out: str, *, seed: int = 42,
-                    partitions: int = 20, clean: Callable[[Column], Column] = replace_linker) -> DataFrame:
-    """Raw train and test Parquet and extra CSV to the unified dataset."""
+                    partitions: int | None = None, order_by: str | None = None,
+                    clean: Callable[[Column], Column] = replace_linker) -> DataFrame:
+    """Raw train and test Parquet and extra CSV to the unified dataset.
+
+    Of repeated measurements the smallest value counts, or the first by ``order_by``, a whole-number
+    column of the train file. Columns that a file lacks are an error.
+    """
     readers.require_paths(spark, train, test, extra)
-    raw_train = readers.read_assays(spark, train, RAW_TRAIN)
-    wide_train = unify.pivot_train(raw_train, order_by="id")
+    schema = RAW_TRAIN if order_by is None else T.StructType([*RAW_TRAIN, T.StructField(order_by, T.LongType())])
+    raw_train = readers.read_assays(spark, train, schema)
+    wide_train = unify.pivot_train(raw_train, order_by=order_by)
     wide_test = unify.pivot_test(readers.read_assays(spark, test, RAW_TEST))
     unified = unify.unify(wide_train, wide_test, readers.read_extra_counts(spark, extra), seed=seed, clean=clean,
                           blocks=raw_train)
@@ -46,12 +53,13 @@ def build_records(spark: SparkSession, unified: str, out: str, *, pattern: str =
 
 def write_submission(spark: SparkSession, test: str, vocab: str, load: Callable, out: str, *,
                      proteins: Sequence[str] = PROTEINS, max_length: int = 128, batch_size: int = 1024,
-                     limit: int | None = None) -> DataFrame:
+                     limit: int | None = None, pattern: str = SMILES_PATTERN, on_overflow: str = "error") -> DataFrame:
     """Raw test Parquet to a scored (id, binds) CSV."""
     readers.require_paths(spark, test, vocab)
     wide = unify.pivot_test(readers.read_assays(spark, test, RAW_TEST), proteins)
     scored = scoring.score_sequences(wide, "smiles", readers.read_vocabulary(spark, vocab), load,
-                                     max_length=max_length, batch_size=batch_size)
+                                     max_length=max_length, batch_size=batch_size, pattern=pattern,
+                                     on_overflow=on_overflow)
     rows = scoring.submission(scoring.spread_scores(scored, "scores", proteins), proteins, limit=limit)
     writers.write_csv(rows, out)
     return spark.read.schema("id bigint, binds double").option("header", True).csv(out)

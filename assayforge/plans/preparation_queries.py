@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayforge.operators import features, quality, sample, split, unify, views
+from assayforge.operators.ranking import ordered_rank
 from assayforge.operators.reshape import pivot_labels, unpivot_scores
 from assayforge.plans.registry import query, sql_hash, sql_uint32, table
 from assayforge.schemas import ID_MISSING
-from assayforge.session import new_folder
+from assayforge.session import new_folder, pinned
 from assayforge.sources import readers, writers
 
 SEED = 42
@@ -115,20 +116,30 @@ def pivot_first(spark, d):
 
 _PIVOT_IDS = "\n UNION ALL ".join(
     f"""SELECT min(o_orderkey) FILTER (WHERE o_orderpriority = '{p}') AS id,
-        min(o_totalprice) FILTER (WHERE o_orderpriority = '{p}') AS binds FROM orders GROUP BY o_custkey"""
+        arg_min(o_totalprice, o_orderkey) FILTER (WHERE o_orderpriority = '{p}') AS binds FROM orders GROUP BY o_custkey"""
     for p in PRIORITIES)
 
 
 @query(f"SELECT id, binds FROM ({_PIVOT_IDS}) WHERE id IS NOT NULL AND binds IS NOT NULL")
 def pivot_ids_unpivot(spark, d):
-    orders = table(spark, d, "orders")
-    ids = pivot_labels(orders, keys=["o_custkey"], category="o_orderpriority", value="o_orderkey",
-                       categories=PRIORITIES, fill=ID_MISSING)
-    prices = pivot_labels(orders, keys=["o_custkey"], category="o_orderpriority", value="o_totalprice",
-                          categories=PRIORITIES)
-    prices = prices.withColumnsRenamed({p: f"{p}_pred" for p in PRIORITIES})
-    wide = ids.join(prices, "o_custkey")
-    return unpivot_scores(wide, {p: f"{p}_pred" for p in PRIORITIES}, drop_ids=[ID_MISSING]).orderBy("id")
+    """One order per customer and priority, that with the smallest key: its id and its price."""
+    orders = table(spark, d, "orders").withColumn("pair", F.struct("o_orderkey", "o_totalprice"))
+    wide = pivot_labels(orders, keys=["o_custkey"], category="o_orderpriority", value="pair", categories=PRIORITIES,
+                        order_by="o_orderkey")
+    flat = wide.select(*[F.coalesce(F.col(f"`{p}`.o_orderkey"), F.lit(ID_MISSING)).alias(p) for p in PRIORITIES],
+                       *[F.col(f"`{p}`.o_totalprice").alias(f"{p}_pred") for p in PRIORITIES])
+    return unpivot_scores(flat, {p: f"{p}_pred" for p in PRIORITIES}, drop_ids=[ID_MISSING]).orderBy("id")
+
+
+@query(f"""SELECT user_id, {', '.join(
+    f"coalesce(arg_min(value, event_id) FILTER (WHERE event_type = '{t}' AND event_id % 3 <> 0), "
+    f"min(value) FILTER (WHERE event_type = '{t}'), 0) AS {t}" for t in EVENT_TYPES)}
+  FROM events WHERE user_id IS NOT NULL GROUP BY user_id""")
+def pivot_null_order(spark, d):
+    """A third of the rows have no order: their values count where a user has no others."""
+    events = table(spark, d, "events").withColumn("place", F.when(F.col("event_id") % 3 != 0, F.col("event_id")))
+    return pivot_labels(events, keys=["user_id"], category="event_type", value="value", categories=EVENT_TYPES,
+                        order_by="place", fill=0)
 
 
 # --- blocks and splits ------------------------------------------------------------------------
@@ -236,7 +247,10 @@ def balanced_sample_sql(spark, d):
 @query(f"""SELECT o_orderkey, row_number() OVER (ORDER BY {sql_hash('o_orderkey', seed=SEED)}) AS position
   FROM orders""")
 def seeded_shuffle(spark, d):
-    return sample.hash_rank(table(spark, d, "orders").select("o_orderkey"), key=["o_orderkey"], seed=SEED)
+    """The place of each row in the shuffled table: partition by partition, as the operator left them."""
+    shuffled = sample.seeded_shuffle(table(spark, d, "orders").select("o_orderkey"), key=["o_orderkey"], seed=SEED)
+    placed = pinned(shuffled.withColumn("_place", F.monotonically_increasing_id()))
+    return ordered_rank(placed, order=["_place"]).drop("_place")
 
 
 @query("""SELECT doc_id, epoch, row_number() OVER (PARTITION BY epoch
@@ -323,10 +337,14 @@ def quality_summary(spark, d):
 
 
 @query(f"""SELECT count(*) AS n_rows, sum({sql_uint32(
-    "event_id::VARCHAR || '|' || user_id::VARCHAR || '|' || event_type || '|' || props")})::VARCHAR AS digest
+    "event_id::VARCHAR || '|' || user_id::VARCHAR || '|' || event_type || '|' || props || '|' || "
+    "coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '~') || '|' || coalesce(floor(value * 1000)::BIGINT::VARCHAR, '~')")})::VARCHAR AS digest
   FROM events""")
 def dataset_checksum(spark, d):
-    return quality.checksum(table(spark, d, "events"), ["event_id", "user_id", "event_type", "props"])
+    """Over all columns; times and numbers in a fixed rendering."""
+    events = table(spark, d, "events").withColumn("time", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).withColumn(
+        "thousandths", F.floor(F.col("value") * 1000))
+    return quality.checksum(events, ["event_id", "user_id", "event_type", "props", "time", "thousandths"])
 
 
 _TABLES = ("customer", "documents", "embeddings", "events", "labels", "lineitem", "orders", "part", "supplier")

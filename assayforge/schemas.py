@@ -30,7 +30,7 @@ _RAW_KEYS = [
     T.StructField("protein_name", T.StringType()),
 ]
 
-RAW_TRAIN = T.StructType([T.StructField("id", T.LongType()), *_RAW_KEYS, T.StructField("binds", T.ByteType())])
+RAW_TRAIN = T.StructType([*_RAW_KEYS, T.StructField("binds", T.ByteType())])
 RAW_TEST = T.StructType([T.StructField("id", T.LongType()), *_RAW_KEYS])
 EXTRA_COUNTS = T.StructType([
     T.StructField("new_structure", T.StringType()),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,11 +35,17 @@ def require_paths(spark: SparkSession, *paths: str) -> None:
 
 def read_parquet(spark: SparkSession, *paths: str, schema: T.StructType | None = None,
                  columns: Sequence[str] | None = None) -> DataFrame:
-    """One table from a file, a directory or several of them; only ``columns`` are read."""
+    """One table from a file, a directory or several of them; only ``columns`` are read.
+
+    Columns of ``schema`` or ``columns`` that the files don't have are an error, found before any row
+    is read: Spark would read them as nulls.
+    """
     require_paths(spark, *paths)
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    df = reader.option("mergeSchema", "false").parquet(*paths)
-    return df if columns is None else require_columns(df, columns).select(*columns)
+    there = spark.read.option("mergeSchema", "false").parquet(*paths)
+    if schema is not None:
+        require_columns(there, [n for n in schema.names if columns is None or n in columns])
+    df = there if schema is None else spark.read.schema(schema).parquet(*paths)
+    return df if columns is None else require_columns(require_columns(there, columns), columns).select(*columns)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, columns: Sequence[str] | None = None,
@@ -79,17 +85,21 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_vocabulary_text(spark: SparkSession, path: str, first_id: int = 2) -> DataFrame:
-    """(token, token_id) from a text file with a token per line; blank lines take no id.
+    """(token, token_id) from text files with a token per line; blank lines take no id.
 
-    The file is read as one value because line order gives the ids: for vocabulary files, which
-    are small, not for data.
+    Ids go on from file to file, in the order of their names. A file is read as one value because
+    line order gives the ids; a large vocabulary is several files.
     """
     require_paths(spark, path)
     lines = F.split(F.col("value"), "\r\n|\n|\r")
     stripped = F.transform(lines, lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
     tokens = F.filter(stripped, lambda t: F.length(t) > 0)
-    placed = spark.read.text(path, wholetext=True).select(F.posexplode(tokens).alias("i", "token"))
-    return placed.select("token", (F.col("i") + first_id).cast("int").alias("token_id"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), tokens.alias("tokens"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    sizes = files.groupBy("file").agg(F.sum(F.size("tokens")).alias("n"))
+    before = sizes.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = files.join(before, "file").select("before", F.posexplode("tokens").alias("i", "token"))
+    return placed.select("token", (F.col("before") + F.col("i") + first_id).cast("int").alias("token_id"))
 
 
 def read_records(spark: SparkSession, path: str, subset: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
@@ -15,27 +16,32 @@ from assayforge.operators.models import score
 from assayforge.operators.vocabulary import encode_tokens
 
 
-def stream_parquet(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
-    """Rows of the Parquet files matching a glob path, in file arrival order."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def stream_parquet(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """Rows of the Parquet files matching a glob path, in file arrival order; all new files at once by default."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(path)
 
 
-def stream_csv(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
+def stream_csv(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
     """Rows of the CSV files in a directory; the header must follow ``schema``."""
     reader = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
-    return reader.option("maxFilesPerTrigger", files_per_trigger).csv(path)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).csv(path)
 
 
 def append_once(df: DataFrame, output: str, checkpoint: str,
                 transform: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> StreamingQuery:
     """Processes what is there, writing each micro-batch to its own folder of ``output``.
 
-    The folder is named after the batch id and overwritten, so a batch repeated after a failure
-    replaces its first attempt instead of adding rows twice.
+    The folder is named after the query id, which the checkpoint keeps, and the batch id. It is
+    overwritten, so a batch repeated after a failure replaces its first attempt instead of adding rows
+    twice, while another query with a checkpoint of its own adds to what is there.
     """
+    query_id: list[str] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        if not query_id:
+            query_id.append(json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"])
+        transform(batch).write.mode("overwrite").parquet(f"{output}/query_id={query_id[0]}/batch_id={batch_id}")
 
     return (
         df.writeStream.foreachBatch(write)
@@ -68,4 +74,4 @@ def prepare_stream(df: DataFrame, text: str, vocab: DataFrame, output: str, chec
 
 def read_appended(spark: SparkSession, output: str) -> DataFrame:
     """Everything written so far."""
-    return spark.read.parquet(output).drop("batch_id")
+    return spark.read.parquet(output).drop("query_id", "batch_id")

@@ -174,3 +174,10 @@ def test_evaluate_modes(spark, predictions):
     assert fps["n"] == 2 and fps["auc"] == pytest.approx(1.0)
     with pytest.raises(ValueError):
         evaluate.evaluate(bits, "other")
+
+
+@pytest.mark.parametrize("p", [1.02, -0.1, float("nan"), None])
+def test_pr_auc_refuses_predictions_outside_its_range(spark, p):
+    df = spark.createDataFrame([(1, 0.5), (0, 0.2), (1, p)], "y int, p double")
+    with pytest.raises(Exception, match="outside 0..1"):
+        curves.pr_auc(df).collect()

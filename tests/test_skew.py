@@ -51,3 +51,18 @@ def test_long_texts_do_not_fit(spark):
     wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("t"))
     assert fits_broadcast(wide, max_bytes=10_000) and not fits_broadcast(wide, max_bytes=9_999)
     assert fits_broadcast(wide.limit(0))
+    nested = spark.range(10).select(F.array_repeat("id", 1000).alias("a"))
+    assert not fits_broadcast(nested, max_bytes=10_000)
+
+
+def test_identical_rows_of_a_hot_key_are_dealt(spark, dims):
+    same = spark.range(6000).select(F.lit(7).cast("long").alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = spread_join(same, dims, ["k"]).withColumn("part", F.spark_partition_id())
+        sizes = [r["count"] for r in joined.groupBy("part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 6000 and max(sizes) < 3000

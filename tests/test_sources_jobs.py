@@ -28,7 +28,7 @@ def inputs(spark, tmp_path_factory, assay_train, assay_test):
 def built(spark, inputs):
     out = {n: str(inputs / f"{n}.out") for n in ("unified", "vocab", "records", "submission")}
     jobs.prepare_dataset(spark, str(inputs / "train.parquet"), str(inputs / "test.parquet"),
-                         str(inputs / "extra.csv"), out["unified"], partitions=4)
+                         str(inputs / "extra.csv"), out["unified"], partitions=4, order_by="id")
     jobs.extract_vocabulary(spark, out["unified"], out["vocab"])
     jobs.build_records(spark, out["unified"], out["records"])
     return out
@@ -151,7 +151,7 @@ def test_parquet_sources(spark, inputs):
     by_sql = readers.parquet_relation(spark, train, "binds = 1")
     assert by_sql.count() == 8
     assert "PushedFilters: [IsNotNull(binds), EqualTo(binds,1)]" in by_sql._jdf.queryExecution().executedPlan().toString()
-    assert readers.read_assays(spark, train, schemas.RAW_TRAIN).columns[1:5] == ["block1", "block2", "block3", "smiles"]
+    assert readers.read_assays(spark, train, schemas.RAW_TRAIN).columns[:4] == ["block1", "block2", "block3", "smiles"]
 
 
 def test_molecules_and_preview(spark):
@@ -188,3 +188,32 @@ def test_shared_folder_must_be_named_on_a_cluster(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
     assert session.new_folder(spark, "x").startswith(session.shared_dir(spark))
+
+
+def test_absent_columns_are_an_error(spark, inputs, tmp_path):
+    train = str(inputs / "train.parquet")
+    bare = str(tmp_path / "bare.parquet")
+    spark.read.parquet(train).drop("binds", "id").write.parquet(bare)
+    with pytest.raises(ValueError, match="binds"):
+        readers.read_assays(spark, bare, schemas.RAW_TRAIN)
+    with pytest.raises(ValueError, match="id"):
+        jobs.prepare_dataset(spark, train, bare, str(inputs / "extra.csv"), str(tmp_path / "out"))
+
+
+def test_labels_survive_without_an_order(spark, inputs, tmp_path):
+    train = str(tmp_path / "train.parquet")
+    spark.read.parquet(str(inputs / "train.parquet")).drop("id").write.parquet(train)
+    df = jobs.prepare_dataset(spark, train, str(inputs / "test.parquet"), str(inputs / "extra.csv"), str(tmp_path / "out"))
+    assert [1, 0, 1] in [list(r["binds"]) for r in df.where("subset < 2").collect()]
+
+
+def test_vocabulary_text_of_several_files_has_unique_ids(spark, tmp_path):
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "part-0.txt").write_text("C\nN\n")
+    (tmp_path / "v" / "part-1.txt").write_text("\nO\n")
+    rows = readers.import_vocabulary_text(spark, str(tmp_path / "v")).collect()
+    assert sorted(map(tuple, rows)) == [("C", 2), ("N", 3), ("O", 4)]
+    many = spark.range(5000).select(F.col("id").cast("string").alias("token"), (F.col("id") + 2).cast("int").alias("token_id"))
+    writers.export_vocabulary_text(many, str(tmp_path / "many"))
+    back = readers.import_vocabulary_text(spark, str(tmp_path / "many"))
+    assert back.join(many, ["token", "token_id"]).count() == 5000

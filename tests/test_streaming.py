@@ -63,10 +63,18 @@ def test_a_repeated_batch_replaces_its_first_attempt(spark, tmp_path, arriving):
     add("one", 0, 10)
     out = str(tmp_path / "out")
     schema = spark.read.parquet(str(folder)).schema
-    for attempt in ("first", "second"):
+
+    def run(checkpoint):
         stream = incremental.stream_parquet(spark, str(folder), schema)
-        incremental.append_once(stream, out, str(tmp_path / attempt)).awaitTermination()
+        incremental.append_once(stream, out, str(tmp_path / checkpoint)).awaitTermination()
+
+    run("first")
+    for commit in (tmp_path / "first" / "commits").iterdir():  # as if the batch had failed after writing
+        commit.unlink()
+    run("first")
     assert incremental.read_appended(spark, out).count() == 10
+    run("second")  # another query adds its rows
+    assert incremental.read_appended(spark, out).count() == 20
 
 
 def test_csv_stream(spark, tmp_path):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayforge.llm.batches import document_hash, fresh, map_rows, slices
+from assayforge.llm.batches import document_hash, fresh, map_rows, slices, written
 
 GRAM_WORDS = 8
 WINDOW_WORDS = 8
@@ -104,9 +104,10 @@ def repeated_lines(docs: DataFrame, *, gram_words: int = GRAM_WORDS, window_word
                         out[name].append(value)
             yield {name: pa.array(values) if values else values for name, values in out.items()} if out["key"] else out
 
-    found = map_rows(own, run, "key long, doc_id long, text_hash long, a long, b long")
+    found = written(map_rows(own, run, "key long, doc_id long, text_hash long, a long, b long"), "line-keys")
     place = F.struct("doc_id", "text_hash", "a")
     first = found.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    first = written(first, "first-lines")  # a join of two tables, so that adaptive execution can cut a common key's rows
     later = found.join(first.select("key", "first"), "key").where(place != F.col("first"))
     lines = later.select("doc_id", "text_hash", F.explode(F.sequence("a", "b")).alias("line"))
     return lines.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("removed"))

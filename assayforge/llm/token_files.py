@@ -245,7 +245,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 yield {"doc_id": [r[0] for r in rows], "start": [start + r[1] for r in rows],
                        "ids": binary_array(ids, sizes)}
 
-    return map_rows(manifest.select("path", "start").repartition(F.col("path")), run,
+    shards = manifest.count()  # a task for each, which adaptive execution would join to a few
+    return map_rows(manifest.select("path", "start").repartition(max(1, shards), "path"), run,
                     "doc_id long, start long, ids binary")
 
 

@@ -7,10 +7,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayforge.llm.batches import document_hash, fresh, map_rows, slices, written
 
@@ -119,6 +121,22 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+@F.pandas_udf(T.StringType())
+def _replaced(text: pd.Series, spans: pd.Series, mark: pd.Series) -> pd.Series:
+    """The pieces of each text between its spans; a span that begins inside an earlier one only moves its end."""
+    def cut(value, found, sign):
+        if value is None or found is None:
+            return value
+        parts, at = [], 0
+        for span in found:
+            if span["a"] >= at:
+                parts += [value[at:span["a"]], sign]
+            at = max(at, span["b"])
+        return "".join([*parts, value[at:]])
+
+    return pd.Series([cut(*row) for row in zip(text, spans, mark, strict=True)], dtype=object)
+
+
 def redacted(docs: DataFrame, *, mark: str = "[SECRET]", repository: str = "source", owner: str = "source") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``, and n_chars counted anew where there is one.
 
@@ -131,15 +149,8 @@ def redacted(docs: DataFrame, *, mark: str = "[SECRET]", repository: str = "sour
     ).dropDuplicates(["_id", "_hash"])
     marked = docs.withColumn(key, document_hash(docs["text"]))
     both = marked.join(found, marked["doc_id"].cast("long").eqNullSafe(found["_id"]) & (marked[key] == found["_hash"]), "left")
-    # Pieces of the text between spans; a span that begins inside an earlier one only moves its end.
-    parts = F.aggregate(
-        F.col(spans), F.struct(F.lit("").alias("text"), F.lit(0).alias("at")),
-        lambda acc, s: F.when(s["b"] <= acc["at"], acc).otherwise(F.struct(
-            F.concat(acc["text"], F.when(s["a"] >= acc["at"], F.concat(
-                F.substring(F.col("text"), acc["at"] + 1, s["a"] - acc["at"]), F.lit(mark))).otherwise(F.lit("")),
-            ).alias("text"), s["b"].alias("at"))))
-    cut = F.transform(F.array(parts), lambda p: F.concat(p["text"], F.substring(F.col("text"), p["at"] + 1, F.length("text"))))[0]
-    changed = F.when(F.col(spans).isNull(), F.col("text")).otherwise(cut)
+    changed = F.when(F.col(spans).isNull(), F.col("text")).otherwise(
+        _replaced(F.when(F.col(spans).isNotNull(), F.col("text")), F.col(spans), F.lit(mark)))
     out = both.withColumn("text", changed)
     if "n_chars" in docs.columns:
         length = F.length("text").cast(dict(docs.dtypes)["n_chars"])

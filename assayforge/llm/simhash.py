@@ -74,13 +74,15 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. A null text counts as empty; each row gives a row."""
+    """(doc_id, text_hash, fp): fp is the fingerprint as a signed long. A null text is empty; each row gives a row."""
+    own = texts(docs).withColumn("text_hash", document_hash(F.col("text")))
+
     def run(batches):
         for batch in slices(batches):
-            own = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield {"doc_id": batch.column(0), "fp": pa.array(own.view(np.int64))}
+            found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
+            yield {"doc_id": batch.column(0), "text_hash": batch.column(2), "fp": pa.array(found.view(np.int64))}
 
-    return map_rows(texts(docs), run, "doc_id long, fp long")
+    return map_rows(own, run, "doc_id long, text_hash long, fp long")
 
 
 def near_rows(fps: np.ndarray, radius: int) -> np.ndarray:
@@ -237,6 +239,15 @@ def links(fps: DataFrame, *, radius: int = RADIUS, tile: int = TILE) -> DataFram
     return map_rows(ordered, run, "a long, b long").distinct()
 
 
+def _groups(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprint of each row, and (fp, first, root): the smallest doc_id that has it, and its group's name."""
+    rows = written(fingerprints(docs), "fingerprints")
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    joined = components(links(distinct.select("fp"), radius=radius))
+    return rows, distinct.join(joined, distinct["fp"] == joined["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``.
 
@@ -246,11 +257,7 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     Repeated rows give rows each; a null doc_id never names a component unless all its ids are null.
     No rows give no rows. Equal fingerprints are compared once, however many documents share them.
     """
-    rows = written(fingerprints(docs), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    joined = components(links(distinct.select("fp"), radius=radius))
-    named = distinct.join(joined, distinct["fp"] == joined["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    rows, named = _groups(docs, radius)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select(
@@ -260,18 +267,16 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that with the smallest doc_id.
 
-    Among rows that share that doc_id, one with the smallest text hash stays. A document with a null
-    doc_id stays if no other of its group has one.
+    Of several texts with that doc_id, the one with the smallest hash stays, and of rows that repeat
+    doc_id and text, one. Null doc_ids come last: such a document stays only where its group has no
+    other id. Groups are those of the texts, so unlike texts with equal or null ids all stay.
     """
-    rows = near_duplicates(docs, radius=radius).select("component_id", "doc_id").distinct()
-    keep = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return _one_row_each(docs, keep)
-
-
-def _one_row_each(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    rank, wanted = fresh(docs, "_rank"), keep.toDF("_wanted")
-    first = Window.partitionBy("doc_id").orderBy(document_hash(F.col("text")))
-    return (docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_wanted"]), "left_semi")
-            .withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank))
+    rows, named = _groups(docs, radius)
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    least = rows.groupBy("fp").agg(F.min(place).alias("least")).join(named, "fp").groupBy("root").agg(
+        F.min("least").alias("least"))
+    keep = least.select(F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash"))
+    key = fresh(docs, "_text_hash")
+    marked = docs.withColumn(key, document_hash(docs["text"]))
+    same = marked["doc_id"].cast("long").eqNullSafe(keep["_id"]) & (marked[key] == keep["_hash"])
+    return marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", key]).drop(key)

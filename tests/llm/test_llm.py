@@ -218,6 +218,24 @@ def test_simhash(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0 == simhash.without_near_duplicates(none).count()
 
 
+def test_unlike_texts_with_equal_or_null_ids_all_stay(spark):
+    rng = random.Random(11)
+    one, two, three, four = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    made = [(None, one), (None, one), (None, two), (1, one), (5, three), (5, four), (2, three), (5, four), (None, four + " ")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in made], "doc_id long, text string, _text_hash string")
+    kept = simhash.without_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert Counter((r[0], r[1]) for r in kept.collect()) == Counter([(1, one), (None, two), (2, three), (5, four)])
+
+
+def test_redaction_of_overlapping_spans(spark):
+    key = "aB3dE5gH7jK9mN1pQ4sT6vW8"
+    made = [(1, f"é token={key} and {key}, AKIA{'Z9' * 9}"), (2, None), (3, ""), (4, "plain words")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in made], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert got == {1: "é [SECRET] and [SECRET], [SECRET]", 2: None, 3: "", 4: "plain words"}
+
+
 @pytest.mark.parametrize("radius", [0, 1, 3])
 @pytest.mark.parametrize("tile", [5, 8192])
 def test_links_join_all_near_pairs(spark, radius, tile):

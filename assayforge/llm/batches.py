@@ -111,7 +111,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = BYTES
 def gathered(packed: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The packed 32-bit integers of ``packed[i]`` for each i of ``index``, in a row, and how many each has."""
     sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-    values = np.frombuffer(b"".join(packed), "<u4")
+    return runs_of(np.frombuffer(b"".join(packed), "<u4"), sizes, index)
+
+
+def runs_of(values: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run i of ``values``, which holds runs of ``sizes`` in a row, for each i of ``index``, and how long each is."""
     first = np.cumsum(sizes) - sizes
     taken = sizes[index]
     shift = first[index] - (np.cumsum(taken) - taken)

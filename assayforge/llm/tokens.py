@@ -1,29 +1,29 @@
-"""Token ids of the lower-casing word tokenizer, with a memo of what stands between white space.
+"""Token ids of the lower-casing word tokenizer, with a memo of the pieces that its pattern cuts.
 
 No token of that tokenizer crosses white space, so the ids of a text are those of its chunks in
-order. A chunk seen before costs one dictionary look-up. Unseen chunks of plain Latin letters, digits
-and signs are lower-cased, cut by the tokenizer's own pattern, and merged together, many pieces in one
-array; the merge list is read from the tokenizers library. All other chunks go through the library.
+order. A batch's different chunks of plain Latin letters, digits and signs are lower-cased and cut by
+the tokenizer's own pattern in Arrow. A piece seen before costs one dictionary look-up; unseen ones are
+merged together, many pieces in one array; the merge list is read from the tokenizers library. All other
+chunks go through the library.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from assayforge.llm.batches import Memo, Rows, binary_array, gathered, per_worker, slices
+from assayforge.llm.batches import Memo, Rows, binary_array, gathered, per_worker, runs_of, slices
 
-MEMO_CHUNKS = 120_000
-LONGEST_MEMO = 48
+MEMO_PIECES = 120_000
+LONGEST_CUT = 48
 TABLE_BITS = 20
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
 # Fixed value: the tokenizer's pre-split, for plain chunks.
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PIECES = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
 _NONE = np.int32(2**31 - 1)
 
 
@@ -134,40 +134,43 @@ class WordTokenizer:
         self.merges = Merges([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs],
                              np.array([vocab[letters[b]] for b in range(256)], np.int32),
                              np.array([vocab[letters[b] + suffix] for b in range(256)], np.int32))
-        self.memo = Memo(MEMO_CHUNKS)
+        self.memo = Memo(MEMO_PIECES)
 
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        """Ids of different chunks."""
-        known = self.memo
-        found = known.find(chunks)
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces."""
+        found = self.memo.find(pieces)
         unseen = [i for i, ids in enumerate(found) if ids is None]
-        cut: dict[int, list[str]] = {}
-        pieces: dict[str, bytes | None] = {}
-        for i in unseen:
-            chunk = chunks[i]
-            if len(chunk) <= LONGEST_MEMO and _PLAIN.fullmatch(chunk):
-                cut[i] = own = _PIECES.findall(chunk.lower())
-                for piece in own:
-                    pieces[piece] = None
-            else:
-                found[i] = np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = dict(zip(pieces, known.find(list(pieces)), strict=True))
-        new = [piece for piece, ids in pieces.items() if ids is None]
-        pieces.update(zip(new, self.merges([p.encode() for p in new]), strict=True))
-        known.update((p, pieces[p]) for p in new)
-        for i, own in cut.items():
-            if len(own) == 1:
-                found[i] = pieces[own[0]]
-            else:
-                found[i] = known[chunks[i]] = b"".join([pieces[p] for p in own])
+        new = [pieces[i] for i in unseen]
+        for i, ids in zip(unseen, self.merges([p.encode() for p in new]), strict=True):
+            found[i] = ids
+        self.memo.update(zip(new, [found[i] for i in unseen], strict=True))
         return found
 
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different chunks in a row, and how many each has."""
+        plain = pc.and_(pc.match_substring_regex(chunks, _PLAIN), pc.less_equal(pc.utf8_length(chunks), LONGEST_CUT))
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        cut = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(
+            pc.replace_substring_regex(pc.utf8_lower(chunks.filter(plain)), _PIECES, r"\1 ")))
+        coded = cut.flatten().dictionary_encode()
+        own, each = gathered(self._pieces(coded.dictionary.to_pylist()), coded.indices.to_numpy())
+        other = [np.array(self.whole.encode(c, add_special_tokens=False).ids, "<u4")
+                 for c in chunks.filter(pc.invert(plain)).to_pylist()]
+        if not other:
+            return own, np.diff(np.concatenate([[0], np.cumsum(each)])[cut.offsets.to_numpy()])
+        sizes = np.zeros(len(chunks), np.int64)
+        sizes[is_plain] = np.diff(np.concatenate([[0], np.cumsum(each)])[cut.offsets.to_numpy()])
+        sizes[~is_plain] = [len(ids) for ids in other]
+        ids, from_plain = np.zeros(sizes.sum(), "<u4"), np.repeat(is_plain, sizes)
+        ids[from_plain], ids[~from_plain] = own, np.concatenate(other)
+        return ids, sizes
+
     def encode(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin, with the end of the last."""
         split = pc.ascii_split_whitespace(batch)
         places = split.offsets.to_numpy().astype(np.int64)
         words = split.values.slice(places[0], places[-1] - places[0]).dictionary_encode()
-        ids, sizes = gathered(self._learn(words.dictionary.to_pylist()), words.indices.to_numpy())
+        ids, sizes = runs_of(*self._chunks(words.dictionary), words.indices.to_numpy())
         return ids, np.concatenate([[0], np.cumsum(sizes)])[places - places[0]]
 
 

@@ -88,6 +88,7 @@ def map_rows(df: DataFrame, *steps: Rows | str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in arrow],
                 schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker lives on, and the next stage may need the room
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fn, arrow in parts:

@@ -11,7 +11,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from assayforge.llm.batches import map_rows, slices, texts
 
+BYTES_PER_STEP = 2**20  # of text: what a worker holds in arrays is about thirty times as much
 TRAINING_ROWS = 2000  # of each label: bounds what the driver gets to fit the field
 STEPS = 120
 PENALTY = 1e-3
@@ -244,7 +244,7 @@ def _scores(batch: pa.Array, model: LineField | float) -> np.ndarray:
 def score(docs: DataFrame, model: LineField | float) -> DataFrame:
     """(doc_id, score) of every row, null and empty texts (which have no lines) too."""
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, most=BYTES_PER_STEP):
             yield {"doc_id": batch.column(0), "score": pa.array(_scores(batch.column(1), model), pa.float64())}
 
     return map_rows(texts(docs), run, "doc_id long, score double")
@@ -264,9 +264,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: in
 
 def accepted(docs: DataFrame, model: LineField | float, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``least``, with all their columns."""
-    @F.pandas_udf("double")
-    def scored(text: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(text.fillna(""), pa.string())], names=["text"])
-        return pd.Series(np.concatenate([np.zeros(0), *(_scores(part.column(0), model) for part in slices([batch], 0))]))
+    @F.arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([pc.fill_null(text.cast(pa.string()), "")], names=["text"])
+        parts = [_scores(part.column(0), model) for part in slices([batch], 0, BYTES_PER_STEP)]
+        return pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
     return docs.where(scored(F.col("text").cast("string")) >= least)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayforge.operators.sample import below_cutoff, hash_cutoffs
-from assayforge.operators.skew import fits_broadcast, spread_join
+from assayforge.operators.skew import fits_broadcast, hot_keys, spread_join
 from assayforge.schemas import TRAIN, VALIDATION
 from assayforge.session import pinned
 
@@ -61,7 +61,7 @@ def flag_members(df: DataFrame, columns: Sequence[str], keys: DataFrame, key: st
     """Adds whether any of ``columns`` is in the given key set.
 
     The key set is written out once, then broadcast if its counted size allows; a larger one is
-    joined with hot keys spread.
+    joined with hot keys spread, which are looked for in ``df``, not in what earlier joins made of it.
     """
     members = pinned(keys.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct())
     small = fits_broadcast(members)
@@ -69,7 +69,8 @@ def flag_members(df: DataFrame, columns: Sequence[str], keys: DataFrame, key: st
     for i, column in enumerate(columns):
         found = members.select(F.col("_key").alias(column), F.lit(True).alias(f"_in{i}"))
         marked = (
-            marked.join(F.broadcast(found), column, "left") if small else spread_join(marked, found, [column], "left")
+            marked.join(F.broadcast(found), column, "left") if small
+            else spread_join(marked, found, [column], "left", hot=hot_keys(df, [column]))
         )
         flags.append(F.coalesce(F.col(f"_in{i}"), F.lit(False)))
     return marked.withColumn(out, reduce(or_, flags)).select(*df.columns, out)

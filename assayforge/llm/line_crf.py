@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from assayforge.llm.batches import map_rows, slices, texts
 
-BYTES_PER_STEP = 2**20  # of text: what a worker holds in arrays is about thirty times as much
+BYTES_PER_STEP = 2**20  # of text that is scored at once: bounds the arrays a worker holds
 TRAINING_ROWS = 2000  # of each label: bounds what the driver gets to fit the field
 STEPS = 120
 PENALTY = 1e-3

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assayforge.functions.hashing import uniform
 from assayforge.functions.sequences import SMILES_PATTERN, TEXT_PATTERN, tokenize
-from assayforge.functions.udfs import batch_scorer
+from assayforge.functions.udfs import batch_scorer, map_batches, safe_map
 from assayforge.operators import features, models, scoring, unify, vocabulary
 from assayforge.operators.fingerprint import token_fingerprint
 from assayforge.plans.preparation_queries import STATUSES, TEST_CTE, assay_test
@@ -84,6 +84,36 @@ def batch_predict(spark, d):
     return vectors.select("vec_id", F.round(F.get(score("v"), 0), 6).alias("score"))
 
 
+def shortened(text: str) -> str:
+    """The text without its last character; an odd length is refused."""
+    if len(text) % 2:
+        raise ValueError(text)
+    return text[:-1]
+
+
+_EVEN = "CASE WHEN length(p_name) % 2 = 0 THEN left(p_name, -1) {} END"
+
+
+@query(f"SELECT p_partkey, {_EVEN.format('')} AS or_null, {_EVEN.format('ELSE p_name')} AS or_same FROM part")
+def safe_strings(spark, d):
+    """A user's function that rejects some values, with null or the value itself in their place."""
+    return table(spark, d, "part").select(
+        "p_partkey", safe_map(shortened, "null")("p_name").alias("or_null"),
+        safe_map(shortened, "keep")("p_name").alias("or_same"))
+
+
+@query("SELECT vec_id, max(x) AS largest, min(x) AS smallest FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x "
+       "FROM embeddings) GROUP BY vec_id")
+def batch_ranges(spark, d):
+    """A user's function from batch to batch: the largest and smallest component of every vector."""
+    def ranges(batch):
+        vectors = np.stack(batch["embedding"].to_numpy()).astype("float64")
+        return batch[["vec_id"]].assign(largest=vectors.max(axis=1), smallest=vectors.min(axis=1))
+
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return map_batches(vectors, ranges, "vec_id long, largest double, smallest double")
+
+
 def load_residues():
     """Three scores from the sum of a sequence's token ids."""
 

@@ -177,7 +177,8 @@ def split_antijoin(spark, d):
 
 @query(f"""WITH {held_out_cte('lineitem', BLOCKS)}
   SELECT count(*) FILTER (WHERE NOT ({_SPLIT})) AS n_train, count(*) FILTER (WHERE {_SPLIT}) AS n_validation,
-    0::BIGINT AS n_leaked FROM lineitem""")
+    (SELECT count(DISTINCT row) FROM (SELECT (l_orderkey, l_linenumber) AS row, unnest([l_orderkey, l_partkey, l_suppkey]) AS block
+      FROM lineitem WHERE NOT ({_SPLIT})) SEMI JOIN held USING (block)) AS n_leaked FROM lineitem""")
 def split_leakage(spark, d):
     lines = table(spark, d, "lineitem").select(*BLOCKS)
     held = split.held_out_keys(lines, BLOCKS, seed=SEED)

@@ -18,7 +18,7 @@ from assayforge.functions.sequences import (
     replace_pattern,
     tokenize,
 )
-from assayforge.operators import fingerprint, losses, masking, vocabulary
+from assayforge.operators import fingerprint, losses, masking, views, vocabulary
 from assayforge.plans.preparation_queries import SEED, UNIFIED_CTE, unified
 from assayforge.plans.registry import query, spread_table, sql_uint32, sql_uniform, table
 from assayforge.schemas import FIRST_TOKEN_ID
@@ -219,6 +219,59 @@ def graph_fingerprint(spark, d):
     return bits.select("conv_id", F.size("bits").alias("n_bits"), _joined(F.col("bits")).alias("bits"))
 
 
+# --- training records and their views -----------------------------------------------------------
+
+VIEW_LENGTH = 64
+_CLEAN_TOKENS = "regexp_extract_all(replace(smiles, '[Dy]', '[H]'), '" + SMILES_PATTERN + "')"
+VIEW_CTE = f"""{UNIFIED_CTE},
+  occ AS (SELECT name, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos
+    FROM (SELECT smiles AS name, {_SMILES_TOKENS} AS tokens FROM unified)),
+  vocab AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS id FROM (SELECT DISTINCT token FROM occ)),
+  enc AS (SELECT name, array_to_string(list_resize(ids, greatest({VIEW_LENGTH}, len(ids)), 0), ' ') AS input
+    FROM (SELECT name, list(id ORDER BY pos) AS ids FROM occ JOIN vocab USING (token) GROUP BY name))"""
+
+
+def stored_records(spark, d):
+    """Training records written by subset and read back, keyed by the string, and their vocabulary."""
+    rows = pinned(unified(spark, d).withColumn("name", F.col("smiles")))
+    folder = new_folder(spark, "records")
+    writers.write_records(views.make_records(rows, keep=["name"]), folder)
+    records = readers.read_records(spark, folder)
+    return records, pinned(vocabulary.build_vocabulary(records, "smiles"))
+
+
+@query(f"""WITH {VIEW_CTE}
+  SELECT name, input, array_to_string(binds, ',') AS binds FROM enc JOIN unified ON name = smiles WHERE subset = 0""")
+def view_clf(spark, d):
+    """Inputs and labels of the rows that classification trains on."""
+    records, vocab = stored_records(spark, d)
+    view = views.training_view(records, "clf", vocab, key=["name"], max_length=VIEW_LENGTH, on_overflow="keep")
+    return view.select("name", _joined(F.col("input")).alias("input"),
+                       F.array_join(F.col("binds").cast("array<string>"), ",").alias("binds"))
+
+
+@query(f"""WITH {VIEW_CTE},
+  placed AS (SELECT smiles AS doc_id, tokens, unnest(generate_series(1, len(tokens))) AS pos
+    FROM (SELECT smiles, {_CLEAN_TOKENS} AS tokens FROM unified WHERE subset = 1)),
+  bits AS (SELECT DISTINCT doc_id, bit FROM ({_window_bits(2048, 2)}))
+  SELECT name, input, string_agg(bit, ' ' ORDER BY bit) AS ecfp FROM enc JOIN bits ON name = doc_id GROUP BY ALL""")
+def view_fps(spark, d):
+    """Inputs and set bits of the rows that fingerprint prediction validates on."""
+    records, vocab = stored_records(spark, d)
+    view = views.training_view(records, "fps", vocab, key=["name"], max_length=VIEW_LENGTH, on_overflow="keep",
+                               validation=True)
+    return view.select("name", _joined(F.col("input")).alias("input"), _joined(F.col("ecfp")).alias("ecfp"))
+
+
+@query(f"""SELECT token, (row_number() OVER (ORDER BY token) + 1)::INTEGER AS token_id
+  FROM (SELECT DISTINCT unnest(tokens) AS token FROM ({_TOKENS}))""")
+def vocabulary_text(spark, d):
+    """The vocabulary of all documents as text files, a token a line, and back with the ids of the lines."""
+    folder = new_folder(spark, "vocabulary-text")
+    writers.export_vocabulary_text(vocabulary.build_vocabulary(document_tokens(spark, d), "tokens"), folder)
+    return readers.import_vocabulary_text(spark, folder)
+
+
 # --- incremental preparation ------------------------------------------------------------------
 
 @query(r"""WITH tok AS (SELECT p_partkey, p_name, regexp_extract_all(p_name, '([A-Za-z0-9]+|[^A-Za-z0-9 \t\n\r])')

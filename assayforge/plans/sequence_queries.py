@@ -263,6 +263,24 @@ def view_fps(spark, d):
     return view.select("name", _joined(F.col("input")).alias("input"), _joined(F.col("ecfp")).alias("ecfp"))
 
 
+def _padded_sql(column: str, fill: int) -> str:
+    return f"array_to_string(list_resize(list({column} ORDER BY pos), greatest({VIEW_LENGTH}, count(*)), {fill}), ' ')"
+
+
+@query(f"""WITH {UNIFIED_CTE},
+  occ AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos
+    FROM (SELECT smiles AS doc_id, {_SMILES_TOKENS} AS tokens FROM unified)),
+  vocab AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS id FROM (SELECT DISTINCT token FROM occ)),
+  enc AS (SELECT doc_id, pos, id FROM occ JOIN vocab USING (token)),
+  {_mask_cte()}
+  SELECT doc_id AS name, {_padded_sql('input', 0)} AS input, {_padded_sql('label', -1)} AS label FROM masked GROUP BY doc_id""")
+def view_mlm(spark, d):
+    """Masked inputs and selected labels of all rows; padding is never selected."""
+    records, vocab = stored_records(spark, d)
+    view = views.training_view(records, "mlm", vocab, key=["name"], max_length=VIEW_LENGTH, on_overflow="keep", seed=SEED)
+    return view.select("name", _joined(F.col("input")).alias("input"), _joined(F.col("target.label")).alias("label"))
+
+
 @query(f"""SELECT token, (row_number() OVER (ORDER BY token) + 1)::INTEGER AS token_id
   FROM (SELECT DISTINCT unnest(tokens) AS token FROM ({_TOKENS}))""")
 def vocabulary_text(spark, d):

@@ -65,8 +65,11 @@ def search_block(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own:
             order = order[np.argsort(-bound[order], kind="stable")]
             place, score, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
             while at < n:
-                if at >= len(order):
-                    order = np.argsort(-bound, kind="stable")
+                if at >= len(order):  # the rows not in the short list yet; its own stay where they were read
+                    rest = np.ones(len(bound), bool)
+                    rest[order] = False
+                    rest = np.flatnonzero(rest)
+                    order = np.concatenate([order, rest[np.argsort(-bound[rest], kind="stable")]])
                 if len(score) >= k and bound[order[at]] < score[k - 1]:
                     break
                 take = order[at:min(n, at + AT_ONCE)]

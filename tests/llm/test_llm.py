@@ -274,6 +274,21 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_reads_every_row_of_equal_bounds_once():
+    rng = np.random.default_rng(7)
+    vectors = rng.integers(-60, 60, (8192, 8))
+    query = np.array([[40, -30, 20, 10, -10, 5, 50, -20]])
+    copies = rng.choice(8192, 1000, replace=False)
+    vectors[copies] = np.where(query > 0, 60, -60)  # 1000 equal vectors, the best there are
+    ids = rng.permutation(8192)
+    own = copies[:1]
+    place, score = next(topk.search_block(query, vectors, ids, [own], 20))
+    exact = vectors @ query[0]
+    left = np.delete(np.arange(8192), own)
+    want = left[np.lexsort((ids[left], -exact[left]))][:20]
+    assert place.tolist() == want.tolist() and score.tolist() == exact[want].tolist()
+
+
 def brute_features(text):
     words = words_of(text or "")
     windows = [tuple(words[i:i + 8]) for i in range(len(words) - 7)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -59,8 +61,14 @@ def selected(words: list[int], hashes: list[int], gram_words: int, window_words:
 def marks(text: str, gram_words: int, window_words: int) -> Iterator[tuple[int, int, int]]:
     """(key, first line, last line) of everything in a text that may be a later copy.
 
-    A key stands for a fingerprint, or for a fingerprint and all lines from it to a line between it and
-    the next one, right or left. Lines are numbered over all of the text's; blank ones have no part in runs.
+    A key stands for a fingerprint, or for a fingerprint and all lines from it to a line right or left of
+    it. Lines are numbered over all of the text's; blank ones have no part in runs.
+
+    A run shared with another text goes on to the right of its last shared fingerprint only while the
+    window from the line after the fingerprint's first one, with its grams, isn't whole in it, or that
+    window would give a later shared one. To the left of the first shared fingerprint it has less than a
+    window's words. So far a fingerprint's lines reach, whatever other fingerprints this text has there:
+    those that straddle the run's border are not the other text's.
     """
     import xxhash
 
@@ -72,10 +80,13 @@ def marks(text: str, gram_words: int, window_words: int) -> Iterator[tuple[int,
             words.append(n)
             hashes.append(xxhash.xxh64_intdigest(line.strip(), 0))
     prints = selected(words, hashes, gram_words, window_words)
-    for i, (start, end, digest) in enumerate(prints):
+    total = [0, *accumulate(words)]
+    for start, end, digest in prints:
         yield digest, places[start], places[end - 1]
-        for seed, reach in ((2, range(end, prints[i + 1][0] if i + 1 < len(prints) else len(words))),
-                            (3, range(start - 1, prints[i - 1][1] - 1 if i else -1, -1))):
+        last = bisect_left(total, total[start + 1] + window_words) - 1  # the window's last gram begins there
+        stop = bisect_left(total, total[last] + gram_words) - 1 if last < len(words) else len(words)
+        least = bisect_right(total, total[start] - window_words)
+        for seed, reach in ((2, range(end, stop)), (3, range(start - 1, least - 1, -1))):
             chain = digest
             for at in reach:
                 chain = xxhash.xxh64_intdigest(chain.to_bytes(8, "little") + hashes[at].to_bytes(8, "little"), seed)

@@ -408,6 +408,40 @@ def test_every_long_repeated_run_goes(spark):
             assert left.count(p.replace("\n", " ")) == 1
 
 
+def brute_runs(texts, least):
+    """The lines (text, line) of all maximal runs of ``least`` words or more that stand at an earlier place too."""
+    flat = [(i, j, line) for i, t in enumerate(texts) for j, line in enumerate(t.split("\n"))]
+    same = lambda a, b: flat[a][2] == flat[b][2]
+    out = set()
+    for b in range(len(flat)):
+        for a in range(b):
+            if not same(a, b) or flat[a][1] and flat[b][1] and same(a - 1, b - 1):
+                continue
+            n = 0
+            while b + n < len(flat) and flat[b + n][0] == flat[b][0] and flat[a + n][0] == flat[a][0] and same(a + n, b + n):
+                n += 1
+            if sum(len(x[2].split()) for x in flat[b:b + n]) >= least:
+                out |= {x[:2] for x in flat[b:b + n]}
+    return out
+
+
+@pytest.mark.parametrize("most", [3, 5, 12])
+def test_removed_lines_are_those_of_all_repeated_runs(spark, most):
+    rng = random.Random(most)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, most)))
+    pool = [line() for _ in range(60)]
+    texts = []
+    for _ in range(40):
+        parts = []
+        for _ in range(3):
+            at = rng.randrange(50)
+            parts += [line() for _ in range(rng.randint(1, 3))] + pool[at:at + rng.randint(2, 25)]
+        texts.append("\n".join([*parts, *[line() for _ in range(rng.randint(0, 3))]]))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {(r["doc_id"], j) for r in line_dedup.repeated_lines(df).collect() for j in r["removed"]}
+    assert brute_runs(texts, line_dedup.GRAM_WORDS + line_dedup.WINDOW_WORDS) <= got <= brute_runs(texts, line_dedup.GRAM_WORDS)
+
+
 def brute_secrets(text):
     found = []
     assign = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""

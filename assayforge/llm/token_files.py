@@ -14,16 +14,18 @@ A key's bucket and two hashes give its slot; a wrong fingerprint says that the k
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayforge.llm.batches import binary_array, map_rows, slices, texts
-from assayforge.llm.tokens import IDS, token_ids, word_tokenizer
+from assayforge.llm.batches import binary_array, document_hash, map_rows, slices, texts, written
+from assayforge.llm.tokens import token_ids, word_tokenizer
 from assayforge.session import new_folder
 
 DOCS_PER_SHARD = 8192
@@ -167,37 +169,103 @@ def _write_shard(system, path: str, width: int, rows: list[tuple[int | None, byt
     return int(ends[-1])
 
 
+class _Ranges:
+    """Range number of each row, ascending with doc_id, null ids first.
+
+    ``hot``: ids (or None) that many rows have, each with its rows and with those of each text hash that
+    many of them share. Such an id is cut by text hash, and equal texts are dealt one by one.
+    """
+
+    def __init__(self, cuts: list[int], hot: dict[int | None, tuple[int, dict[int, int]]], docs_per_shard: int):
+        self.cuts = self._around(cuts, [v for v in hot if v is not None])
+        width = np.ones(len(self.cuts) + 2, np.int64)
+        self.hot = {}
+        for value, (n, copies) in hot.items():
+            parts = -(-n // docs_per_shard)
+            edges = self._around([-2**63 + 2**64 * i // parts for i in range(1, parts)], list(copies))
+            shares = np.ones(len(edges) + 1, np.int64)
+            for h, m in copies.items():
+                shares[np.searchsorted(edges, h)] = -(-m // docs_per_shard)
+            at = 0 if value is None else 1 + int(np.searchsorted(self.cuts, value))
+            self.hot[at] = edges, shares, np.cumsum(shares) - shares
+            width[at] = shares.sum()
+        self.first = np.cumsum(width) - width
+
+    @staticmethod
+    def _around(cuts: list[int], alone: list[int]) -> np.ndarray:
+        """Upper limits of ranges, those of ``alone`` in a range of their own."""
+        return np.array(sorted({*cuts, *alone, *(v - 1 for v in alone if v > -2**63)}), np.int64)
+
+    def places(self, doc_id: np.ndarray, known: np.ndarray, text_hash: np.ndarray, row: np.ndarray) -> np.ndarray:
+        at = np.where(known, 1 + np.searchsorted(self.cuts, doc_id), 0)
+        out = self.first[at]
+        for i in np.unique(at).tolist():
+            if i in self.hot:
+                edges, shares, first = self.hot[i]
+                here = np.flatnonzero(at == i)
+                part = np.searchsorted(edges, text_hash[here])
+                out[here] += first[part] + row[here] % shares[part]
+        return out.astype(np.int32)
+
+
+def _hot(docs: DataFrame, values: list[int], nulls: bool, docs_per_shard: int) -> dict[int | None, tuple[int, dict[int, int]]]:
+    """For each of the ids (and null) its rows, and those of each text hash that more than a shard's rows have."""
+    if not values and not nulls:
+        return {}
+    own = texts(docs).where(F.col("doc_id").isin(values) | (F.lit(nulls) & F.col("doc_id").isNull()))
+    each = own.groupBy("doc_id", document_hash(F.col("text")).alias("h")).count()
+    sizes = {r["doc_id"]: r["n"] for r in each.groupBy("doc_id").agg(F.sum("count").alias("n")).collect()}
+    out: dict = {value: (n, {}) for value, n in sizes.items()}
+    for r in each.where(F.col("count") > docs_per_shard).collect():  # fewer than shards
+        out[r["doc_id"]][1][r["h"]] = r["count"]
+    return out
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = 1,
                       docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
     """Writes all documents' ids, each with ``end_id`` after it, in ascending doc_id order.
 
     Returns the manifest: shard (ascending), path, n_docs, n_ids, start (ids in earlier shards).
     Documents are dealt by ranges of doc_id, of about ``docs_per_shard`` documents each; the limits
-    come from a pass over doc_id alone, and a range is written as one or more shards. A null text is
-    empty. Null ids come first; rows that repeat a doc_id follow each other, in the order of their
-    ids' bytes, and the index leads to the first. No documents give no files. A task that runs again
-    writes the same files again.
+    come from a pass over doc_id alone, and a range is written as one or more shards. An id, or null,
+    with more rows than two shards or so has several ranges, by text hash, and a shard may end within an
+    id. A null text is empty. Null ids come first; rows that repeat a doc_id follow each other, in the
+    order of their ids' bytes within a range, and the index leads to a shard's first. No documents give
+    no files. A task that runs again writes the same files again.
     """
     spark = docs.sparkSession
     width = 2 if word_tokenizer(tokenizer).size <= 1 << 16 and end_id < 1 << 16 else 4
     keys = docs.select(docs["doc_id"].cast("long").alias("doc_id"))
-    n = keys.count()
+    n, known = keys.agg(F.count("*"), F.count("doc_id")).first()
     ranges = max(1, -(-n // docs_per_shard))
-    cuts = keys.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] \
+    cuts = keys.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or [] \
         if ranges > 1 else []
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    # An id with over 2.1 shards' rows is two cuts at least; where there are less than two cuts, a range holds them all.
+    often = [v for v, times in Counter(cuts).items() if times > 1]
+    hot = _hot(docs, often, n - known > docs_per_shard, docs_per_shard)
+    where = _Ranges(cuts, hot, docs_per_shard)
+    own = texts(docs)
+    is_hot = F.col("doc_id").isin(often) | F.col("doc_id").isNull()
+    own = own.withColumn("h", F.when(is_hot, document_hash(F.col("text"))).otherwise(0) if hot else F.lit(0).cast("long"))
 
     def dealt(batches):
+        tokenised = token_ids(tokenizer, end_id)
+        task = TaskContext.get()
+        row = 7919 * task.partitionId() if task else 0  # tasks begin with different shares of equal texts
         for batch in slices(batches):
-            ids = batch.column(1)
-            if width == 2:
-                at = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset:ids.offset + len(ids) + 1]
-                values = np.frombuffer(ids.buffers()[2], "<u4")[at[0] // 4:at[-1] // 4].astype("<u2")
-                ids = binary_array(values, (at - at[0]) // 4)
             doc = batch.column(0)
-            place = np.searchsorted(cuts, doc.fill_null(0).to_numpy(), side="left").astype(np.int32)
-            place[doc.is_null().to_numpy(zero_copy_only=False)] = 0
-            yield {"range": pa.array(place), "doc_id": doc, "ids": ids}
+            place = where.places(doc.fill_null(0).to_numpy(), doc.is_valid().to_numpy(zero_copy_only=False),
+                                 batch.column(2).to_numpy(), row + np.arange(len(doc)))
+            row += len(doc)
+            at = 0
+            for part in tokenised([batch]):
+                ids = part["ids"]
+                if width == 2:
+                    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset:ids.offset + len(ids) + 1]
+                    values = np.frombuffer(ids.buffers()[2], "<u4")[ends[0] // 4:ends[-1] // 4].astype("<u2")
+                    ids = binary_array(values, (ends - ends[0]) // 4)
+                yield {"range": pa.array(place[at:at + len(ids)]), "doc_id": part["doc_id"], "ids": ids}
+                at += len(ids)
 
     def stored(batches):
         system, base = _file_system(folder)
@@ -212,7 +280,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: i
 
         for batch in slices(batches, 2):
             for place, doc, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and (place != at or len(rows) >= 2 * docs_per_shard and doc != rows[-1][0]):
+                if rows and (place != at or len(rows) >= 2 * docs_per_shard):
                     yield close()
                     part = part + 1 if place == at else 0
                     rows = []
@@ -221,7 +289,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: i
         if rows:
             yield close()
 
-    ids = map_rows(texts(docs), token_ids(tokenizer, end_id), IDS, dealt, "range int, doc_id long, ids binary")
+    ids = map_rows(own, dealt, "range int, doc_id long, ids binary")
     ordered = ids.repartition("range").sortWithinPartitions("range", "doc_id", "ids")
     made = map_rows(ordered, stored, "shard long, path string, n_docs long, n_ids long")
     made.write.parquet(f"{folder.rstrip('/')}/manifest")
@@ -253,13 +321,14 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 def look_up(manifest: DataFrame, folder: str, keys: DataFrame) -> DataFrame:
     """(doc_id, ids) of the wanted keys that are there: each shard answers for the keys sent to it.
 
+    Of the shards that were asked for a key and have it, the first one's answer counts.
     ``keys`` has doc_id, and path, the shard that may hold it (from the manifest's ranges).
     """
     def run(batches):
         system, base = _file_system(folder)
         opened: dict[str, Shard] = {}
         for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "ids": []}
+            out: dict[str, list] = {"doc_id": [], "path": [], "ids": []}
             for doc, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if path not in opened:
                     opened = {path: Shard(system, f"{base}/{path}")}
@@ -267,11 +336,16 @@ def look_up(manifest: DataFrame, folder: str, keys: DataFrame) -> DataFrame:
                 at = int(shard.find(np.array([doc or 0]), np.array([doc is not None]))[0])
                 if at >= 0 and shard.doc_id[at] == (doc or 0):
                     out["doc_id"].append(doc)
+                    out["path"].append(path)
                     out["ids"].append(shard.payload[shard.bounds[at]:shard.bounds[at + 1]].astype("<u4").tobytes())
             yield out
 
     wanted = keys.join(manifest.select("path"), "path", "left_semi").select("doc_id", "path")
-    return map_rows(wanted.repartition("path").sortWithinPartitions("path"), run, "doc_id long, ids binary")
+    found = written(map_rows(wanted.repartition("path").sortWithinPartitions("path"), run,
+                             "doc_id long, path string, ids binary"), "looked-up")
+    first = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("path").alias("_path"))
+    return found.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("path") == F.col("_path")), "left_semi").select(
+        "doc_id", "ids")
 
 
 def token_folder(spark: SparkSession) -> str:

@@ -169,6 +169,25 @@ def test_token_files(spark, docs, rows, none, word_ids):
     assert token_files.read_token_files(token_files.write_token_files(none, WORDS, empty), empty).count() == 0
 
 
+def test_token_files_cut_ids_with_many_rows(spark, word_ids):
+    made = [(None, f"no id {i}") for i in range(300)] + [(5, "a copy")] * 400 + [(7, f"text {i}") for i in range(400)]
+    made += [(i, f"own {i}") for i in range(-50, 60) if i not in (5, 7)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    folder = token_files.token_folder(spark)
+    manifest = token_files.write_token_files(df, WORDS, folder, docs_per_shard=32)
+    shards = manifest.collect()
+    assert max(r["n_docs"] for r in shards) <= 64 and len({r["shard"] // 10_000 for r in shards}) > 30
+    got = sorted(((r["start"], r["doc_id"], bytes(r["ids"])) for r in token_files.read_token_files(manifest, folder).collect()))
+    want = Counter((i, packed([*word_ids(t), 1])) for i, t in made)
+    assert Counter((i, ids) for _, i, ids in got) == want
+    assert [i for _, i, _ in got] == [i for i, _ in sorted(made, key=lambda r: (r[0] is not None, r[0] or 0))]
+    assert [s for s, _, _ in got] == np.cumsum([0, *(len(ids) // 4 for _, _, ids in got)])[:-1].tolist()
+    keys = spark.createDataFrame([(5,), (7,), (None,), (12345,)], "doc_id long").crossJoin(manifest.select("path"))
+    found = [(r["doc_id"], bytes(r["ids"])) for r in token_files.look_up(manifest, folder, keys).collect()]
+    first = {i: ids for _, i, ids in reversed(got)}
+    assert sorted(found, key=str) == sorted(((i, first[i]) for i in (5, 7, None)), key=str)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 3000])
 def test_hash_is_minimal_and_perfect(n):
     keys = np.random.default_rng(n).choice(10 * n, n, replace=False)

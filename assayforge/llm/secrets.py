@@ -30,6 +30,10 @@ _NEEDS = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:
 
 BITS_PER_CHARACTER = 3.0
 OWNERS_OF_A_LIVE_ONE = 1
+REPOSITORIES_OF_A_LIVE_ONE = 8  # of one owner, who uses it in a few places; an example is in more of them
+ODD_PIECE = 12
+_SEPARATORS = re.compile(r"[/_=+-]+")
+_PLAIN_PIECE = re.compile(r"[a-z]*(?:[A-Z][a-z]{2,})*[A-Za-z]?[0-9]*|[A-Z]*[0-9]*|[0-9]+[A-Za-z]{0,2}")
 
 _SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 
@@ -41,9 +45,18 @@ def entropy(value: str) -> float:
 
 
 def looks_random(value: str) -> bool:
-    """Letters of both cases or none, digits among them, and ``BITS_PER_CHARACTER`` at least."""
+    """Letters of both cases or none, digits among them, ``BITS_PER_CHARACTER`` at least, and not a path or slug."""
     return (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-            and entropy(value) >= BITS_PER_CHARACTER)
+            and entropy(value) >= BITS_PER_CHARACTER and not looks_like_path(value))
+
+
+def looks_like_path(value: str) -> bool:
+    """Pieces between separators that are mostly words, numbers or numbered words, none of them long and odd."""
+    pieces = [p for p in _SEPARATORS.split(value) if p]
+    if len(pieces) < 2:
+        return False
+    odd = [len(p) for p in pieces if not _PLAIN_PIECE.fullmatch(p)]
+    return max(odd, default=0) < ODD_PIECE and 2 * sum(odd) < sum(map(len, pieces))
 
 
 def base_spans(text: str, kind: str) -> Iterator[tuple[int, int, str]]:
@@ -70,12 +83,13 @@ def _scan(batch: pa.Array) -> list[list[dict]]:
     return found
 
 
-def candidates(docs: DataFrame, repository: str, owner: str) -> DataFrame:
+def candidates(docs: DataFrame, repository: str | None, owner: str) -> DataFrame:
     """(doc_id, text_hash, repository, owner, spans) of every row, spans with the matched values."""
+    places = (docs[repository] if repository else document_hash(docs["text"]), "repository"), (docs[owner], "owner")
     own = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"),
         document_hash(docs["text"]).alias("text_hash"),
-        *[F.coalesce(docs[c].cast("string"), F.lit("")).alias(name) for c, name in ((repository, "repository"), (owner, "owner"))])
+        *[F.coalesce(c.cast("string"), F.lit("")).alias(name) for c, name in places])
 
     def run(batches):
         for batch in slices(batches):
@@ -85,17 +99,19 @@ def candidates(docs: DataFrame, repository: str, owner: str) -> DataFrame:
     return map_rows(own, run, f"doc_id long, text_hash long, repository string, owner string, spans {_SPANS}")
 
 
-def scan(docs: DataFrame, *, repository: str = "source", owner: str = "source") -> DataFrame:
+def scan(docs: DataFrame, *, repository: str | None = None, owner: str = "source") -> DataFrame:
     """Secrets of every row of ``docs``.
 
     Columns: doc_id, text_hash, spans: array of (kind, start, end, owners, repositories, copied), by
     start, then kind. Kinds are ``assign``, ``access`` and ``hex``, by their patterns, and ``live``:
-    random-looking strings of 20 characters or more that only one owner has in the whole corpus. Strings
-    that several owners have are copied examples; base spans say so in ``copied`` and stay, other
-    candidates go. Offsets are code points, end exclusive.
+    random-looking strings of 20 characters or more, paths and slugs left out, that only one owner has in
+    the whole corpus, in at most ``REPOSITORIES_OF_A_LIVE_ONE`` repositories, or that one repository
+    alone has, whoever owns copies of it. Others are copied examples; base spans say so in ``copied`` and
+    stay, other candidates go. Offsets are code points, end exclusive. Without ``repository``, each
+    different text is one.
 
     Ownership is counted by the hash of the value: distinct (hash, owner, repository) first, so a
-    string that a third of all documents holds is one row per owner. A null text is empty, a null
+    string that a third of all documents holds is one row per owner and repository. A null text is empty, a null
     owner is an owner of its own. Repeated rows give rows each and count once. No rows give no rows.
     """
     rows = written(candidates(docs, repository, owner).withColumn("row", F.monotonically_increasing_id()), "candidates")
@@ -103,14 +119,16 @@ def scan(docs: DataFrame, *, repository: str = "source", owner: str = "source")
         "row", "i", "repository", "owner", "s.kind", "s.start", "s.end", F.md5(F.col("s.value").cast("binary")).alias("h"))
     held = each.groupBy("h", "owner", "repository").agg(F.lit(1).alias("one"))
     known = held.groupBy("h").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
-    judged = each.join(known, "h").where((F.col("kind") < 3) | (F.col("owners") <= OWNERS_OF_A_LIVE_ONE))
+    copied = (F.col("repositories") > 1) & (
+        (F.col("owners") > OWNERS_OF_A_LIVE_ONE) | (F.col("repositories") > REPOSITORIES_OF_A_LIVE_ONE))
+    judged = each.join(known.withColumn("copied", copied), "h").where((F.col("kind") < 3) | ~F.col("copied"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     gathered = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(
-        "start", F.col("kind").alias("number"), "end", "owners", "repositories"))).alias("found"))
+        "start", F.col("kind").alias("number"), "end", "owners", "repositories", "copied"))).alias("found"))
     spans = F.transform("found", lambda s: F.struct(
         F.element_at(kinds, s["number"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
         s["owners"].alias("owners"), s["repositories"].alias("repositories"),
-        (s["owners"] > OWNERS_OF_A_LIVE_ONE).alias("copied")))
+        s["copied"].alias("copied")))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,owners:bigint,repositories:bigint,copied:boolean>>")
     return rows.select("row", "doc_id", "text_hash").join(gathered, "row", "left").select(
         "doc_id", "text_hash", F.coalesce(spans, empty).alias("spans"))
@@ -137,7 +155,7 @@ def _replaced(text: pd.Series, spans: pd.Series, mark: pd.Series) -> pd.Series:
     return pd.Series([cut(*row) for row in zip(text, spans, mark, strict=True)], dtype=object)
 
 
-def redacted(docs: DataFrame, *, mark: str = "[SECRET]", repository: str = "source", owner: str = "source") -> DataFrame:
+def redacted(docs: DataFrame, *, mark: str = "[SECRET]", repository: str | None = None, owner: str = "source") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``, and n_chars counted anew where there is one.
 
     Overlapping spans are replaced as one. Texts without spans and all other columns stay as they are.

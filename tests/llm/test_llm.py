@@ -487,6 +487,17 @@ def test_secrets(spark, docs, rows, none):
     assert secrets.scan(none).count() == 0 == secrets.redacted(none).count()
 
 
+def test_owners_and_repositories_decide(spark):
+    example, mirrored, few = "Ex4mpl3Key0fTheDocs12345", "q7Zt9LmX2vB8nK4jH6dS1aPw", "zU5cR0yT8bN3wQ6eK1xV9pLd"
+    path, dated, key = "blog/2023/05/a-long-title-of-a-post", "2021-03-05-my-great-new-post-v2", "AB12C-3DE4F-G5H6I-7JK8L-MN9O1"
+    made = [(i, f"see {example}, number {i}", "hot") for i in range(40)] + [(50, f"key {mirrored}", "a"), (51, f"key {mirrored}", "b")]
+    made += [(60 + i, f"uses {few} in file {i}", "a") for i in range(3)]
+    made += [(70, f"at {path} and {dated}", "a"), (71, f"licence {key} sk-live-{few[::-1]}", "a")]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    live = {r["doc_id"]: len(r["spans"]) for r in secrets.scan(df).collect() if r["spans"]}
+    assert live == {50: 1, 51: 1, 60: 1, 61: 1, 62: 1, 71: 2}
+
+
 def test_lm_base_scores(docs, rows, none, monkeypatch):
     count, texts = Counter(), [[*words_of(lower(r[1] or "")), None] for r in rows]
     out = [zlib.crc32(str(r[0]).encode() if r[0] is not None else b"") % 10 == 0 for r in rows]

@@ -16,10 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayforge.llm.batches import map_rows, slices, texts
+from assayforge.llm.batches import document_hash, map_rows, slices, texts
 
 BYTES_PER_STEP = 2**20  # of text that is scored at once: bounds the arrays a worker holds
 TRAINING_ROWS = 2000  # of each label: bounds what the driver gets to fit the field
+TRAINING_LINES = 500  # of each of these texts, its first ones: with the rows, bounds the arrays of the fit
 STEPS = 120
 PENALTY = 1e-3
 FEATURES = ("log words", "word length", "capitals", "digits", "symbols", "exclamations", "bars", "stops", "other bytes",
@@ -195,23 +196,24 @@ def fit(own: np.ndarray, sizes: np.ndarray, bounds: np.ndarray, good: np.ndarray
     return field
 
 
-def _features(docs: DataFrame) -> DataFrame:
+def _features(docs: DataFrame, lines: int) -> DataFrame:
+    """(doc_id, own, sizes): features and lengths of each text's first ``lines`` lines."""
     def run(batches):
         for batch in slices(batches):
             own, sizes, bounds = line_features(batch.column(1))
-            yield {"doc_id": batch.column(0),
-                   "own": [own[a:b].astype("<f8").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)],
-                   "sizes": [sizes[a:b].astype("<i8").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]}
+            spans = [(a, min(a + lines, b)) for a, b in zip(bounds, bounds[1:], strict=False)]
+            yield {"doc_id": batch.column(0), "own": [own[a:b].astype("<f8").tobytes() for a, b in spans],
+                   "sizes": [sizes[a:b].astype("<i8").tobytes() for a, b in spans]}
 
     return map_rows(texts(docs), run, "doc_id long, own binary, sizes binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, training: Column, *, rows: int = TRAINING_ROWS, steps: int = STEPS
-          ) -> LineField | float:
+def train(docs: DataFrame, labels: DataFrame, training: Column, *, rows: int = TRAINING_ROWS, lines: int = TRAINING_LINES,
+          steps: int = STEPS) -> LineField | float:
     """A field fitted on labelled documents for whose doc_id ``training`` holds.
 
-    At most ``rows`` of each label are fitted, those with the smallest hash of their id; the labels'
-    shares come from all of them. Returns a constant score where only one label, or none, is there:
+    At most ``rows`` ids of each label are fitted, those with the smallest hash of their id, each with one
+    text, that with the smallest hash, and its first ``lines`` lines; the labels' shares come from all ids. Returns a constant score where only one label, or none, is there:
     that label, or 1/2. Labels other than 0 and 1 are left out, of several for one id the largest holds.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(
@@ -222,7 +224,10 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, rows: int = T
     chosen = [known.where(F.col("good") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for g in (0, 1)]
     sample = {r["doc_id"]: r["good"] for part in chosen for r in part.collect()}  # at most twice ``rows`` ids
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in sample], "_wanted long"))
-    found = _features(docs.join(wanted, docs["doc_id"] == wanted["_wanted"], "left_semi")).collect()
+    own = texts(docs)
+    kept = own.join(wanted, own["doc_id"] == wanted["_wanted"], "left_semi").groupBy("doc_id").agg(
+        F.min(F.struct(document_hash(F.col("text")).alias("h"), "text")).alias("least"))
+    found = _features(kept.select("doc_id", "least.text"), lines).collect()
     found.sort(key=lambda r: (r["doc_id"], r["own"]))
     own = np.concatenate([np.frombuffer(r["own"], "<f8").reshape(-1, len(FEATURES)) for r in found] or [np.zeros((0, len(FEATURES)))])
     sizes = np.concatenate([np.frombuffer(r["sizes"], "<i8") for r in found] or [np.zeros(0, np.int64)])

@@ -12,6 +12,7 @@ from assayforge.llm import (
     line_crf,
     line_dedup,
     lm,
+    merkle,
     packing,
     quality_rules,
     secrets,
@@ -160,6 +161,55 @@ def op10_lm_scores(spark: SparkSession, d: str) -> DataFrame:
     return lm.score(table(spark, d, "documents"))
 
 
+@query
+def op13_merkle(spark: SparkSession, d: str) -> DataFrame:
+    return merkle.verify(table(spark, d, "documents"))
+
+
+def _merkle_sql(most_levels: int = 8, lang_levels: int = 3) -> str:
+    """The tree level by level, for up to 8^8 documents a language and 8^3 languages."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    crc = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN
+      string_split(doc_id::VARCHAR, '')]), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT FOR i IN range(8)]),
+      lambda a, i: xor(a >> 1, 3988292384::BIGINT * (a & 1)))))"""
+    steps = [f"""WITH d AS (SELECT *, coalesce('+' || lang, '') AS grp, {leaf('text')} AS leaf,
+  CASE WHEN {crc} % 3 = 0 THEN {leaf(f"translate(text, '{letters}', '{letters.lower()}')")} END AS altered FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d),
+a0 AS (SELECT grp, place, leaf AS node FROM p)"""]
+
+    def levels(name: str, count: int) -> None:
+        for i in range(count):
+            steps.append(f"""{name}{i + 1} AS (SELECT grp, place // 8 AS place,
+  CASE WHEN max(n) > 1 THEN sha256(string_agg(node, '' ORDER BY place)) ELSE max(node) END AS node
+  FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {name}{i}) GROUP BY grp, place // 8)""")
+            steps.append(f"""{name}s{i} AS (SELECT x.grp, x.place,
+  coalesce(string_agg(y.node, '' ORDER BY y.place) FILTER (y.place < x.place), '') AS l,
+  coalesce(string_agg(y.node, '' ORDER BY y.place) FILTER (y.place > x.place), '') AS r,
+  (SELECT count(*) FROM {name}{i} z WHERE z.grp = x.grp) > 1 AS more
+  FROM {name}{i} x JOIN {name}{i} y ON x.grp = y.grp AND x.place // 8 = y.place // 8 GROUP BY ALL)""")
+
+    levels("a", most_levels)
+    steps.append(f"""b0 AS (SELECT '' AS grp, row_number() OVER (ORDER BY grp) - 1 AS place, node, grp AS lang FROM a{most_levels})""")
+    levels("b", lang_levels)
+    steps.append("""f0 AS (SELECT p.*, b0.place AS lang_place, b0.node AS subroot, coalesce(altered, leaf) AS folded, '' AS proof
+  FROM p JOIN b0 ON b0.lang = p.grp)""")
+    at = 0
+    for name, count, key, place in (("a", most_levels, "f.grp", "f.place"), ("b", lang_levels, "''", "f.lang_place")):
+        for i in range(count):
+            steps.append(f"""f{at + 1} AS (SELECT f.* REPLACE (
+  CASE WHEN s.more THEN sha256(s.l || f.folded || s.r) ELSE f.folded END AS folded, f.proof || s.l || s.r AS proof)
+  FROM f{at} f JOIN {name}s{i} s ON s.grp = {key} AND s.place = {place} // {8**i})""")
+            at += 1
+    return ",\n".join(steps) + f"""
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM f{at}, (SELECT node AS root FROM b{lang_levels})"""
+
+
+SQL["op13_merkle"] = _merkle_sql()
+
+
 @query
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     packed = corpus_pipeline.run(spark, d)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from assayforge.llm import (
     byte_bpe,
+    langid,
     line_crf,
     line_dedup,
     lm,
     merkle,
+    multi_index,
     packing,
     quality_rules,
     secrets,
@@ -24,6 +26,7 @@ from assayforge.plans.registry import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -161,6 +164,33 @@ def op10_lm_scores(spark: SparkSession, d: str) -> DataFrame:
     return lm.score(table(spark, d, "documents"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return multi_index.hard_negatives(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+SQL["op11_hard_negatives"] = """
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x::DOUBLE)]) = 0),
+s AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, c.row, c.vec_id, c.label = a.label AS same,
+             list_dot_product(a.v, c.v)::BIGINT AS score
+      FROM v a, v c WHERE a.vec_id % 100 = 0 AND c.row <> a.row AND len(c.v) = len(a.v)),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place FROM s WHERE same)
+      WHERE place <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+
+@query
+def op12_langid(spark: SparkSession, d: str) -> DataFrame:
+    return langid.learn_and_identify(table(spark, d, "documents"), PIECES)
+
+
 @query
 def op13_merkle(spark: SparkSession, d: str) -> DataFrame:
     return merkle.verify(table(spark, d, "documents"))

@@ -69,5 +69,14 @@ def target_field(target: Column, name: str) -> Column:
 
 def bits_to_dense(bits: Column, n_bits: int) -> Column:
     """0/1 array of length ``n_bits`` from the positions of the set bits."""
-    positions = F.sequence(F.lit(0), F.lit(n_bits - 1))
-    return F.transform(positions, lambda i: F.when(F.array_contains(bits, i), 1).otherwise(0).cast("tinyint"))
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("tinyint"), n)
+
+    def dense(held: Column) -> Column:
+        """Each bit brings the zeros since the bit before it, and its own one."""
+        runs = F.transform(held, lambda bit, i: F.concat(
+            zeros(bit - F.when(i > 0, F.get(held, i - 1)).otherwise(-1) - 1), F.array(F.lit(1).cast("tinyint"))))
+        last = F.when(F.size(held) > 0, F.get(held, F.size(held) - 1)).otherwise(-1)
+        return F.concat(F.flatten(runs), zeros(F.lit(n_bits - 1) - last))
+
+    held = F.array_sort(F.array_distinct(F.filter(bits, lambda b: b.between(0, n_bits - 1))))
+    return F.get(F.transform(F.array(held), dense), 0)  # bound to a variable, the sorted bits are worked out once

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayforge.functions.names import fresh
 from assayforge.operators.curves import average_precision, label_rows, masked_pr_auc, one_hot_rows, pr_auc
 from assayforge.operators.losses import binary_focal_loss, flatten_pairs, masked_focal_loss, masked_token_loss
 from assayforge.schemas import NOT_SELECTED
@@ -54,7 +55,8 @@ def evaluate_tokens(df: DataFrame, *, label: str, original: str, probabilities:
     """(metric, value) for predicted tokens, a probability array per position (mode ``mlm``)."""
     own = F.get(F.col(probabilities), F.col(original).cast("int"))
     selected = df.where(F.col(label) != NOT_SELECTED)
-    loss = masked_token_loss(df.withColumn("_p", own), original=original, label=label, prediction="_p")
+    p = fresh("_p", df)
+    loss = masked_token_loss(df.withColumn(p, own), original=original, label=label, prediction=p)
     return _metrics(
         ("loss", loss),
         ("auc", pr_auc(one_hot_rows(selected, label, probabilities))),

@@ -10,6 +10,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayforge.functions.names import fresh
+
 
 def one_hot_pipeline(column: str, out: str) -> Pipeline:
     """Category to one-hot vector, a slot per category in alphabetical order; unseen ones raise."""
@@ -32,8 +34,9 @@ def one_hot_columns(df: DataFrame, column: str, categories: Sequence[str], prefi
 def add_bits_vector(df: DataFrame, bits: str, n_bits: int, out: str = "fingerprint") -> DataFrame:
     """Adds a sparse 0/1 vector of length ``n_bits`` from the positions of the set bits."""
     names = [str(i) for i in range(n_bits)]
-    to_vector = CountVectorizerModel.from_vocabulary(names, inputCol="_names", outputCol=out).setBinary(True)
-    return to_vector.transform(df.withColumn("_names", F.col(bits).cast("array<string>"))).drop("_names")
+    listed = fresh("_names", df, [out])
+    to_vector = CountVectorizerModel.from_vocabulary(names, inputCol=listed, outputCol=out).setBinary(True)
+    return to_vector.transform(df.withColumn(listed, F.col(bits).cast("array<string>"))).drop(listed)
 
 
 def add_array_vector(df: DataFrame, array: str, out: str) -> DataFrame:

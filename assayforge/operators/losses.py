@@ -9,6 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayforge.functions.names import fresh
 from assayforge.functions.numeric import (
     clip,
     focal_term,
@@ -55,8 +56,9 @@ def class_weights(df: DataFrame, labels: Sequence[str]) -> DataFrame:
 def row_weights(df: DataFrame, label: str, missing: int = LABEL_MISSING, out: str = "alpha") -> DataFrame:
     """Adds the class weight of every row's label; 0 where the label is missing."""
     weights = class_weights(df, [label]).select(F.struct("alpha0", "alpha1")).scalar()
-    value = F.when(F.col(label) == 0, F.col("_w.alpha0")).when(F.col(label) == 1, F.col("_w.alpha1"))
-    return df.withColumn("_w", weights).withColumn(out, F.coalesce(value, F.lit(0.0))).drop("_w")
+    w = fresh("_w", df, [out])
+    value = F.when(F.col(label) == 0, F.col(w)["alpha0"]).when(F.col(label) == 1, F.col(w)["alpha1"])
+    return df.withColumn(w, weights).withColumn(out, F.coalesce(value, F.lit(0.0))).drop(w)
 
 
 def masked_focal_loss(df: DataFrame, labels: Sequence[str], predictions: Sequence[str], *, macro: bool = True,
@@ -85,13 +87,14 @@ def masked_focal_loss(df: DataFrame, labels: Sequence[str], predictions: Sequenc
         loss = F.try_divide(alpha[0] * s[0] + alpha[1] * s[1], alpha[0] * n[0] + alpha[1] * n[1])
         return sums.select(loss.alias("loss")).agg(F.avg("loss").alias("loss"))
 
+    w = fresh("_w", df)
     weights = df.groupBy(*group).agg(F.struct(*[
-        w.alias(f"l{i}") for i, w in enumerate(_weight_columns(labels, pooled=False))
-    ]).alias("_w"))
-    weighted = lookup_join(df, pinned(weights), group) if batch else df.withColumn("_w", weights.scalar())
+        column.alias(f"l{i}") for i, column in enumerate(_weight_columns(labels, pooled=False))
+    ]).alias(w))
+    weighted = lookup_join(df, pinned(weights), group) if batch else df.withColumn(w, weights.scalar())
     numerator, denominator = [], []
     for i, (y, term) in enumerate(zip(labels, terms)):
-        alpha0, alpha1 = _alpha(F.col(f"_w.l{i}.n0"), F.col(f"_w.l{i}.n1"))
+        alpha0, alpha1 = _alpha(F.col(w)[f"l{i}"]["n0"], F.col(w)[f"l{i}"]["n1"])
         alpha = F.when(F.col(y) == 0, alpha0).otherwise(alpha1)
         mask = label_mask(F.col(y), missing) == 1
         numerator.append(F.when(mask, alpha * term).otherwise(0.0))

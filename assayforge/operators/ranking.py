@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayforge.functions.hashing import seeded_hash
+from assayforge.functions.names import fresh
 from assayforge.session import pinned
 
 BUCKET_DIGITS = 4  # 16^4 = 65,536 buckets, so that many offset rows per group
@@ -21,9 +22,7 @@ BUCKET_DIGITS = 4  # 16^4 = 65,536 buckets, so that many offset rows per group
 def _running_total(counts: DataFrame, order: str, amounts: Sequence[str], within: Sequence[str]) -> DataFrame:
     """Adds ``<amount>_before``: the total of the earlier rows of a small table."""
     window = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
-        *within, order, *[F.coalesce(F.sum(a).over(window), F.lit(0)).alias(f"{a}_before") for a in amounts]
-    )
+    return counts.select(*within, order, *[F.coalesce(F.sum(a).over(window), F.lit(0)).alias(a) for a in amounts])
 
 
 def hash_rank(df: DataFrame, *, key: Sequence[str], seed: int | Column, out: str = "position",
@@ -33,36 +32,34 @@ def hash_rank(df: DataFrame, *, key: Sequence[str], seed: int | Column, out: str
     ``key`` must identify a row. ``within`` starts a new numbering per group. Rows are shuffled once,
     to their bucket; the offsets, one row per (group, bucket), join them there.
     """
-    digest = seeded_hash(*key, seed=seed)
-    marked = df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS))
-    counts = marked.groupBy(*within, "_bucket").agg(F.count("*").alias("n"))
-    offsets = _running_total(counts, "_bucket", ["n"], within)
-    inside = Window.partitionBy(*within, "_bucket").orderBy("_digest", *key)
-    return (
-        marked.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*within, "_bucket"])
-        .withColumn(out, (F.col("n_before") + F.col("_inside")).cast("long"))
-        .select(*df.columns, out)
-    )
+    digest, bucket, place, n = (fresh(name, df, [out]) for name in ("_digest", "_bucket", "_inside", "_n"))
+    marked = df.withColumn(digest, seeded_hash(*key, seed=seed)).withColumn(bucket, F.substring(digest, 1, BUCKET_DIGITS))
+    counts = marked.groupBy(*within, bucket).agg(F.count("*").alias(n))
+    offsets = _running_total(counts, bucket, [n], within)
+    inside = Window.partitionBy(*within, bucket).orderBy(digest, *key)
+    ranked = marked.withColumn(place, F.row_number().over(inside)).join(offsets, [*within, bucket])
+    return ranked.withColumn(out, (F.col(n) + F.col(place)).cast("long")).select(*_kept(df, out), out)
 
 
-def _in_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Adds ``_range``: consecutive ranges of the ordering, written out so the numbers stay fixed."""
-    return pinned(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+def _kept(df: DataFrame, *out: str) -> list[str]:
+    """The columns that stay where columns ``out`` are added or replaced."""
+    return [c for c in df.columns if c.lower() not in {o.lower() for o in out}]
+
+
+def _in_ranges(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Adds ``out``: the number of consecutive ranges of the ordering, written out so the numbers stay fixed."""
+    return pinned(df.repartitionByRange(*order).withColumn(out, F.spark_partition_id()))
 
 
 def ordered_rank(df: DataFrame, *, order: Sequence[str], out: str = "position") -> DataFrame:
     """Adds the 1-based place of every row in the order of ``order``, which must identify a row."""
-    ranged = _in_ranges(df, [F.col(c) for c in order])
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("n"))
-    offsets = _running_total(counts, "_range", ["n"], [])
-    inside = Window.partitionBy("_range").orderBy(*order)
-    return (
-        ranged.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, "_range")
-        .withColumn(out, (F.col("n_before") + F.col("_inside")).cast("long"))
-        .select(*df.columns, out)
-    )
+    part, place, n = (fresh(name, df, [out]) for name in ("_range", "_inside", "_n"))
+    ranged = _in_ranges(df, [F.col(c) for c in order], part)
+    counts = ranged.groupBy(part).agg(F.count("*").alias(n))
+    offsets = _running_total(counts, part, [n], [])
+    inside = Window.partitionBy(part).orderBy(*order)
+    ranked = ranged.withColumn(place, F.row_number().over(inside)).join(offsets, part)
+    return ranked.withColumn(out, (F.col(n) + F.col(place)).cast("long")).select(*_kept(df, out), out)
 
 
 def running_sums(df: DataFrame, *, within: Sequence[str], order: Column, amounts: Sequence[str]) -> DataFrame:
@@ -71,14 +68,14 @@ def running_sums(df: DataFrame, *, within: Sequence[str], order: Column, amounts
     ``order`` must be unique inside a group. A group may hold most of the rows: it is spread over
     as many ranges as its size needs, and only (range, group) totals are summed in one place.
     """
-    ranged = _in_ranges(df, [*[F.col(c) for c in within], order])
-    totals = ranged.groupBy(*within, "_range").agg(*[F.sum(a).alias(a) for a in amounts])
-    offsets = _running_total(totals, "_range", amounts, within)
-    inside = Window.partitionBy(*within, "_range").orderBy(order)
+    outs = [f"{a}_upto" for a in amounts]
+    part = fresh("_range", df, outs)
+    before = {a: fresh(f"_{a}_before", df, outs) for a in amounts}
+    own = {a: fresh(f"_{a}_own", df, outs) for a in amounts}
+    ranged = _in_ranges(df, [*[F.col(c) for c in within], order], part)
+    totals = ranged.groupBy(*within, part).agg(*[F.sum(a).alias(before[a]) for a in amounts])
+    offsets = _running_total(totals, part, list(before.values()), within)
+    inside = Window.partitionBy(*within, part).orderBy(order)
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = ranged
-    for amount in amounts:
-        summed = summed.withColumn(f"_{amount}", F.sum(amount).over(inside))
-    return summed.join(offsets, [*within, "_range"]).select(
-        *df.columns, *[(F.col(f"_{a}") + F.col(f"{a}_before")).alias(f"{a}_upto") for a in amounts]
-    )
+    summed = ranged.withColumns({own[a]: F.sum(a).over(inside) for a in amounts}).join(offsets, [*within, part])
+    return summed.select(*_kept(df, *outs), *[(F.col(own[a]) + F.col(before[a])).alias(f"{a}_upto") for a in amounts])

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayforge.functions.names import fresh
 from assayforge.functions.sequences import SMILES_PATTERN, pad, tokenize
 from assayforge.functions.udfs import batch_scorer
 from assayforge.operators.reshape import unpivot_scores
@@ -18,11 +19,12 @@ def score_sequences(df: DataFrame, text: str, vocab: DataFrame, load: Callable,
                     batch_size: int = 1024, pattern: str = SMILES_PATTERN, out: str = "scores",
                     on_overflow: str = "error") -> DataFrame:
     """Tokenise, encode, pad and score ``text``; adds the model's output array."""
-    tokens = df.withColumn("_tokens", tokenize(F.col(text), pattern))
-    ids = encode_tokens(tokens, "_tokens", vocab, "_ids")
-    padded = ids.withColumn("_ids", pad(F.col("_ids"), max_length, on_overflow))
+    parts, number = fresh("_tokens", df, [out]), fresh("_ids", df, [out])
+    tokens = df.withColumn(parts, tokenize(F.col(text), pattern))
+    ids = encode_tokens(tokens, parts, vocab, number)
+    padded = ids.withColumn(number, pad(F.col(number), max_length, on_overflow))
     scorer = batch_scorer(load, batch_size=batch_size, input_length=max_length)
-    return padded.withColumn(out, scorer(F.col("_ids"))).drop("_tokens", "_ids")
+    return padded.withColumn(out, scorer(F.col(number))).drop(parts, number)
 
 
 def spread_scores(df: DataFrame, scores: str, names: Sequence[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayforge.functions.names import fresh
+
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_PARTITIONS = 3  # a key is hot from so many average partitions on
@@ -39,8 +41,8 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return seen["n"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float | None = None) -> DataFrame:
-    """Non-null keys that hold more than ``share`` of all rows, and in how many parts each is to be cut (``_salts``).
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float | None = None, out: str = "_salts") -> DataFrame:
+    """Non-null keys that hold more than ``share`` of all rows, and in how many parts each is to be cut (``out``).
 
     By default ``HOT_PARTITIONS`` average partitions are hot, so both the share and the number of
     parts, two per average partition of the key, follow the number of shuffle partitions. There are
@@ -48,10 +50,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float | None = None) ->
     """
     partitions = _partitions(df)
     share = HOT_PARTITIONS / partitions if share is None else share
-    counts = df.where(~_any_null(keys)).groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("total")).scalar()
-    hot = counts.where(F.col("_n") > F.lit(share) * total)
-    return hot.select(*keys, F.ceil(F.lit(2.0 * partitions) * F.col("_n") / total).cast("int").alias("_salts"))
+    n = fresh("_n", keys)
+    counts = df.where(~_any_null(keys)).groupBy(*keys).agg(F.count("*").alias(n))
+    total = counts.agg(F.sum(n).alias("total")).scalar()
+    hot = counts.where(F.col(n) > F.lit(share) * total)
+    return hot.select(*keys, F.ceil(F.lit(2.0 * partitions) * F.col(n) / total).cast("int").alias(out))
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
@@ -60,18 +63,20 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
     Rows of a hot key on the left are dealt, row by row, to as many parts as ``hot_keys`` gives it, and
     only that key's row on the right is repeated for each of them. Rows with a null key match nothing
-    and are dealt likewise. ``hot`` gives the hot keys of ``left`` where they are known already.
+    and are dealt likewise. ``hot`` gives the hot keys of ``left`` where they are known already, its last
+    column the number of parts.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how: {how}")
-    hot = hot_keys(left, keys, share) if hot is None else hot
-    parts = F.when(_any_null(keys), F.lit(2 * _partitions(left))).otherwise(F.col("_salts"))
-    dealt = left.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.col("_row"), parts).cast("int"), F.lit(0))
+    row, salt, salts = (fresh(name, left, right) for name in ("_row", "_salt", "_salts"))
+    hot = hot_keys(left, keys, share, salts) if hot is None else hot.withColumnRenamed(hot.columns[-1], salts)
+    parts = F.when(_any_null(keys), F.lit(2 * _partitions(left))).otherwise(F.col(salts))
+    dealt = left.withColumn(row, F.monotonically_increasing_id()).join(F.broadcast(hot), list(keys), "left").withColumn(
+        salt, F.coalesce(F.pmod(F.col(row), parts).cast("int"), F.lit(0))
     )
-    copies = F.when(F.col("_salts") > 0, F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
-    repeated = right.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_salts")
-    return dealt.drop("_salts", "_row").join(repeated, [*keys, "_salt"], how).drop("_salt")
+    copies = F.when(F.col(salts) > 0, F.sequence(F.lit(0), F.col(salts) - 1)).otherwise(F.array(F.lit(0)))
+    repeated = right.join(F.broadcast(hot), list(keys), "left").withColumn(salt, F.explode(copies)).drop(salts)
+    return dealt.drop(salts, row).join(repeated, [*keys, salt], how).drop(salt)
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",

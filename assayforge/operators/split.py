@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayforge.operators.sample import below_cutoff, hash_cutoffs
+from assayforge.functions.names import fresh
 from assayforge.operators.skew import fits_broadcast, hot_keys, spread_join
 from assayforge.schemas import TRAIN, VALIDATION
 from assayforge.session import pinned
@@ -63,27 +64,30 @@ def flag_members(df: DataFrame, columns: Sequence[str], keys: DataFrame, key: st
     The key set is written out once, then broadcast if its counted size allows; a larger one is
     joined with hot keys spread, which are looked for in ``df``, not in what earlier joins made of it.
     """
-    members = pinned(keys.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct())
+    members = pinned(keys.select(F.col(key).alias("member")).where(F.col("member").isNotNull()).distinct())
     small = fits_broadcast(members)
     marked, flags = df, []
     for i, column in enumerate(columns):
-        found = members.select(F.col("_key").alias(column), F.lit(True).alias(f"_in{i}"))
+        flag = fresh(f"_in{i}", df, [out])
+        found = members.select(F.col("member").alias(column), F.lit(True).alias(flag))
         marked = (
             marked.join(F.broadcast(found), column, "left") if small
             else spread_join(marked, found, [column], "left", hot=hot_keys(df, [column]))
         )
-        flags.append(F.coalesce(F.col(f"_in{i}"), F.lit(False)))
-    return marked.withColumn(out, reduce(or_, flags)).select(*df.columns, out)
+        flags.append(F.coalesce(F.col(flag), F.lit(False)))
+    return marked.select(*[F.col(c) for c in df.columns if c.lower() != out.lower()], reduce(or_, flags).alias(out))
 
 
 def keep_members(df: DataFrame, columns: Sequence[str], keys: DataFrame, key: str) -> DataFrame:
     """Rows with any of ``columns`` in the key set."""
-    return flag_members(df, columns, keys, key, "_member").where("_member").drop("_member")
+    flag = fresh("_member", df)
+    return flag_members(df, columns, keys, key, flag).where(F.col(flag)).drop(flag)
 
 
 def drop_members(df: DataFrame, columns: Sequence[str], keys: DataFrame, key: str) -> DataFrame:
     """Rows with none of ``columns`` in the key set."""
-    return flag_members(df, columns, keys, key, "_member").where("NOT _member").drop("_member")
+    flag = fresh("_member", df)
+    return flag_members(df, columns, keys, key, flag).where(~F.col(flag)).drop(flag)
 
 
 def shared_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -99,10 +103,11 @@ def overlap_size(left: Column, right: Column) -> Column:
 def leakage(df: DataFrame, columns: Sequence[str], held_out: DataFrame, key: str = "block",
             subset: str = "subset") -> DataFrame:
     """One row: rows per subset and training rows that touch a held-out key (must be 0)."""
-    flagged = flag_members(df, columns, held_out, key, "_member")
+    flag = fresh("_member", df)
+    flagged = flag_members(df, columns, held_out, key, flag)
     train = F.col(subset) == TRAIN
     return flagged.agg(
         F.count_if(train).alias("n_train"),
         F.count_if(F.col(subset) == VALIDATION).alias("n_validation"),
-        F.count_if(train & F.col("_member")).alias("n_leaked"),
+        F.count_if(train & F.col(flag)).alias("n_leaked"),
     )

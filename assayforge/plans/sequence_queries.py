@@ -136,6 +136,19 @@ def encode_pad(spark, d):
     )
 
 
+JOINED_LIMIT = 100  # tokens from which ``encode_join`` joins, far fewer than the documents have
+
+
+@query(f"""WITH {VOCAB_CTE}
+  SELECT doc_id, len(tokens)::INTEGER AS n_tokens, coalesce(ids, '') AS ids
+  FROM tok LEFT JOIN (SELECT doc_id, string_agg(id, ' ' ORDER BY pos) AS ids FROM enc GROUP BY doc_id) USING (doc_id)""")
+def encode_join(spark, d):
+    """Whole texts as ids with a vocabulary that is above the size of a lookup table, so it is joined."""
+    docs = document_tokens(spark, d).withColumns({"_row": F.lit("kept"), "_at": F.lit(1)})
+    encoded = vocabulary.encode_tokens(docs, "tokens", document_vocabulary(spark, d), "ids", max_lookup_rows=JOINED_LIMIT)
+    return encoded.where("_row = 'kept' AND _at = 1").select("doc_id", F.size("tokens").alias("n_tokens"), _joined(F.col("ids")).alias("ids"))
+
+
 @query(f"""WITH {MASK_CTE}
   SELECT doc_id, string_agg(input, ' ' ORDER BY pos) AS input, string_agg(label, ' ' ORDER BY pos) AS label,
     (count(*) FILTER (WHERE label <> -1))::INTEGER AS n_selected FROM masked GROUP BY doc_id""")
@@ -240,8 +253,14 @@ def stored_records(spark, d):
     return records, pinned(vocabulary.build_vocabulary(records, "smiles"))
 
 
-@query(f"""WITH {VIEW_CTE}
-  SELECT name, input, array_to_string(binds, ',') AS binds FROM enc JOIN unified ON name = smiles WHERE subset = 0""")
+# The vocabulary is that of all rows; only the rows of the view are then tokenised and encoded, by a map.
+@query(f"""WITH {UNIFIED_CTE},
+  vocab AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS id
+    FROM (SELECT DISTINCT unnest({_SMILES_TOKENS}) AS token FROM unified)),
+  ids AS (SELECT map(list(token), list(id)) AS id_of FROM vocab),
+  own AS MATERIALIZED (SELECT smiles AS name, binds, {_SMILES_TOKENS} AS tokens FROM unified WHERE subset = 0)
+  SELECT name, array_to_string(list_resize([id_of[t] FOR t IN tokens], greatest({VIEW_LENGTH}, len(tokens)), 0), ' ') AS input,
+    array_to_string(binds, ',') AS binds FROM own, ids""")
 def view_clf(spark, d):
     """Inputs and labels of the rows that classification trains on."""
     records, vocab = stored_records(spark, d)

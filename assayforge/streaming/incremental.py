@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from assayforge.functions.names import fresh
 from assayforge.functions.sequences import SMILES_PATTERN, replace_linker, tokenize
 from assayforge.operators.models import score
 from assayforge.operators.vocabulary import encode_tokens
@@ -61,8 +62,8 @@ def prepare(df: DataFrame, text: str, vocab: DataFrame, *, pattern: str = SMILES
             clean: Callable = replace_linker) -> DataFrame:
     """Cleaned text and token ids of every row: row-local, so batch and stream give the same."""
     cleaned = df.withColumn("clean", clean(F.col(text)))
-    tokens = cleaned.withColumn("_tokens", tokenize(F.col(text), pattern))
-    return encode_tokens(tokens, "_tokens", vocab, "ids").drop("_tokens")
+    parts = fresh("_tokens", cleaned)
+    return encode_tokens(cleaned.withColumn(parts, tokenize(F.col(text), pattern)), parts, vocab, "ids").drop(parts)
 
 
 def prepare_stream(df: DataFrame, text: str, vocab: DataFrame, output: str, checkpoint: str, *,

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from assayforge.functions.hashing import uniform
 from assayforge.functions.sequences import SMILES_PATTERN, TEXT_PATTERN, tokenize
 from assayforge.functions.udfs import batch_scorer, map_batches, safe_map
-from assayforge.operators import features, models, scoring, unify, vocabulary
+from assayforge.operators import features, models, scoring, training, unify, vocabulary
 from assayforge.operators.fingerprint import token_fingerprint
+from assayforge.plans.metric_queries import sql_alpha
 from assayforge.plans.preparation_queries import STATUSES, TEST_CTE, assay_test
-from assayforge.plans.registry import query, spread_table, table
+from assayforge.plans.registry import query, spread_table, sql_hash, sql_uniform, table
 from assayforge.schemas import LABEL_MISSING
 from assayforge.session import new_folder, pinned
 from assayforge.streaming import incremental
@@ -49,20 +50,97 @@ def rf_scores(spark, d):
     return models.score(rows, forest, keep=["doc_id"], out="binds")
 
 
-@query()
-def masked_lr_scores(spark, d):
-    """One weighted classifier per target; a third of each target's labels are missing."""
-    vectors = features.add_array_vector(table(spark, d, "embeddings"), "embedding", "features")
+def labelled_vectors(spark, d):
+    """Embeddings with three targets, a third of each target's labels missing."""
     known = {
         name: F.when(uniform("vec_id", F.lit(name), seed=6) < 0.33, LABEL_MISSING)
         .otherwise(F.when(F.floor(F.col("label") / 4) == i, 1).otherwise(0))
         for i, name in enumerate(TARGETS)
     }
-    rows = vectors.withColumns(known)
+    return table(spark, d, "embeddings").withColumns(known)
+
+
+@query()
+def masked_lr_scores(spark, d):
+    """One weighted classifier per target; a third of each target's labels are missing."""
+    rows = features.add_array_vector(labelled_vectors(spark, d), "embedding", "features")
     fitted = models.train_masked_labels(rows, TARGETS)
     return models.score_masked_labels(rows, fitted, keep=["vec_id"])
 
 
+def _vectors_cte() -> str:
+    """x: a row an embedding and target with its label; a: class weights; n: rows with a known label."""
+    label = lambda i, name: (
+        f"SELECT vec_id, {i} AS j, CASE WHEN {sql_uniform(sql_hash('vec_id', chr(39) + name + chr(39), seed=6))} < 0.33 THEN 2 "
+        f"ELSE (label // 4 = {i})::INTEGER END AS y, list_append(embedding::DOUBLE[], 1::DOUBLE) AS x FROM embeddings")
+    return f"""x AS ({' UNION ALL '.join(label(i, name) for i, name in enumerate(TARGETS))}),
+n AS (SELECT j, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1 FROM x GROUP BY j),
+a AS (SELECT j, {', '.join(f'{alpha} AS a{c}' for c, alpha in enumerate(sql_alpha('n0', 'n1')))} FROM n),
+known AS (SELECT vec_id, j, y, x, CASE WHEN y = 1 THEN a1 ELSE a0 END AS alpha FROM x JOIN a USING (j) WHERE y <> 2),
+shared AS (SELECT *, alpha / sum(alpha) OVER (PARTITION BY vec_id) AS share FROM known),
+size AS (SELECT count(DISTINCT vec_id) AS rows FROM known)"""
+
+
+def _gradient_cte(step: str, weights: str) -> str:
+    """Loss and gradient at ``weights``, a table of (j, w): a row a target with its list of weights."""
+    return f"""z{step} AS (SELECT shared.*, list_dot_product(x, w) AS z FROM shared JOIN {weights} USING (j)),
+p{step} AS (SELECT *, 1 / (1 + exp(CASE WHEN y = 1 THEN -z ELSE z END)) AS pt FROM z{step}),
+s{step} AS (SELECT j, x, -pow(1 - pt, 2) * ln(pt) * share AS term, share * (CASE WHEN y = 1 THEN 1 ELSE -1 END)
+  * (2 * (1 - pt) * ln(pt) - pow(1 - pt, 2) / pt) * pt * (1 - pt) AS pull FROM p{step}),
+g{step} AS (SELECT j, place, sum(pull * v) / (SELECT rows FROM size) AS g
+  FROM (SELECT j, pull, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS place FROM s{step}) GROUP BY j, place)"""
+
+
+def fixed_weights() -> np.ndarray:
+    """Weights of a repeating pattern, a row a target."""
+    place = np.arange(EMBEDDING_SIZE + 1)
+    return np.stack([((place * (2 * j + 3)) % 11 - 5) / 4.0 for j in range(len(TARGETS))])
+
+
+@query(f"""WITH {_vectors_cte()},
+w AS (SELECT j, list(((place * (2 * j + 3)) % 11 - 5) / 4.0::DOUBLE ORDER BY place) AS w
+  FROM (SELECT unnest(range({len(TARGETS)})) AS j), (SELECT unnest(range({EMBEDDING_SIZE + 1})) AS place) GROUP BY j),
+{_gradient_cte('', 'w')}
+SELECT {list(TARGETS)}[j + 1] AS target, place::INTEGER AS place, round(g, 9) AS gradient,
+  (SELECT round(sum(term) / (SELECT rows FROM size), 9) FROM s) AS loss FROM g""")
+def masked_focal_gradient(spark, d):
+    """The masked focal loss of a linear classifier of three targets at fixed weights, and its gradient."""
+    rows = labelled_vectors(spark, d)
+    goal = training.objective(rows, TARGETS)
+    loss, gradient = training.loss_and_gradient(training.training_rows(rows, "embedding", TARGETS), goal, fixed_weights())
+    return spark.createDataFrame(
+        [(name, place, round(float(g), 9), round(loss, 9)) for name, row in zip(TARGETS, gradient) for place, g in enumerate(row)],
+        "target string, place int, gradient double, loss double")
+
+
+FIT_STEPS = 4
+FIT_RATE = 0.05
+
+
+def _fit_sql() -> str:
+    start = f"w0 AS (SELECT j, list_resize([0.0::DOUBLE], {EMBEDDING_SIZE + 1}, 0.0) AS w FROM (SELECT unnest(range({len(TARGETS)})) AS j))"
+    steps = [start, f"m0 AS (SELECT j, unnest(range({EMBEDDING_SIZE + 1})) AS place, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM w0)"]
+    for t in range(1, FIT_STEPS + 1):
+        steps.append(_gradient_cte(str(t), f"w{t - 1}"))
+        steps.append(f"""u{t} AS (SELECT j, place, w, 0.9 * m + 0.1 * g AS m, 0.999 * v + 0.001 * g * g AS v
+  FROM m{t - 1} JOIN g{t} USING (j, place)),
+m{t} AS (SELECT j, place, m, v, w - {FIT_RATE} * (m / (1 - pow(0.9, {t}))) / (sqrt(v / (1 - pow(0.999, {t}))) + 1e-7) AS w FROM u{t}),
+w{t} AS (SELECT j, list(w ORDER BY place) AS w FROM m{t} GROUP BY j)""")
+    scores = ", ".join(f"round(1 / (1 + exp(-list_dot_product(e, (SELECT w FROM w{FIT_STEPS} WHERE j = {j})))), 8) AS {name}_pred"
+                       for j, name in enumerate(TARGETS))
+    return f"WITH {_vectors_cte()}, " + ",\n".join(steps) + f"""
+SELECT vec_id, {scores} FROM (SELECT vec_id, list_append(embedding::DOUBLE[], 1::DOUBLE) AS e FROM embeddings)"""
+
+
+@query(_fit_sql())
+def masked_focal_fit(spark, d):
+    """Probabilities of three targets from a classifier of all of them, after four steps of Adam on the focal loss."""
+    rows = labelled_vectors(spark, d)
+    model = training.train_focal_labels(rows, TARGETS, features="embedding", optimiser="adam", steps=FIT_STEPS, rate=FIT_RATE)
+    scored = training.score_focal_labels(rows, model, features="embedding", keep=["vec_id"])
+    return scored.select("vec_id", *[F.round(f"{name}_pred", 8).alias(f"{name}_pred") for name in TARGETS])
+
+
 # --- scoring with a given function --------------------------------------------------------------
 
 def load_linear():

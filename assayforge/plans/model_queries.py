@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml import Pipeline
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayforge.functions.hashing import uniform
 from assayforge.functions.sequences import SMILES_PATTERN, TEXT_PATTERN, tokenize
 from assayforge.functions.udfs import batch_scorer, map_batches, safe_map
-from assayforge.operators import features, models, scoring, training, unify, vocabulary
+from assayforge.operators import features, forest, models, scoring, training, unify, vocabulary
 from assayforge.operators.fingerprint import token_fingerprint
 from assayforge.plans.metric_queries import sql_alpha
 from assayforge.plans.preparation_queries import STATUSES, TEST_CTE, assay_test
@@ -46,8 +47,59 @@ def rf_scores(spark, d):
     """A forest trained on the labelled documents, applied to all of them."""
     rows = pinned(document_features(spark, d).select("doc_id", "features"))
     train = rows.join(table(spark, d, "labels"), "doc_id").select("features", "quality")
-    forest = models.train_random_forest(train, label="quality", trees=FOREST_TREES)
-    return models.score(rows, forest, keep=["doc_id"], out="binds")
+    fitted = models.train_random_forest(train, label="quality", trees=FOREST_TREES)
+    return forest.score_forest(rows, forest.Forest.read(forest.forest_nodes(fitted)), keep=["doc_id"], out="binds")
+
+
+@query("SELECT vec_id, TRUE AS equal FROM embeddings")
+def forest_agreement(spark, d):
+    """Whether a trained forest's exported nodes give each row the model's own score."""
+    vectors = features.add_array_vector(table(spark, d, "embeddings"), "embedding", "features")
+    rows = vectors.withColumn("upper", (F.col("label") >= 5).cast("int"))
+    fitted = models.train_random_forest(rows, label="upper", trees=FOREST_TREES)
+    compiled = forest.Forest.read(forest.forest_nodes(fitted))
+    both = forest.score_forest(models.score(rows, fitted, keep=["vec_id", "features"], out="own"), compiled,
+                               keep=["vec_id", "own"], out="binds")
+    return both.select("vec_id", (F.abs(F.col("binds") - F.col("own")) < 1e-12).alias("equal"))
+
+
+# A forest by rule: complete trees, nodes numbered from the root on, level by level.
+RULE_TREES, RULE_DEPTH = 40, 5
+RULE_NODES, RULE_INNER = 2 ** (RULE_DEPTH + 1) - 1, 2**RULE_DEPTH - 1
+_RULE = {"feature": "(7 * tree + 3 * node + tree * node) % {width}", "cut": "((13 * tree + 5 * node) % 19) / 19.0",
+         "probability": "((31 * tree + 17 * node) % 97) / 97.0"}
+
+
+def rule_forest(spark, width: int, low: float, high: float) -> DataFrame:
+    """Nodes of ``RULE_TREES`` trees over ``width`` features whose thresholds lie in [low, high)."""
+    nodes = spark.range(RULE_TREES * RULE_NODES).select(
+        F.expr(f"int(id div {RULE_NODES})").alias("tree"), F.expr(f"int(id % {RULE_NODES})").alias("node"))
+    inner = F.col("node") < RULE_INNER
+    cut = F.expr(_RULE["cut"].replace(".0", ".0D"))
+    return nodes.select(
+        "tree", "node", F.when(inner, F.expr(_RULE["feature"].format(width=width))).alias("feature"),
+        F.when(inner, F.lit(low) + cut * (high - low)).alias("threshold"), F.lit(None).cast("array<double>").alias("categories"),
+        F.when(inner, 2 * F.col("node") + 1).alias("left"), F.when(inner, 2 * F.col("node") + 2).alias("right"),
+        F.expr(_RULE["probability"].replace(".0", ".0D")).alias("probability"))
+
+
+def _rule_sql(source: str, key: str, array: str, width: int, low: float, high: float) -> str:
+    """Walks down every tree for every row of ``source``, a level a subquery."""
+    rows = f"SELECT {key} AS key, {array} AS f, tree, 0 AS node FROM {source}, (SELECT unnest(range({RULE_TREES})) AS tree)"
+    for _ in range(RULE_DEPTH):
+        feature, cut = _RULE["feature"].format(width=width), _RULE["cut"].replace(".0", ".0::DOUBLE")
+        rows = (f"SELECT key, f, tree, CASE WHEN f[{feature} + 1] <= {low}::DOUBLE + {cut} * {high - low}::DOUBLE "
+                f"THEN 2 * node + 1 ELSE 2 * node + 2 END AS node FROM ({rows})")
+    return (f"SELECT key AS {key}, round(sum({_RULE['probability'].replace('.0', '.0::DOUBLE')}) / {RULE_TREES}, 9) AS binds "
+            f"FROM ({rows}) GROUP BY key")
+
+
+@query(_rule_sql("embeddings", "vec_id", "embedding::DOUBLE[]", EMBEDDING_SIZE, -0.25, 0.25))
+def forest_scores(spark, d):
+    """A forest that comes as a table of nodes, applied to all vectors."""
+    compiled = forest.Forest.read(rule_forest(spark, EMBEDDING_SIZE, -0.25, 0.25))
+    scored = forest.score_forest(table(spark, d, "embeddings"), compiled, features="embedding", keep=["vec_id"])
+    return scored.withColumn("binds", F.round("binds", 9))
 
 
 def labelled_vectors(spark, d):
@@ -245,6 +297,26 @@ def streaming_score(spark, d):
     return incremental.read_appended(spark, output)
 
 
+EVENT_FEATURES = ("value", "event_id % 25 * 4", "user_id % 100")
+_EVENT_SQL = "[value::DOUBLE, (event_id % 25 * 4)::DOUBLE, (user_id % 100)::DOUBLE]"
+
+
+@query(_rule_sql("events", "event_id", _EVENT_SQL, len(EVENT_FEATURES), 0.0, 100.0))
+def streaming_forest_nodes(spark, d):
+    """A forest that comes as a table of nodes, applied to the event files as a stream."""
+    events = table(spark, d, "events")
+    compiled = forest.Forest.read(rule_forest(spark, len(EVENT_FEATURES), 0.0, 100.0))
+    stream = incremental.stream_parquet(spark, f"{d}/events.parquet*", events.schema)
+    output, checkpoint = new_folder(spark, "scores"), new_folder(spark, "progress")
+
+    def scored(batch):
+        rows = batch.withColumn("features", F.array(*[F.expr(f"double({e})") for e in EVENT_FEATURES]))
+        return forest.score_forest(rows, compiled, keep=["event_id"])
+
+    incremental.append_once(stream, output, checkpoint, scored).awaitTermination()
+    return incremental.read_appended(spark, output).withColumn("binds", F.round("binds", 9))
+
+
 @query()
 def streaming_forest(spark, d):
     """A fitted pipeline applied to the event files as a stream."""

@@ -32,22 +32,24 @@ def one_hot_rows(df: DataFrame, label: str, probabilities: str) -> DataFrame:
     return rows.select(F.when(F.col(label) == F.col("class"), 1).otherwise(0).alias("y"), "p")
 
 
-def pr_auc(df: DataFrame, *, y: str = "y", p: str = "p", by: Sequence[str] = (),
-           thresholds: int = THRESHOLDS) -> DataFrame:
-    """(by..., pr_auc): interpolated area under the precision-recall curve on even thresholds.
+def bucket_counts(df: DataFrame, *, y: str = "y", p: str = "p", by: Sequence[str] = (),
+                  thresholds: int = THRESHOLDS) -> DataFrame:
+    """(by..., b, pos, n): positives and rows of each interval between thresholds; counts of parts add up.
 
-    Predictions are counted into one bucket per threshold interval first, so what is shuffled and
-    summed afterwards is at most ``thresholds`` rows per group. A prediction that is null, not a
-    number or outside 0..1 raises an error: the area is not defined there.
+    At most ``thresholds`` rows per group. A prediction that is null, not a number or outside 0..1 raises an
+    error: it has no interval.
     """
     last = thresholds - 1
     place = F.greatest(F.ceil(F.col(p) * F.lit(last)) - 1, F.lit(0)).cast("int")
     bucket = F.when(F.col(p).between(0, 1), place).otherwise(
         F.raise_error(F.concat(F.lit("prediction outside 0..1: "), F.coalesce(F.col(p).cast("string"), F.lit("null")))).cast("int"))
-    counts = df.groupBy(*by, bucket.alias("b")).agg(
-        F.sum(F.col(y)).alias("pos"), F.count("*").alias("n")
-    )
-    grid = counts.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    return df.groupBy(*by, bucket.alias("b")).agg(F.sum(F.col(y)).alias("pos"), F.count("*").alias("n"))
+
+
+def area_of_counts(counts: DataFrame, *, by: Sequence[str] = (), thresholds: int = THRESHOLDS) -> DataFrame:
+    """(by..., pr_auc) from ``bucket_counts``: interpolated area under the precision-recall curve."""
+    last = thresholds - 1
+    grid = counts.select(*by).distinct() if by else counts.sparkSession.range(1).select()
     grid = grid.select(*by, F.explode(F.sequence(F.lit(0), F.lit(last))).alias("b"))
     dense = grid.join(counts, [*by, "b"], "left").fillna(0, ["pos", "n"])
     above = Window.partitionBy(*by).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
@@ -68,6 +70,16 @@ def pr_auc(df: DataFrame, *, y: str = "y", p: str = "p", by: Sequence[str] = (),
     return steps.groupBy(*by).agg(F.sum(term).alias("pr_auc"))
 
 
+def pr_auc(df: DataFrame, *, y: str = "y", p: str = "p", by: Sequence[str] = (),
+           thresholds: int = THRESHOLDS) -> DataFrame:
+    """(by..., pr_auc): interpolated area under the precision-recall curve on even thresholds.
+
+    Predictions are counted into one bucket per threshold interval first, so what is shuffled and
+    summed afterwards is at most ``thresholds`` rows per group.
+    """
+    return area_of_counts(bucket_counts(df, y=y, p=p, by=by, thresholds=thresholds), by=by, thresholds=thresholds)
+
+
 def masked_pr_auc(df: DataFrame, labels: Sequence[str], predictions: Sequence[str], *,
                   missing: int | None = LABEL_MISSING, macro: bool = True) -> DataFrame:
     """One row ``pr_auc``: unweighted mean over the labels, or over all labels flattened."""

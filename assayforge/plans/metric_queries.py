@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from assayforge.functions.hashing import digest_uniform, seeded_hash, uniform
 from assayforge.functions.numeric import label_mask, mask_missing
-from assayforge.operators import curves, evaluate, losses
+from assayforge.operators import curves, evaluate, losses, metric_state
 from assayforge.plans.registry import query, sql_clip, sql_focal, sql_hash, sql_uniform, table
 from assayforge.schemas import LABEL_MISSING
+from assayforge.session import new_folder
+from assayforge.streaming import incremental
 
 LABELS = ["quality", "toxic"]
 PREDICTIONS = ["p_quality", "p_toxic"]
@@ -251,6 +253,38 @@ def evaluate_clf(spark, d):
     return _rounded(evaluate.evaluate(scored_documents(spark, d), "clf", labels=LABELS, predictions=PREDICTIONS))
 
 
+BATCHES = 4
+
+
+@query(f"""WITH {DOCS_CTE}, {auc_cte('label')},
+  b AS (SELECT *, doc_id % {BATCHES} AS batch FROM docs),
+  class_counts AS (SELECT batch, {_COUNTS} FROM b GROUP BY batch)
+  SELECT 'loss' AS metric, round(avg(loss), 9) AS value FROM (
+    SELECT batch, avg(num / nullif(den, 0)) AS loss FROM (
+      SELECT batch, {_row_sum(True)} AS num, {_row_sum(False)} AS den FROM b JOIN class_counts USING (batch))
+    GROUP BY batch)
+  UNION ALL SELECT 'auc', round(avg(pr_auc), 9) FROM auc
+  UNION ALL SELECT 'n', count(*)::DOUBLE FROM rows_of""")
+def accumulated_metrics(spark, d):
+    """Metrics built up from four batches, one of which comes a second time."""
+    docs, folder = scored_documents(spark, d), new_folder(spark, "metrics")
+    for batch in (*range(BATCHES), 1):
+        rows = docs.where(F.col("doc_id") % BATCHES == batch)
+        metric_state.store_state(metric_state.batch_state(rows, LABELS, PREDICTIONS), folder, batch)
+    return _rounded(metric_state.metrics(metric_state.read_state(spark, folder)))
+
+
+@query(f"""WITH {DOCS_CTE}, {auc_cte('label')} SELECT g AS label, round(pr_auc, 9) AS pr_auc FROM auc""")
+def streaming_pr_auc(spark, d):
+    """The area per label from predictions that arrive file by file."""
+    docs = scored_documents(spark, d)
+    arriving, folder, checkpoint = (new_folder(spark, name) for name in ("arriving", "metrics", "progress"))
+    docs.repartition(BATCHES).write.parquet(arriving)
+    stream = incremental.stream_parquet(spark, arriving, docs.schema, files_per_trigger=1)
+    metric_state.accumulate_stream(stream, folder, checkpoint, LABELS, PREDICTIONS).awaitTermination()
+    return metric_state.areas(metric_state.read_state(spark, folder)).withColumn("pr_auc", F.round("pr_auc", 9))
+
+
 @query(f"""WITH {LINES_CTE}, {auc_cte(None)}
   SELECT 'loss' AS metric, round(avg({sql_focal(sql_pt('y', 'p'))}), 9) AS value FROM rows_of
   UNION ALL SELECT 'auc', round(pr_auc, 9) FROM auc UNION ALL SELECT 'n', count(*)::DOUBLE FROM rows_of""")

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from assayforge.operators import features, quality, sample, split, unify, views
 from assayforge.operators.ranking import ordered_rank
 from assayforge.operators.reshape import pivot_labels, unpivot_scores
-from assayforge.plans.registry import query, sql_hash, sql_uint32, table
+from assayforge.plans.registry import SQL, query, sql_hash, sql_uint32, table
 from assayforge.schemas import ID_MISSING
 from assayforge.session import new_folder, pinned
 from assayforge.sources import readers, writers
+from assayforge.streaming import incremental, stateful
 
 SEED = 42
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
@@ -114,6 +115,21 @@ def pivot_first(spark, d):
                         categories=EVENT_TYPES, order_by="event_id", fill=0)
 
 
+ARRIVALS = 3
+
+
+@query(SQL["pivot_first"])
+def streaming_pivot(spark, d):
+    """The events dealt over several files that arrive one after the other, pivoted with the state kept between them."""
+    events = table(spark, d, "events")
+    arriving, output, checkpoint = (new_folder(spark, name) for name in ("arriving", "pivot", "progress"))
+    events.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(ARRIVALS))).repartition(ARRIVALS, "part").drop("part").write.parquet(arriving)
+    stream = incremental.stream_parquet(spark, arriving, events.schema, files_per_trigger=1)
+    stateful.pivot_stream(stream, output, checkpoint, keys=["user_id"], category="event_type", value="value",
+                          categories=EVENT_TYPES, order_by="event_id", fill=0).awaitTermination()
+    return stateful.read_pivot(spark, output, ["user_id"])
+
+
 _PIVOT_IDS = "\n UNION ALL ".join(
     f"""SELECT min(o_orderkey) FILTER (WHERE o_orderpriority = '{p}') AS id,
         arg_min(o_totalprice, o_orderkey) FILTER (WHERE o_orderpriority = '{p}') AS binds FROM orders GROUP BY o_custkey"""

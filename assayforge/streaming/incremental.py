@@ -30,7 +30,7 @@ def stream_csv(spark: SparkSession, path: str, schema: T.StructType, files_per_t
 
 
 def append_once(df: DataFrame, output: str, checkpoint: str,
-                transform: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> StreamingQuery:
+                transform: Callable[[DataFrame], DataFrame] = lambda batch: batch, mode: str = "append") -> StreamingQuery:
     """Processes what is there, writing each micro-batch to its own folder of ``output``.
 
     The folder is named after the query id, which the checkpoint keeps, and the batch id. It is
@@ -45,7 +45,7 @@ def append_once(df: DataFrame, output: str, checkpoint: str,
         transform(batch).write.mode("overwrite").parquet(f"{output}/query_id={query_id[0]}/batch_id={batch_id}")
 
     return (
-        df.writeStream.foreachBatch(write)
+        df.writeStream.outputMode(mode).foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

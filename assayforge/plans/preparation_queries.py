@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from assayforge.operators import features, quality, sample, split, unify, views
 from assayforge.operators.ranking import ordered_rank
 from assayforge.operators.reshape import pivot_labels, unpivot_scores
+from assayforge.plans import jobs
 from assayforge.plans.registry import SQL, query, sql_hash, sql_uint32, table
-from assayforge.schemas import ID_MISSING
+from assayforge.schemas import EXTRA_COLUMN_NAMES, ID_MISSING, PROTEINS, RAW_COLUMN_NAMES
 from assayforge.session import new_folder, pinned
 from assayforge.sources import readers, writers
 from assayforge.streaming import incremental, stateful
@@ -300,6 +301,22 @@ def unify_sources(spark, d):
     return unified(spark, d).withColumn("binds", F.array_join(F.col("binds").cast("array<string>"), ","))
 
 
+@query(SQL["unify_sources"])
+def prepare_dataset_files(spark, d):
+    """The whole job from files to files: raw train and test Parquet and extra CSV, under their raw column names."""
+    folder = new_folder(spark, "raw")
+    raw = {short: long for long, short in RAW_COLUMN_NAMES.items()}
+    named = lambda names: F.element_at(  # noqa: E731  the stand-in's categories as proteins
+        F.create_map(*[F.lit(x) for pair in zip(names, PROTEINS) for x in pair]), F.col("protein_name"))
+    train = assay_train(spark, d).withColumns({"protein_name": named(FLAGS), "place": F.col("place").cast("long")})
+    train.withColumnsRenamed(raw).write.parquet(f"{folder}/train")
+    assay_test(spark, d).withColumn("protein_name", named(STATUSES)).withColumnsRenamed(raw).write.parquet(f"{folder}/test")
+    extra = {short: long for long, short in EXTRA_COLUMN_NAMES.items()}
+    writers.write_csv(assay_extra(spark, d).withColumnsRenamed(extra), f"{folder}/extra")
+    done = jobs.prepare_dataset(spark, *(f"{folder}/{part}" for part in ("train", "test", "extra", "unified")), seed=SEED, order_by="place")
+    return done.withColumn("binds", F.array_join(F.col("binds").cast("array<string>"), ","))
+
+
 @query(f"""WITH {UNIFIED_CTE}
   SELECT * FROM (
     SELECT 'mlm' AS mode, 'train' AS part, count(*) AS n FROM unified

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayforge.operators.skew import lookup_join
 from assayforge.schemas import EXTRA_COLUMN_NAMES, EXTRA_COUNTS, RAW_COLUMN_NAMES, VOCABULARY
+from assayforge.session import pinned
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -84,22 +86,34 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return read_parquet(spark, path, schema=VOCABULARY)
 
 
+def ordered_lines(spark: SparkSession, path: str, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(file, position, value): the lines of text files, numbered from 0 on over all files in the order of their names.
+
+    Only the lines for which ``wanted`` holds are kept and numbered. A file may be cut into many splits, each
+    read by its own task: lines are numbered inside their split, whose place is its first byte, and one number
+    a split says how many lines come before it. Lines end with LF, CRLF or CR.
+    """
+    require_paths(spark, path)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    kept = lines if wanted is None else lines.where(wanted(F.col("value")))
+    # A split's lines have numbers in a row, which are written with them.
+    placed = pinned(kept.withColumn("at", F.monotonically_increasing_id()))
+    splits = placed.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    shifts = splits.select("file", "start", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    return lookup_join(placed, shifts, ["file", "start"], "inner").select(
+        "file", (F.col("at") + F.col("shift")).alias("position"), "value")
+
+
 def import_vocabulary_text(spark: SparkSession, path: str, first_id: int = 2) -> DataFrame:
     """(token, token_id) from text files with a token per line; blank lines take no id.
 
-    Ids go on from file to file, in the order of their names. A file is read as one value because
-    line order gives the ids; a large vocabulary is several files.
+    Ids go on from file to file, in the order of their names; a file of any size is read by many tasks.
     """
-    require_paths(spark, path)
-    lines = F.split(F.col("value"), "\r\n|\n|\r")
-    stripped = F.transform(lines, lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
-    tokens = F.filter(stripped, lambda t: F.length(t) > 0)
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), tokens.alias("tokens"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    sizes = files.groupBy("file").agg(F.sum(F.size("tokens")).alias("n"))
-    before = sizes.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    placed = files.join(before, "file").select("before", F.posexplode("tokens").alias("i", "token"))
-    return placed.select("token", (F.col("before") + F.col("i") + first_id).cast("int").alias("token_id"))
+    stripped = lambda line: F.regexp_replace(line, r"^\s+|\s+$", "")
+    lines = ordered_lines(spark, path, lambda line: F.length(stripped(line)) > 0)
+    return lines.select(stripped(F.col("value")).alias("token"), (F.col("position") + first_id).cast("int").alias("token_id"))
 
 
 def read_records(spark: SparkSession, path: str, subset: int | None = None) -> DataFrame:

@@ -202,16 +202,28 @@ def token_fingerprint(spark, d):
     return marked.select("doc_id", "is_valid", F.size("bits").alias("n_bits"), _joined(F.col("bits")).alias("bits"))
 
 
-def _round_sql(k: int) -> str:
+def _round_sql(k: int, hand: str = "") -> str:
+    """``around`` sums up a turn's neighbours; ``hand`` is SQL of further words of the code."""
     shown = "md5(bond || '|' || code)"
     word = "('0x' || substr({}, {}, 8))::BIGINT"
     return f"""around{k} AS (
   SELECT l.g, l.at AS v, count(*) AS n, sum({word.format(shown, 1)}) AS s0, sum({word.format(shown, 9)}) AS s1
   FROM links l JOIN code{k - 1} c ON l.g = c.g AND l.other = c.v GROUP BY l.g, l.at),
-code{k} AS (
+{_hand_sql(k) if hand else ''}code{k} AS (
   SELECT c.g, c.v, md5('{k}|' || code || '|' || coalesce(n, 0) || '|' || coalesce(s0, 0) || '|'
-      || coalesce(s1, 0)) AS code
-  FROM code{k - 1} c LEFT JOIN around{k} a ON c.g = a.g AND c.v = a.v)"""
+      || coalesce(s1, 0){hand}) AS code
+  FROM code{k - 1} c LEFT JOIN around{k} a ON c.g = a.g AND c.v = a.v
+  {f'LEFT JOIN hand{k} h ON c.g = h.g AND c.v = h.v' if hand else ''})"""
+
+
+def _hand_sql(k: int) -> str:
+    """Handedness of the turns that have a parity and two unlike neighbours."""
+    shown = "md5(bond || '|' || code)"
+    return f"""hand{k} AS (SELECT l.g, l.at AS v,
+    any_value(parity) * CASE WHEN arg_min({shown}, l.other) < arg_max({shown}, l.other) THEN 1 ELSE -1 END AS hand
+  FROM links l JOIN code{k - 1} c ON l.g = c.g AND l.other = c.v JOIN parities p ON l.g = p.g AND l.at = p.v
+  GROUP BY l.g, l.at HAVING count(DISTINCT {shown}) = 2),
+"""
 
 
 @query(f"""WITH e AS (SELECT a.conv_id AS g, a.turn AS src, b.turn AS dst, '1' AS bond
@@ -223,12 +235,49 @@ code{k} AS (
     FROM (FROM code0 UNION ALL FROM code1 UNION ALL FROM code2))
   SELECT g AS conv_id, count(*)::INTEGER AS n_bits, string_agg(bit, ' ' ORDER BY bit) AS bits FROM bits GROUP BY g""")
 def graph_fingerprint(spark, d):
+    turns, edges = conversation_graphs(spark, d)
+    bits = fingerprint.graph_fingerprint(turns, edges, graph="conv_id", node="turn", label="role")
+    return bits.select("conv_id", F.size("bits").alias("n_bits"), _joined(F.col("bits")).alias("bits"))
+
+
+def conversation_graphs(spark, d):
+    """Turns as nodes and an edge from each turn to the next one."""
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role")
     following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("turn").alias("dst"))
     edges = turns.join(following, ["conv_id", "turn"]).select(
         "conv_id", F.col("turn").alias("src"), "dst", F.lit("1").alias("bond")
     )
-    bits = fingerprint.graph_fingerprint(turns, edges, graph="conv_id", node="turn", label="role")
+    return turns, edges
+
+
+_HAND = " || coalesce('|' || hand, '')"
+_GRAPH_CTE = """e AS (SELECT a.conv_id AS g, a.turn AS src, b.turn AS dst, '1' AS bond
+    FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn),
+  links AS (SELECT g, src AS at, dst AS other, bond FROM e UNION ALL SELECT g, dst, src, bond FROM e),
+  code0 AS (SELECT conv_id AS g, turn AS v, md5('0|' || role) AS code FROM conversations)"""
+
+
+# Edges that a neighbourhood covers as lists, numbered by their first turn.
+@query(f"""WITH {_GRAPH_CTE},
+  parities AS (SELECT conv_id AS g, turn AS v, CASE WHEN turn % 3 = 0 THEN 1 ELSE -1 END AS parity FROM conversations WHERE turn % 3 < 2),
+  {_round_sql(1, _HAND)}, {_round_sql(2, _HAND)},
+  at1 AS (SELECT g, src AS v, src AS edge FROM e UNION SELECT g, dst, src FROM e),
+  near AS (SELECT g, links.at AS v, other FROM links UNION SELECT g, v, v FROM at1),
+  at2 AS (SELECT DISTINCT near.g, near.v, edge FROM near JOIN at1 ON near.g = at1.g AND near.other = at1.v),
+  covered AS (SELECT g, v, 1 AS k, string_agg(edge, ' ' ORDER BY edge) AS edges FROM at1 GROUP BY ALL
+    UNION ALL SELECT g, v, 2, string_agg(edge, ' ' ORDER BY edge) FROM at2 GROUP BY ALL),
+  coded AS (SELECT *, 1 AS k FROM code1 UNION ALL SELECT *, 2 FROM code2),
+  kept AS (SELECT g, edges, arg_min(code, k::VARCHAR || code) AS code FROM coded JOIN covered USING (g, v, k) GROUP BY g, edges),
+  bits AS (SELECT DISTINCT g, ('0x' || substr(code, 1, 8))::BIGINT % 2048 AS bit
+    FROM (SELECT g, code FROM code0 UNION ALL SELECT g, code FROM kept))
+  SELECT g AS conv_id, count(*)::INTEGER AS n_bits, string_agg(bit, ' ' ORDER BY bit) AS bits FROM bits GROUP BY g""")
+def chiral_fingerprint(spark, d):
+    """Fingerprints that tell mirror images apart and count neighbourhoods with the same edges once."""
+    turns, edges = conversation_graphs(spark, d)
+    marked = turns.withColumn("parity", F.when(F.col("turn") % 3 == 0, 1).when(F.col("turn") % 3 == 1, -1))
+    bits = fingerprint.graph_fingerprint(
+        marked, edges.withColumns({"after": F.lit(1), "before": F.lit(0)}), graph="conv_id", node="turn", label="role",
+        parity="parity", places=("after", "before"), distinct_environments=True)
     return bits.select("conv_id", F.size("bits").alias("n_bits"), _joined(F.col("bits")).alias("bits"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayforge.operators import features, quality, sample, split, unify, views
+from assayforge.operators import difference, features, quality, sample, split, unify, views
 from assayforge.operators.ranking import ordered_rank
 from assayforge.operators.reshape import pivot_labels, unpivot_scores
 from assayforge.plans import jobs
@@ -381,6 +381,25 @@ def dataset_checksum(spark, d):
     return quality.checksum(events, ["event_id", "user_id", "event_type", "props", "time", "thousandths"])
 
 
+@query("""WITH other AS (
+    SELECT * REPLACE (CASE WHEN o_orderkey % 89 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice)
+    FROM orders WHERE o_orderkey % 97 <> 0
+    UNION ALL SELECT * REPLACE (-o_orderkey AS o_orderkey) FROM orders WHERE o_orderkey % 101 = 0)
+  SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+    CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS change
+  FROM orders a FULL JOIN other b ON a.o_orderkey = b.o_orderkey
+  WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_totalprice <> b.o_totalprice""")
+def changed_orders(spark, d):
+    """The keys in which two versions of the orders differ, found by their checksum trees."""
+    orders, folder, key = table(spark, d, "orders"), new_folder(spark, "trees"), F.col("o_orderkey")
+    price = F.when(key % 89 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    other = orders.where(key % 97 != 0).withColumn("o_totalprice", price).unionByName(
+        orders.where(key % 101 == 0).withColumn("o_orderkey", -key))
+    for name, version in (("one", orders), ("two", other)):
+        difference.write_tree(version, f"{folder}/{name}", ["o_orderkey"])
+    return difference.changed_keys(spark, f"{folder}/one", f"{folder}/two")
+
+
 _TABLES = ("customer", "documents", "embeddings", "events", "labels", "lineitem", "orders", "part", "supplier")
 
 

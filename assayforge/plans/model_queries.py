@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayforge.functions.hashing import uniform
 from assayforge.functions.sequences import SMILES_PATTERN, TEXT_PATTERN, tokenize
@@ -18,10 +19,10 @@ from assayforge.operators import features, forest, models, scoring, training, un
 from assayforge.operators.fingerprint import token_fingerprint
 from assayforge.plans.metric_queries import sql_alpha
 from assayforge.plans.preparation_queries import STATUSES, TEST_CTE, assay_test
-from assayforge.plans.registry import query, spread_table, sql_hash, sql_uniform, table
+from assayforge.plans.registry import SQL, query, spread_table, sql_hash, sql_uniform, table
 from assayforge.schemas import LABEL_MISSING
 from assayforge.session import new_folder, pinned
-from assayforge.streaming import incremental
+from assayforge.streaming import csv_log, incremental
 
 FOREST_BITS = 1024
 FOREST_TREES = 100
@@ -297,6 +298,24 @@ def streaming_score(spark, d):
     return incremental.read_appended(spark, output)
 
 
+@query(SQL["streaming_score"])
+def streaming_csv_scores(spark, d):
+    """Event CSV scored in two runs of a stream, a batch written a second time, appended under one header."""
+    events = table(spark, d, "events").select("event_id", "value")
+    arriving, output, checkpoint = (new_folder(spark, name) for name in ("arriving", "scored-csv", "progress"))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("binds", T.DoubleType())])
+    score = batch_scorer(load_logistic, batch_size=1024)
+    scored = lambda batch: batch.select(F.col("event_id").alias("id"), F.get(score("value"), 0).alias("binds"))
+    for run in range(2):
+        part = events.where(F.pmod("event_id", F.lit(2)) == run)
+        part.write.mode("append").option("header", True).csv(arriving)
+        stream = incremental.stream_csv(spark, arriving, events.schema)
+        csv_log.append_csv(stream, output, checkpoint, scored).awaitTermination()
+    last = csv_log.commits(spark, output).orderBy(F.desc("batch_id")).first()
+    csv_log.write_batch(scored(part), output, last["query_id"], last["batch_id"])
+    return csv_log.read_csv_log(spark, output, schema).withColumn("binds", F.round("binds", 9))
+
+
 EVENT_FEATURES = ("value", "event_id % 25 * 4", "user_id % 100")
 _EVENT_SQL = "[value::DOUBLE, (event_id % 25 * 4)::DOUBLE, (user_id % 100)::DOUBLE]"
 

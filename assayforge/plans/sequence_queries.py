@@ -21,7 +21,7 @@ from assayforge.functions.sequences import (
 from assayforge.operators import fingerprint, losses, masking, views, vocabulary
 from assayforge.plans.preparation_queries import SEED, UNIFIED_CTE, unified
 from assayforge.plans.registry import query, spread_table, sql_uint32, sql_uniform, table
-from assayforge.schemas import FIRST_TOKEN_ID
+from assayforge.schemas import FIRST_TOKEN_ID, TEST
 from assayforge.session import new_folder, pinned
 from assayforge.sources import readers, writers
 from assayforge.streaming import incremental
@@ -331,6 +331,19 @@ def view_fps(spark, d):
     return view.select("name", _joined(F.col("input")).alias("input"), _joined(F.col("ecfp")).alias("ecfp"))
 
 
+@query(f"""WITH {UNIFIED_CTE}
+  SELECT smiles AS name, array_to_string({_SMILES_TOKENS}, ' ') AS tokens, array_to_string(binds, ',') AS binds
+  FROM unified WHERE subset = 2""")
+def test_records(spark, d):
+    """The rows to be scored, picked from the stored records: only their files are read."""
+    rows = unified(spark, d).withColumn("name", F.col("smiles"))
+    folder = new_folder(spark, "records")
+    writers.write_records(views.make_records(rows, keep=["name"]), folder)
+    chosen = readers.read_records(spark, folder, subset=TEST)
+    return chosen.select("name", F.array_join("smiles", " ").alias("tokens"),
+                         F.array_join(F.col("binds").cast("array<string>"), ",").alias("binds"))
+
+
 def _padded_sql(column: str, fill: int) -> str:
     return f"array_to_string(list_resize(list({column} ORDER BY pos), greatest({VIEW_LENGTH}, count(*)), {fill}), ' ')"
 

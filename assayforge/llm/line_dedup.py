@@ -144,11 +144,12 @@ def deduplicated(docs: DataFrame, *, removed: str | None = None, gram_words: int
     too; a text may become empty. ``removed`` names a column for the numbers of the lost lines.
     """
     key, gone = fresh(docs, "_text_hash"), removed or fresh(docs, "_removed")
+    doc, text_hash = fresh(docs, "_id"), fresh(docs, "_hash")
     lost = repeated_lines(docs, gram_words=gram_words, window_words=window_words).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("removed").alias(gone))
+        F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("removed").alias(gone))
     marked = docs.withColumn(key, document_hash(docs["text"]))
     both = marked.join(
-        lost, marked["doc_id"].cast("long").eqNullSafe(lost["_id"]) & (marked[key] == lost["_hash"]), "left")
+        lost, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(text_hash)), "left")
     out = both.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(
         _without(F.when(F.col(gone).isNotNull(), F.col("text")), F.col(gone))))
     if "n_chars" in docs.columns:

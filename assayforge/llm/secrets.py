@@ -160,13 +160,13 @@ def redacted(docs: DataFrame, *, mark: str = "[SECRET]", repository: str | None
 
     Overlapping spans are replaced as one. Texts without spans and all other columns stay as they are.
     """
-    key, spans = fresh(docs, "_text_hash"), fresh(docs, "_spans")
+    key, spans, doc, text_hash = (fresh(docs, name) for name in ("_text_hash", "_spans", "_id", "_hash"))
     found = scan(docs, repository=repository, owner=owner).where(F.size("spans") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"),
+        F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash),
         F.transform("spans", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"))).alias(spans)
-    ).dropDuplicates(["_id", "_hash"])
+    ).dropDuplicates([doc, text_hash])
     marked = docs.withColumn(key, document_hash(docs["text"]))
-    both = marked.join(found, marked["doc_id"].cast("long").eqNullSafe(found["_id"]) & (marked[key] == found["_hash"]), "left")
+    both = marked.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(text_hash)), "left")
     changed = F.when(F.col(spans).isNull(), F.col("text")).otherwise(
         _replaced(F.when(F.col(spans).isNotNull(), F.col("text")), F.col(spans), F.lit(mark)))
     out = both.withColumn("text", changed)

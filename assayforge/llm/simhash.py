@@ -275,8 +275,8 @@ def without_near_duplicates(docs: DataFrame, *, radius: int = RADIUS) -> DataFra
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     least = rows.groupBy("fp").agg(F.min(place).alias("least")).join(named, "fp").groupBy("root").agg(
         F.min("least").alias("least"))
-    keep = least.select(F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash"))
-    key = fresh(docs, "_text_hash")
+    key, doc, text_hash = (fresh(docs, name) for name in ("_text_hash", "_id", "_hash"))
+    keep = least.select(F.col("least.doc_id").alias(doc), F.col("least.text_hash").alias(text_hash))
     marked = docs.withColumn(key, document_hash(docs["text"]))
-    same = marked["doc_id"].cast("long").eqNullSafe(keep["_id"]) & (marked[key] == keep["_hash"])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(text_hash))
     return marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", key]).drop(key)

@@ -75,13 +75,14 @@ def op5_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["op5_topk"] = """
-WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x::DOUBLE)]) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
-      FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+q AS (SELECT min(row) AS row, vec_id, v FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id, v),
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+      FROM q, v c WHERE c.row <> q.row AND len(c.v) = len(q.v))
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+  SELECT query_id, (row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
   FROM s) WHERE rank <= 20"""
 
 

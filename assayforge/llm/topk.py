@@ -89,7 +89,8 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = K, scale: int = 64,
     other row is a candidate, ties go to smaller vec_id, a query with fewer than k candidates gets all.
     Rows whose vector or vec_id is null, or holds null or non-finite components, take no part. Vectors of
     different lengths don't meet. A repeated row (same vec_id, same vector) is a candidate for its twin,
-    and the query is answered once. No rows give no rows.
+    and the query is answered once; different vectors of one vec_id are queries of their own, each with its
+    ranks. No rows give no rows.
 
     Candidates lie in blocks, each with its own cells; blocks of queries are sent to every block of
     candidates of their length, and a query's best of each block are merged.
@@ -103,15 +104,17 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = K, scale: int = 64,
     count = F.element_at(F.create_map(*[F.lit(x) for item in blocks.items() for x in item]), F.col("dim")) if blocks \
         else F.lit(1)
     spread = F.xxhash64("vec_id")
-    stored = clean.select("dim", F.pmod(spread, count).cast("int").alias("block"), F.lit(-1).alias("part"), "vec_id", "v")
+    stored = clean.select("dim", F.pmod(spread, count).cast("int").alias("block"), F.lit(-1).alias("part"), "vec_id", "v",
+                          F.lit(0).cast("long").alias("mark"))
     parts = F.ceil(count * candidates_per_block / (20 * queries_per_block)).cast("int")
     asked = clean.where("asks").dropDuplicates(["vec_id", "v"]).select(
         "dim", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"),
-        F.pmod(F.shiftright(spread, 20), F.greatest(parts, F.lit(1))).cast("int").alias("part"), "vec_id", "v")
+        F.pmod(F.shiftright(spread, 20), F.greatest(parts, F.lit(1))).cast("int").alias("part"), "vec_id", "v",
+        F.xxhash64("v").alias("mark"))
 
     def run(batches) -> Iterator[dict]:
         at = None
-        pending: dict[str, list] = {"ids": [], "vectors": []}
+        pending: dict[str, list] = {"ids": [], "vectors": [], "marks": []}
         held = None
 
         def flush():
@@ -133,13 +136,13 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = K, scale: int = 64,
             found = list(search_block(block, stored, known, own, k))
             sizes = [len(p) for p, _ in found]
             number = np.repeat(np.arange(len(ids)), sizes)
-            return {"query_id": pa.array(ids[number]), "twin": pa.array(number),
+            return {"query_id": pa.array(ids[number]), "mark": pa.array(np.concatenate(pending["marks"])[number]),
                     "vec_id": pa.array(known[np.concatenate([p for p, _ in found])]),
                     "score": pa.array(np.concatenate([s for _, s in found]))}
 
         for batch in batches:
             dims, places, part = (batch.column(i).to_numpy() for i in range(3))
-            ids, lists = batch.column(3).to_numpy(), batch.column(4)
+            ids, lists, marks = batch.column(3).to_numpy(), batch.column(4), batch.column(5).to_numpy()
             flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             change = np.flatnonzero((np.diff(dims) != 0) | (np.diff(places) != 0) | (np.diff(part) != 0)) + 1
             for a, b in zip([0, *change.tolist()], [*change.tolist(), len(ids)], strict=True):
@@ -150,9 +153,10 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = K, scale: int = 64,
                     out = flush()
                     if out:
                         yield out
-                    pending = {"ids": [], "vectors": []}
+                    pending = {"ids": [], "vectors": [], "marks": []}
                 at = key
                 pending["ids"].append(ids[a:b])
+                pending["marks"].append(marks[a:b])
                 pending["vectors"].append(flat[ends[a]:ends[b]].reshape(b - a, key[0]))
         if at is not None:
             out = flush()
@@ -162,7 +166,7 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = K, scale: int = 64,
     spark = vectors.sparkSession
     width = max(most, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = stored.unionByName(asked).repartition(width, "dim", "block").sortWithinPartitions("dim", "block", "part", "vec_id")
-    found = map_rows(dealt, run, "query_id long, twin long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = map_rows(dealt, run, "query_id long, mark long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -33,3 +33,11 @@ def test_own_columns_stay(docs, name):
     rows = got.collect()
     assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASHING)
     assert sorted(map(str, got.drop(*CLASHING).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_queries_of_one_id_are_answered_each(spark):
+    from assayforge.llm import topk
+
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [1.0, 0.5]), (2, [0.5, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 20, k=2).collect()
+    assert sorted(map(tuple, got)) == [(20, 1, 1, 4096), (20, 1, 20, 4096), (20, 2, 2, 2048), (20, 2, 2, 4096)]

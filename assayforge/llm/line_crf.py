@@ -16,11 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayforge.llm.batches import document_hash, map_rows, slices, texts
+from assayforge.llm.batches import document_hash, map_rows, slices, texts, written
 
 BYTES_PER_STEP = 2**20  # of text that is scored at once: bounds the arrays a worker holds
 TRAINING_ROWS = 2000  # of each label: bounds what the driver gets to fit the field
-TRAINING_LINES = 500  # of each of these texts, its first ones: with the rows, bounds the arrays of the fit
+TRAINING_LINES = 150_000  # of each label: bounds the arrays of the fit; a text goes in whole or not at all
 STEPS = 120
 PENALTY = 1e-3
 FEATURES = ("log words", "word length", "capitals", "digits", "symbols", "exclamations", "bars", "stops", "other bytes",
@@ -196,16 +196,30 @@ def fit(own: np.ndarray, sizes: np.ndarray, bounds: np.ndarray, good: np.ndarray
     return field
 
 
-def _features(docs: DataFrame, lines: int) -> DataFrame:
-    """(doc_id, own, sizes): features and lengths of each text's first ``lines`` lines."""
+def _features(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, own, sizes): number, features and lengths of each text's lines."""
     def run(batches):
         for batch in slices(batches):
             own, sizes, bounds = line_features(batch.column(1))
-            spans = [(a, min(a + lines, b)) for a, b in zip(bounds, bounds[1:], strict=False)]
-            yield {"doc_id": batch.column(0), "own": [own[a:b].astype("<f8").tobytes() for a, b in spans],
+            spans = list(zip(bounds, bounds[1:], strict=False))
+            yield {"doc_id": batch.column(0), "n": [b - a for a, b in spans],
+                   "own": [own[a:b].astype("<f8").tobytes() for a, b in spans],
                    "sizes": [sizes[a:b].astype("<i8").tobytes() for a, b in spans]}
 
-    return map_rows(texts(docs), run, "doc_id long, own binary, sizes binary")
+    return map_rows(texts(docs), run, "doc_id long, n long, own binary, sizes binary")
+
+
+def whole_texts(sizes: list[tuple[int, int]], lines: int) -> list[int]:
+    """The ids of (doc_id, lines), in the given order, whose lines have room below ``lines`` together.
+
+    A text that has no room is left out and the next ones are tried, so one very long text takes no room from others.
+    """
+    out, held = [], 0
+    for doc_id, n in sizes:
+        if held + n <= lines:
+            out.append(doc_id)
+            held += n
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Column, *, rows: int = TRAINING_ROWS, lines: int = TRAINING_LINES,
@@ -213,8 +227,8 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, rows: int = T
     """A field fitted on labelled documents for whose doc_id ``training`` holds.
 
     At most ``rows`` ids of each label are fitted, those with the smallest hash of their id, each with one
-    text, that with the smallest hash, and its first ``lines`` lines; the labels' shares come from all ids. Returns a constant score where only one label, or none, is there:
-    that label, or 1/2. Labels other than 0 and 1 are left out, of several for one id the largest holds.
+    whole text, that with the smallest hash, as long as they have at most ``lines`` lines together; the labels'
+    shares come from all ids. Returns a constant score where only one label, or none, is there: that label, or 1/2. Labels other than 0 and 1 are left out, of several for one id the largest holds.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("good")).where(training)
@@ -227,8 +241,12 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, rows: int = T
     own = texts(docs)
     kept = own.join(wanted, own["doc_id"] == wanted["_wanted"], "left_semi").groupBy("doc_id").agg(
         F.min(F.struct(document_hash(F.col("text")).alias("h"), "text")).alias("least"))
-    found = _features(kept.select("doc_id", "least.text"), lines).collect()
+    measured = written(_features(kept.select("doc_id", "least.text")), "line-features")
+    sizes = measured.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "n").collect()  # at most twice ``rows``
+    fitted = [i for g in (0, 1) for i in whole_texts([(i, n) for i, n in sizes if sample[i] == g], lines)]
+    found = measured.where(F.col("doc_id").isin(fitted)).collect()
     found.sort(key=lambda r: (r["doc_id"], r["own"]))
+    assert sum(r["n"] for r in found) <= 2 * lines
     own = np.concatenate([np.frombuffer(r["own"], "<f8").reshape(-1, len(FEATURES)) for r in found] or [np.zeros((0, len(FEATURES)))])
     sizes = np.concatenate([np.frombuffer(r["sizes"], "<i8") for r in found] or [np.zeros(0, np.int64)])
     bounds = np.cumsum([0, *(len(r["sizes"]) // 8 for r in found)])

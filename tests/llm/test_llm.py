@@ -389,14 +389,18 @@ def test_line_classifier(spark, docs, none):
     assert {r["score"] for r in line_crf.classify(docs, one.limit(0)).collect()} == {0.5}
 
 
-def test_training_takes_one_text_an_id_and_bounded_lines(spark, monkeypatch):
+def test_training_takes_one_whole_text_an_id_and_bounded_lines(spark, monkeypatch):
     rows = [(i % 10 if i < 90 else 3, "\n".join(f"line {j} of {i}" for j in range(i)), i % 10 % 2) for i in range(200)]
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
     seen = []
     monkeypatch.setattr(line_crf, "fit", lambda own, sizes, bounds, *_: seen.append(np.diff(bounds)))
-    line_crf.train(df, labels, F.lit(True), lines=7)
-    assert len(seen[0]) == 10 and seen[0].max() == 7
+    line_crf.train(df, labels, F.lit(True))
+    whole = seen.pop()
+    assert len(whole) == 10 and whole.max() > 80
+    line_crf.train(df, labels, F.lit(True), lines=100)
+    assert 2 <= len(seen[0]) < 10 and set(seen[0]) <= set(whole) and seen[0].sum() <= 200
+    assert line_crf.whole_texts([(1, 90), (2, 20), (3, 4), (4, 6), (5, 1)], 100) == [1, 3, 4]
 
 
 def test_line_features_stay_inside_their_text():

@@ -1,9 +1,10 @@
 """Quality rules whose cutoffs are chosen under a limit on false rejections, in DataFrame functions alone.
 
-Each rule rejects a document whose share of something is above a cutoff. Labelled documents decide the
-cutoffs: per stratum (a band of document lengths) and rule, the lowest cutoff for which the exact
-binomial test says, at a level divided by the number of all tests, that no more than ``risk`` of the
-good documents are rejected.
+A document has a share of symbols, capitals, repeated lines and repeated words. The rules of a stratum (a band
+of document lengths) reject it if any share is above the stratum's cutoff, so what is certified is what all of
+them reject together: by the exact binomial test, at a level divided by the number of strata, no more than
+``risk`` of the stratum's good documents. Cutoffs of a stratum are tested from the most lenient one on, each only
+if those before it passed, which takes no further correction. Labelled documents decide, each text once.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayforge.llm.batches import written
+from assayforge.llm.batches import document_hash, written
 
 WHITE = " \t\n\x0b\f\r"
 _RUNS = r"[\x20\x09-\x0D]+"
@@ -22,8 +23,9 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 8
 BANDS = (20, 100, 400, 1600)  # a stratum begins at each of these numbers of words
 STEPS = 32  # cutoffs are 1/32 to 31/32
-RISK = 0.005
-LEVEL = 0.05
+RISK = 0.025  # most good documents of a stratum that its rules may reject: 147 without a rejection certify it
+LEVEL = 0.1  # of all strata together
+PRICE = 50  # a share of good documents rejected counts so many times one of bad documents
 SIGNALS = {  # share: numerator, denominator
     "symbols": ("n_symbols", "word_chars"),
     "capitals": ("n_capitals", "word_chars"),
@@ -60,7 +62,7 @@ def _repeat_words(hashes: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_capitals, n_lines, n_dup_lines, n_repeat_words) of every row.
+    """(doc_id, text_hash, n_words, word_chars, n_symbols, n_capitals, n_lines, n_dup_lines, n_repeat_words) of every row.
 
     Lines are those with a word. Windows of eight words are compared by 64-bit hashes within a text. A
     null text has no words; repeated rows give rows each. Row-local: nothing is shuffled.
@@ -70,11 +72,12 @@ def features(docs: DataFrame) -> DataFrame:
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _RUNS))
     lines = F.filter(F.split(text, "\n"), lambda x: _without(x, WHITE) != "")
     cut = docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"), F.length(_without(text, WHITE)).alias("word_chars"),
+        docs["doc_id"].cast("long").alias("doc_id"), document_hash(docs["text"]).alias("text_hash"),
+        F.length(_without(text, WHITE)).alias("word_chars"),
         _count(text, SYMBOLS).alias("n_symbols"), _count(text, CAPITALS).alias("n_capitals"),
         words.alias("words"), lines.alias("lines"))
     hashed = cut.select(
-        "doc_id", F.size("words").alias("n_words"), "word_chars", "n_symbols", "n_capitals",
+        "doc_id", "text_hash", F.size("words").alias("n_words"), "word_chars", "n_symbols", "n_capitals",
         F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.when(F.size("words") < WINDOW, F.array().cast("array<bigint>")).otherwise(
             F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)),
@@ -113,49 +116,51 @@ def log_binomial_tail(n: Column, most: Column, p: float) -> Column:
         lambda acc: acc["sum"])
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, *, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """One row per stratum: for every rule its cutoff in 1/STEPS, null where no cutoff is safe.
+def worst() -> Column:
+    """The largest bucket of a document's shares: its rules reject it for every cutoff below."""
+    return F.greatest(*[bucket(*parts) for parts in SIGNALS.values()])
 
-    A cutoff is safe if a good share of ``risk`` or more to reject would give as few rejected good
-    documents as were seen with a probability of at most ``level`` over the number of tests
-    (strata x rules x cutoffs). Among safe ones the lowest is taken, if it rejects a larger share of
-    bad documents than four times that of good ones. Labels other than 0 and 1, and ids without a
-    document, count nowhere; a document labelled twice counts by its largest label.
+
+def cutoffs(measured: DataFrame, labels: DataFrame, *, risk: float = RISK, level: float = LEVEL, price: int = PRICE) -> DataFrame:
+    """(stratum, cut): the cutoff in 1/STEPS of every stratum that has a safe and useful one.
+
+    A cutoff is safe if, were a share of ``risk`` or more of the stratum's good documents to be rejected, so few
+    rejected ones as were seen would have a probability of at most ``level`` over the number of strata. Rejections
+    only grow from one cutoff to the next lower one, so the safe ones are those tested before the first that fails.
+    Of them the one is taken whose share of bad documents rejected, less ``price`` times that of good ones, is
+    largest and above 0, the higher one of equals. Labels other than 0 and 1, and ids without a document, count
+    nowhere; a document labelled twice counts by its largest label; copies of a text are one trial, as good as the
+    best of them.
     """
     known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max("quality").alias("good"))
-    judged = measured.where(~base_failed()).withColumn("stratum", stratum()).join(known, "doc_id")
-    rules = F.array(*[F.struct(F.lit(name).alias("rule"), bucket(*parts).alias("bucket")) for name, parts in SIGNALS.items()])
-    counted = judged.select("stratum", "good", F.explode(rules).alias("x")).groupBy("stratum", "x.rule", "x.bucket").agg(
-        F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
-    ladder = counted.groupBy("stratum", "rule").agg(
+    judged = measured.where(~base_failed()).select("doc_id", "text_hash", stratum().alias("stratum"), worst().alias("worst")).join(
+        known, "doc_id")
+    trials = judged.groupBy("text_hash", "stratum", "worst").agg(F.max("good").alias("good"))
+    counted = trials.groupBy("stratum", "worst").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    ladder = counted.groupBy("stratum").agg(
         F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"),
-        F.collect_list(F.struct("bucket", "good", "bad")).alias("counts"))  # at most STEPS + 1 entries
+        F.collect_list(F.struct("worst", "good", "bad")).alias("counts"))  # at most STEPS + 1 entries
     above = lambda field: F.aggregate("counts", F.lit(0).cast("long"), lambda acc, c: acc + F.when(
-        c["bucket"] > F.col("k"), c[field]).otherwise(0))
+        c["worst"] > F.col("k"), c[field]).otherwise(0))
     tried = ladder.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(STEPS - 1)))).withColumn(
         "r_good", above("good")).withColumn("r_bad", above("bad"))
-    tests = len(BANDS) * len(SIGNALS) * (STEPS - 1)
     possible = F.col("r_good") < F.col("n_good") * risk  # else the probability is far above the level
     safe = tried.where(possible).where(
-        log_binomial_tail(F.col("n_good"), F.col("r_good"), risk) <= math.log(level / tests))
-    useful = safe.where(F.col("r_bad") * F.col("n_good") > 4 * F.col("r_good") * F.col("n_bad"))
-    lowest = useful.groupBy("stratum", "rule").agg(F.min("k").alias("k"))
-    return lowest.groupBy("stratum").agg(*[
-        F.max(F.when(F.col("rule") == name, F.col("k"))).alias(f"cut_{name}") for name in SIGNALS])
+        log_binomial_tail(F.col("n_good"), F.col("r_good"), risk) <= math.log(level / len(BANDS)))
+    gain = F.col("r_bad") * F.col("n_good") - price * F.col("r_good") * F.col("n_bad")
+    return safe.where(gain > 0).groupBy("stratum").agg(F.max_by("k", F.struct(gain, "k")).alias("cut"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, risk: float = RISK, level: float = LEVEL) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, *, risk: float = RISK, level: float = LEVEL, price: int = PRICE) -> DataFrame:
     """The features of every row of ``docs``, base_failed, and kept.
 
-    kept is false if base_failed, or if a rule of the document's stratum rejects it. Without labels
-    enough for a safe cutoff a rule rejects nothing. No rows give no rows; see ``features`` for nulls.
+    kept is false if base_failed, or if the rules of the document's stratum reject it. A stratum without labels
+    enough for a safe cutoff rejects nothing more. No rows give no rows; see ``features`` for nulls.
     """
     measured = written(features(docs), "features")
-    cuts = F.broadcast(cutoffs(measured, labels, risk=risk, level=level))  # one row per stratum, four at most
-    rejected = F.lit(False)
-    for name, parts in SIGNALS.items():
-        rejected = rejected | F.coalesce(bucket(*parts) > F.col(f"cut_{name}"), F.lit(False))
+    cuts = F.broadcast(cutoffs(measured, labels, risk=risk, level=level, price=price))  # one row per stratum, four at most
+    rejected = F.coalesce(worst() > F.col("cut"), F.lit(False))
     return measured.withColumn("stratum", stratum()).join(cuts, "stratum", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"), "n_capitals", "n_lines")

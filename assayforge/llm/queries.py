@@ -101,13 +101,9 @@ def _quality_rules_sql() -> str:
     white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     share = lambda top, bottom: (
         f"CASE WHEN {bottom} = 0 THEN 0 ELSE least({r.STEPS}, ({r.STEPS} * {top} + {bottom} - 1) // greatest({bottom}, 1)) END")
-    rules = " UNION ALL ".join(
-        f"SELECT stratum, good, '{name}' AS rule, {share(*parts)} AS bucket FROM judged" for name, parts in r.SIGNALS.items())
     stratum = "CASE " + " ".join(
         f"WHEN n_words >= {least} THEN {i}" for i, least in reversed(list(enumerate(r.BANDS)))) + " ELSE -1 END"
-    cuts = ", ".join(f"max(CASE WHEN rule = '{name}' THEN k END) AS cut_{name}" for name in r.SIGNALS)
-    hit = " OR ".join(f"coalesce({share(*parts)} > cut_{name}, false)" for name, parts in r.SIGNALS.items())
-    tests = len(r.BANDS) * len(r.SIGNALS) * (r.STEPS - 1)
+    worst = f"greatest({', '.join(share(*parts) for parts in r.SIGNALS.values())})"
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, [x FOR x IN regexp_split_to_array(text, '[\x20\x09-\x0D]+') IF x <> ''] AS words,
@@ -117,26 +113,25 @@ win AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS win
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM win) WHERE n > 1),
 cov AS (SELECT doc_id, sum(least(8, i - before))::BIGINT AS n_repeat_words FROM (
           SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -8) AS before FROM rep) GROUP BY doc_id),
-f AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(translate(text, {white}, ''))::BIGINT AS word_chars,
+f AS (SELECT doc_id, text, len(words)::BIGINT AS n_words, length(translate(text, {white}, ''))::BIGINT AS word_chars,
              (length(text) - length(translate(text, '{r.SYMBOLS}', '')))::BIGINT AS n_symbols,
              (length(text) - length(translate(text, '{r.CAPITALS}', '')))::BIGINT AS n_capitals,
              len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
              coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
-g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {stratum} AS stratum FROM f),
+g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {stratum} AS stratum, {worst} AS worst FROM f),
 known AS (SELECT doc_id, max(quality)::BIGINT AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
-judged AS (SELECT * FROM g JOIN known USING (doc_id) WHERE NOT base_failed),
-counted AS (SELECT stratum, rule, bucket, sum(good) AS good, sum(1 - good) AS bad FROM ({rules}) GROUP BY ALL),
-tried AS (SELECT stratum, rule, k, sum(good)::BIGINT AS n_good, sum(bad)::BIGINT AS n_bad,
-                 coalesce(sum(good) FILTER (bucket > k), 0)::BIGINT AS r_good,
-                 coalesce(sum(bad) FILTER (bucket > k), 0)::BIGINT AS r_bad
-          FROM counted, (SELECT unnest(generate_series(1, {r.STEPS - 1})) AS k) GROUP BY stratum, rule, k),
-safe AS (SELECT * FROM tried WHERE r_good < n_good * {r.RISK} AND ln(list_sum([
+trials AS (SELECT stratum, worst, max(good) AS good FROM g JOIN known USING (doc_id) WHERE NOT base_failed GROUP BY text, stratum, worst),
+tried AS (SELECT stratum, k, sum(good)::BIGINT AS n_good, sum(1 - good)::BIGINT AS n_bad,
+                 coalesce(sum(good) FILTER (worst > k), 0)::BIGINT AS r_good,
+                 coalesce(sum(1 - good) FILTER (worst > k), 0)::BIGINT AS r_bad
+          FROM trials, (SELECT unnest(generate_series(1, {r.STEPS - 1})) AS k) GROUP BY stratum, k),
+safe AS (SELECT *, r_bad * n_good - {r.PRICE} * r_good * n_bad AS gain FROM tried
+         WHERE r_good < n_good * {r.RISK} AND ln(list_sum([
            exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({r.RISK}) + (n_good - i) * ln(1 - {r.RISK}))
-           FOR i IN generate_series(0, r_good)])) <= ln({r.LEVEL} / {tests})),
-lowest AS (SELECT stratum, rule, min(k) AS k FROM safe WHERE r_bad * n_good > 4 * r_good * n_bad GROUP BY ALL),
-cuts AS (SELECT stratum, {cuts} FROM lowest GROUP BY stratum)
+           FOR i IN generate_series(0, r_good)])) <= ln({r.LEVEL} / {len(r.BANDS)})),
+cuts AS (SELECT stratum, arg_max(k, (gain, k)) AS cut FROM safe WHERE gain > 0 GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT ({hit}) AS kept, n_capitals, n_lines FROM g LEFT JOIN cuts USING (stratum)"""
+       NOT base_failed AND NOT coalesce(worst > cut, false) AS kept, n_capitals, n_lines FROM g LEFT JOIN cuts USING (stratum)"""
 
 
 SQL["op7_quality_rules"] = _quality_rules_sql()

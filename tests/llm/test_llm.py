@@ -161,10 +161,11 @@ def test_token_files(spark, docs, rows, none, word_ids):
         want.append((doc, at, ids))
         at += len(ids) // 4
     assert sorted(got, key=lambda x: x[1]) == want
-    paths = manifest.select("path")
-    keys = spark.createDataFrame([(3,), (99,), (12345,), (-7,)], "doc_id long").crossJoin(paths)
-    found = token_files.look_up(manifest, folder, keys).collect()
-    assert {r["doc_id"] for r in found} == {3, 99}
+    keys = spark.createDataFrame([(3,), (99,), (12345,), (-7,), (3,), (None,)], "doc_id long")
+    found = {r["doc_id"]: bytes(r["ids"]) for r in token_files.look_up(manifest, folder, keys).collect()}
+    firsts = {i: ids for i, _, ids in reversed(want)}
+    assert found == {i: firsts[i] for i in (3, 99, None)}
+    assert token_files.routed(manifest, keys).count() <= 5  # of six keys and all shards
     empty = token_files.token_folder(spark)
     assert token_files.read_token_files(token_files.write_token_files(none, WORDS, empty), empty).count() == 0
 
@@ -182,12 +183,40 @@ def test_token_files_cut_ids_with_many_rows(spark, word_ids):
     assert Counter((i, ids) for _, i, ids in got) == want
     assert [i for _, i, _ in got] == [i for i, _ in sorted(made, key=lambda r: (r[0] is not None, r[0] or 0))]
     assert [s for s, _, _ in got] == np.cumsum([0, *(len(ids) // 4 for _, _, ids in got)])[:-1].tolist()
-    keys = spark.createDataFrame([(5,), (7,), (None,), (12345,)], "doc_id long").crossJoin(manifest.select("path"))
+    keys = spark.createDataFrame([(5,), (7,), (None,), (12345,)], "doc_id long")
     found = [(r["doc_id"], bytes(r["ids"])) for r in token_files.look_up(manifest, folder, keys).collect()]
     first = {i: ids for _, i, ids in reversed(got)}
     assert sorted(found, key=str) == sorted(((i, first[i]) for i in (5, 7, None)), key=str)
 
 
+def test_a_key_takes_few_bytes(spark, word_ids):
+    made = [(3 * i, f"a text of a few words {i} " * 30) for i in range(500)]
+    folder = token_files.token_folder(spark)
+    manifest = token_files.write_token_files(spark.createDataFrame(made, "doc_id long, text string"), WORDS, folder, docs_per_shard=10**6)
+    (shard,) = manifest.collect()
+    assert (shard["first_id"], shard["last_id"], shard["n_null"], shard["n_docs"]) == (0, 1497, 0, 500)
+    system, base = token_files._file_system(folder)
+    opened = token_files.KeyedShard(system, f"{base}/{shard['path']}")
+    for key in (0, 600, 1497):
+        before = opened.n_read
+        assert opened.get(key).tolist() == [*word_ids(made[key // 3][1]), 1]
+        assert opened.n_read - before <= 4 + 24 + 9 + 2 * 400
+    before = opened.n_read
+    assert [opened.get(key) for key in (1, 601, -3, 10**9, None)] == [None] * 5
+    assert opened.n_read - before <= 5 * 40
+    opened.close()
+
+
+def test_very_long_texts_have_shards_of_their_own(spark, word_ids):
+    made = [(i, "word " * (2000 if i % 5 == 0 else 10)) for i in range(60)]
+    folder = token_files.token_folder(spark)
+    manifest = token_files.write_token_files(spark.createDataFrame(made, "doc_id long, text string"), WORDS, folder, ids_per_shard=1000)
+    shards = manifest.collect()
+    assert max(r["n_ids"] for r in shards) <= 1000 + 2001 and len(shards) >= 12
+    got = {r["doc_id"]: bytes(r["ids"]) for r in token_files.read_token_files(manifest, folder).collect()}
+    assert got == {i: packed([*word_ids(t), 1]) for i, t in made}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 3000])
 def test_hash_is_minimal_and_perfect(n):
     keys = np.random.default_rng(n).choice(10 * n, n, replace=False)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayforge.llm import line_crf, line_dedup, packing, secrets, simhash
+from assayforge.llm import line_crf, line_dedup, near_copies, packing, secrets
 from assayforge.session import new_folder
 
 
@@ -22,7 +22,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.without_near_duplicates(docs)
+    return near_copies.without_near_copies(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

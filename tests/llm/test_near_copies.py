@@ -89,7 +89,9 @@ def test_one_original_with_many_near_copies(spark, monkeypatch):
     assert len(shingles(texts[1]) & shingles(texts[2])) < 0.8 * len(shingles(texts[1]) | shingles(texts[2]))
     texts += [" ".join(rng.choices(VOCABULARY, k=220)) for _ in range(30)]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
-    assert sorted(r["doc_id"] for r in near.without_near_copies(docs).collect()) == [0, *range(401, 431)]
+    kept = {r["doc_id"] for r in near.without_near_copies(docs).collect()}
+    assert {0, *range(401, 431)} <= kept
+    assert len(kept) - 31 <= 0.03 * 400  # far fingerprints; as many with PARTNERS at 400
 
 
 def test_sketch_estimates_similarity():

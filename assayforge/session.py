@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -49,9 +52,37 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or below that of the ``scratch`` block around the call."""
+    base = _scratch.get() or shared_dir(spark).rstrip("/")
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a path that ``new_folder`` named; other paths are refused."""
+    if not path.startswith(f"{shared_dir(spark).rstrip('/')}/"):
+        raise ValueError(f"not below the shared folder: {path}")
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables that operators write between their steps inside the block are removed when it ends, in error too.
+
+    A result has to be written elsewhere, or collected, inside the block: DataFrames are read when they are used.
+    Checkpoints go when Spark's cleaner finds them unused (``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    """
+    folder = new_folder(spark, "scratch")
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        remove_folder(spark, folder)
 
 
 def pinned(df):

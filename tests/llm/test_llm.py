@@ -563,7 +563,8 @@ def test_filter_levels(spark):
     grams = rng.integers(-2**63, 2**63, 4000)
     n = rng.integers(1, 5000, 4000)
     counts = spark.createDataFrame(list(zip(grams.tolist(), n.tolist())), "gram long, n long")
-    model = lm.build_filter(counts)
+    model, rare = lm.build_filter(counts)
+    assert rare is None
     found = model.levels(grams.view(np.uint64))
     want = np.where(n < 2, 0, np.floor(np.log(n + 1e-9) / math.log(lm.BASE)).astype(int) + 1)
     assert (found >= want).all() and (found == want).mean() > 0.97

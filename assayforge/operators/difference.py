@@ -43,8 +43,8 @@ def write_tree(df: DataFrame, path: str, key: Sequence[str], columns: Sequence[s
     branch = F.substring(F.col("branch"), F.lit(1), F.col("level"))
     levels = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).groupBy("level", branch.alias("branch")).agg(
         F.sum("n").alias("n"), F.sum("total").alias("total"))
-    # One task a level: at most 16 / 15 times the leaves in all.
-    levels.repartition("level").sortWithinPartitions("branch").write.mode("overwrite").partitionBy("level").parquet(f"{path}/tree")
+    # By ranges, so that a level with very many branches is written by many tasks.
+    levels.repartitionByRange("level", "branch").sortWithinPartitions("level", "branch").write.mode("overwrite").partitionBy("level").parquet(f"{path}/tree")
 
 
 def _below(branches: Sequence[str] | None) -> Column:

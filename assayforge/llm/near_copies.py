@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from assayforge.llm.batches import document_hash, fresh, map_rows, slices, texts, written
 from assayforge.llm.components import components
-from assayforge.llm.simhash import BLOCK, TILE, fingerprint, near_rows
+from assayforge.llm.simhash import BLOCK, TILE, majority_bits
 
 WORDS = 5  # of the shingles that decide
+FINGERPRINT_WORDS = 3  # of those that make fingerprints: a changed word changes fewer of them
 SIMILARITY = 0.8
-RADIUS = 16  # texts of similarity 0.8 differ in 7 to 10 bits of 64, very seldom in more than 16
-FAR = 11  # bits of difference up to which the tables find a pair with probability FOUND
+FINGERPRINT = 128  # bits: with 64, a few in a thousand unlike texts of one key are within the radius
+RADIUS = 28  # texts of similarity 0.8 differ in 14 to 20 bits of 128, very seldom in more than 28
+FAR = 20  # bits of difference up to which the tables find a pair with probability FOUND
 FOUND = 0.95
 LEAST_BITS = 10  # of a key
 NODES_PER_KEY = 2048  # about so many lie in one key at most: longer keys, and more tables, for more nodes
@@ -34,19 +36,31 @@ SEED = 42
 _MULTIPLIERS = np.random.default_rng(SEED).integers(1, 2**63, SLOTS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_hashes(words: list[bytes], size: int = WORDS) -> np.ndarray:
-    """The different hashes of a text's shingles, ascending; of the whole sequence if it is shorter."""
+def _hashes(words: list[bytes], size: int) -> np.ndarray:
+    """The hashes of a text's shingles in order; of the whole sequence if it is shorter."""
     import xxhash
 
-    joined = b" ".join(words)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if not words:
         return np.zeros(0, np.uint64)
     if len(words) <= size:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[:-size] + 1).tolist()]
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in
-                               zip(starts, ends[size - 1:].tolist(), strict=True)], np.uint64))
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1:].tolist(), strict=True)], np.uint64)
+
+
+def shingle_hashes(words: list[bytes], size: int = WORDS) -> np.ndarray:
+    """The different hashes of a text's shingles, ascending."""
+    return np.unique(_hashes(words, size))
+
+
+def wide_fingerprint(words: list[bytes]) -> tuple[int, int]:
+    """128 bits, each set if it is in over half of the hashes of the three-word shingles: from each hash and a mix of it."""
+    h = _hashes(words, FINGERPRINT_WORDS)
+    x = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return majority_bits(h), majority_bits(x ^ x >> np.uint64(31))
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -58,7 +72,7 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, fp, n_words) of every row; ``node`` is a hash of the words in a row."""
+    """(doc_id, text_hash, node, low, high, n_words) of every row; ``node`` is a hash of the words in a row."""
     own = texts(docs).withColumn("text_hash", document_hash(F.col("text")))
 
     def run(batches) -> Iterator[dict]:
@@ -67,11 +81,11 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             words = [t.encode().lower().split() for t in batch.column(1).to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED + 1) for w in words], np.uint64)
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
+            fps = np.array([wide_fingerprint(w) for w in words], np.uint64).reshape(len(words), 2)
             yield {"doc_id": batch.column(0), "text_hash": batch.column(2), "node": pa.array(node.view(np.int64)),
-                   "fp": pa.array(fps.view(np.int64)), "n_words": pa.array([len(w) for w in words], pa.int64())}
+                   "low": pa.array(fps[:, 0].copy().view(np.int64)), "high": pa.array(fps[:, 1].copy().view(np.int64)), "n_words": pa.array([len(w) for w in words], pa.int64())}
 
-    return map_rows(own, run, "doc_id long, text_hash long, node long, fp long, n_words long")
+    return map_rows(own, run, "doc_id long, text_hash long, node long, low long, high long, n_words long")
 
 
 def sampled_bits(nodes: int) -> list[list[int]]:
@@ -80,27 +94,28 @@ def sampled_bits(nodes: int) -> list[list[int]]:
     As many tables as it takes for a pair that differs in ``FAR`` bits to agree on a key with probability ``FOUND``.
     """
     size = max(LEAST_BITS, math.ceil(math.log2(max(1, nodes) / (8 * NODES_PER_KEY))))  # nodes lie in about 8 bands
-    agree = math.comb(64 - FAR, size) / math.comb(64, size)
+    agree = math.comb(FINGERPRINT - FAR, size) / math.comb(FINGERPRINT, size)
     tables = math.ceil(math.log(1 - FOUND) / math.log(1 - agree))
     rng = np.random.default_rng(SEED)
-    return [sorted(rng.permutation(64)[:size].tolist()) for _ in range(tables)]
+    return [sorted(rng.permutation(FINGERPRINT)[:size].tolist()) for _ in range(tables)]
 
 
 def _keyed(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
-    """(key, node, fp): a line for each table and for both bands that a node's length belongs to."""
+    """(key, node, low, high): a line for each table and for both bands that a node's length belongs to."""
     def run(batches) -> Iterator[dict]:
         for batch in batches:
-            node, fp, n_words = (c.to_numpy() for c in batch.columns)
+            node, low, high, n_words = (c.to_numpy() for c in batch.columns)
             band = np.floor(np.log(np.maximum(n_words, 1)) / BAND).astype(np.int64)
             out = []
             for number, bits in enumerate(tables):
-                value = np.zeros(len(fp), np.int64)
+                value = np.zeros(len(node), np.int64)
                 for place, bit in enumerate(bits):
-                    value |= (fp >> np.int64(bit) & np.int64(1)) << np.int64(place)
+                    value |= ((high if bit >= 64 else low) >> np.int64(bit % 64) & np.int64(1)) << np.int64(place)
                 out += [((band + step) * len(tables) + number << len(bits)) | value for step in (0, 1)]
-            yield {"key": pa.array(np.concatenate(out)), "node": pa.array(np.tile(node, len(out))), "fp": pa.array(np.tile(fp, len(out)))}
+            yield {"key": pa.array(np.concatenate(out))} | {
+                name: pa.array(np.tile(x, len(out))) for name, x in (("node", node), ("low", low), ("high", high))}
 
-    return map_rows(nodes.select("node", "fp", "n_words"), run, "key long, node long, fp long")
+    return map_rows(nodes.select("node", "low", "high", "n_words"), run, "key long, node long, low long, high long")
 
 
 def _grouped(batches, columns: int) -> Iterator[list]:
@@ -133,10 +148,61 @@ def _blocks(key: np.ndarray, chunk: np.ndarray) -> Iterator[tuple[int, int, np.n
         at = end
 
 
-def _near(fps: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
+def near_rows(low: np.ndarray, high: np.ndarray, radius: int) -> np.ndarray:
+    """For every row the rows within the radius, as bits of a vector of 64-bit words.
+
+    The fingerprints lie in 128 bit planes; a row's distances from 64 others are counted at once by carry-save adders,
+    three planes a step, and given up once all 64 are beyond the radius.
+    """
+    n = len(low)
+    width = -(-n // 64)
+    bits = np.zeros((FINGERPRINT, width * 64), np.uint8)
+    for at, half in ((0, low), (64, high)):
+        bits[at:at + 64, :n] = half[None, :] >> np.arange(64, dtype=np.uint64)[:, None] & np.uint64(1)
+    planes = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    every = np.uint64(2**64 - 1)
+    digits = (radius + 1).bit_length()
+    out = np.zeros((n, width), np.uint64)
+
+    def above(count: list[np.ndarray], beyond: np.ndarray) -> np.ndarray:
+        """Which counts are above the radius, digit by digit from the highest."""
+        more, same = beyond.copy(), np.full_like(beyond, every)
+        for k in reversed(range(digits)):
+            if radius >> k & 1:
+                same &= count[k]
+            else:
+                more |= same & count[k]
+                same &= ~count[k]
+        return more
+
+    valid = np.packbits(np.arange(width * 64) < n, bitorder="little").view(np.uint64)
+    for start in range(0, n, BLOCK):
+        rows = range(start, min(n, start + BLOCK))
+        word, row = np.tile(np.arange(width), len(rows)), np.repeat(np.arange(start, start + len(rows)), width)
+        count, beyond = [np.zeros(len(word), np.uint64) for _ in range(digits)], ~valid[word]
+        for bit in range(0, FINGERPRINT, 3):
+            diff = [planes[b, word] ^ (every * bits[b, row].astype(np.uint64)) for b in range(bit, min(FINGERPRINT, bit + 3))]
+            diff += [np.zeros_like(diff[0])] * (3 - len(diff))
+            half = diff[0] ^ diff[1]
+            for level, carry in ((0, half ^ diff[2]), (1, diff[0] & diff[1] | half & diff[2])):
+                for k in range(level, digits):
+                    count[k], carry = count[k] ^ carry, count[k] & carry
+                beyond |= carry  # out of digits: beyond any radius
+            if bit % 12 == 9 and bit > radius:
+                alive = above(count, beyond) != every
+                if not alive.all():
+                    word, row, beyond, count = word[alive], row[alive], beyond[alive], [c[alive] for c in count]
+                    if not len(word):
+                        break
+        if len(word):
+            out[row, word] = ~above(count, beyond)
+    return out
+
+
+def _near(low: np.ndarray, high: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
     """``near_rows`` without rows of other groups and without a row itself, as a bit matrix."""
-    near = near_rows(fps, radius)
-    n = len(fps)
+    near = near_rows(low.view(np.uint64), high.view(np.uint64), radius)
+    n = len(low)
     if group[0] != group[-1]:
         same = np.zeros((n, near.shape[1] * 64), np.uint8)
         same[:, :n] = group[:, None] == group[None, :]
@@ -147,7 +213,7 @@ def _near(fps: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
 
 
 def candidates(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(key, chunk, node, fp) of the nodes that have another within ``radius`` in a group of theirs.
+    """(key, chunk, node, low, high) of the nodes that have another within ``radius`` in a group of theirs.
 
     A key with more than ``TILE`` nodes is cut into chunks, and each pair of chunks is a group.
     """
@@ -157,21 +223,21 @@ def candidates(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.least(own, o) * F.lit(65536) + F.greatest(own, o))
     dealt = keyed.join(large, "key", "left").select(
-        "key", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("chunk"), "node", "fp")
+        "key", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("chunk"), "node", "low", "high")
 
     def run(batches) -> Iterator[dict]:
-        for key, chunk, node, fp in _grouped(batches, 4):
+        for key, chunk, node, low, high in _grouped(batches, 5):
             start = np.r_[True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])]
             group = np.cumsum(start) - 1
             many = np.bincount(group)[group] > 1
-            key, chunk, node, fp = (x[many] for x in (key, chunk, node, fp))
+            key, chunk, node, low, high = (x[many] for x in (key, chunk, node, low, high))
             alive = np.zeros(len(key), bool)
             for a, b, own in _blocks(key, chunk):
-                alive[a:b] = _near(fp[a:b].view(np.uint64), own, radius).any(1)
-            yield {name: pa.array(x[alive]) for name, x in (("key", key), ("chunk", chunk), ("node", node), ("fp", fp))}
+                alive[a:b] = _near(low[a:b], high[a:b], own, radius).any(1)
+            yield {name: pa.array(x[alive]) for name, x in (("key", key), ("chunk", chunk), ("node", node), ("low", low), ("high", high))}
 
     ordered = dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-    return map_rows(ordered, run, "key long, chunk int, node long, fp long")
+    return map_rows(ordered, run, "key long, chunk int, node long, low long, high long")
 
 
 def signed(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -193,11 +259,11 @@ def signed(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 def likely_pairs(alive: DataFrame, signatures: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b), a < b: of every candidate the most alike partners of each group, by the sketch."""
     def run(batches) -> Iterator[dict]:
-        for key, chunk, node, fp, sketches in _grouped(batches, 5):
+        for key, chunk, node, low, high, sketches in _grouped(batches, 6):
             out_a, out_b = [], []
             signs = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(key), SLOTS)
             for start, end, group in _blocks(key, chunk):
-                near = _near(fp[start:end].view(np.uint64), group, radius)
+                near = _near(low[start:end], high[start:end], group, radius)
                 for i in np.flatnonzero(near.any(1)).tolist():
                     found = start + np.flatnonzero(np.unpackbits(near[i].view(np.uint8), bitorder="little"))
                     alike = (signs[found] == signs[start + i]).mean(1)
@@ -208,7 +274,7 @@ def likely_pairs(alive: DataFrame, signatures: DataFrame, radius: int = RADIUS,
                     out_b += np.maximum(node[best], node[start + i]).tolist()
             yield {"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())}
 
-    lines = alive.join(signatures.select("node", "sketch"), "node").select("key", "chunk", "node", "fp", "sketch")
+    lines = alive.join(signatures.select("node", "sketch"), "node").select("key", "chunk", "node", "low", "high", "sketch")
     ordered = lines.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "node")
     return map_rows(ordered, run, "a long, b long").distinct()
 
@@ -225,8 +291,8 @@ def groups(docs: DataFrame, *, similarity: float = SIMILARITY, radius: int = RAD
     """(doc_id, text_hash, node) of every row, and (node, root, place): the node's group, and its first document."""
     rows = written(fingerprinted(docs), "near-rows")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    nodes = written(rows.groupBy("node").agg(F.min(place).alias("place"), F.any_value("fp").alias("fp"),
-                                             F.any_value("n_words").alias("n_words")), "near-nodes")
+    nodes = written(rows.groupBy("node").agg(F.min(place).alias("place"), *[
+        F.any_value(c).alias(c) for c in ("low", "high", "n_words")]), "near-nodes")
     alive = written(candidates(nodes.where("n_words > 0"), radius), "near-candidates")
     signatures = written(signed(docs, nodes, alive.select("node").distinct()), "near-signatures")
     pairs = likely_pairs(alive, signatures, radius, similarity)

@@ -103,6 +103,20 @@ def test_sketch_estimates_similarity():
     assert near.sketch(pool) == near.sketch(pool[::-1]) and len(near.sketch(pool[:0])) == near.SLOTS
 
 
+@pytest.mark.parametrize("radius", [0, 1, 7, 28])
+def test_bit_sliced_distances(radius):
+    rng = np.random.default_rng(radius)
+    fps = rng.integers(0, 2**63, (700, 2)).astype(np.uint64)
+    for i in range(100, 300):  # some near ones
+        fps[i] = fps[i - 100]
+        for bit in rng.integers(0, 128, rng.integers(0, 40)):
+            fps[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    found = near.near_rows(fps[:, 0], fps[:, 1], radius)
+    bits = np.unpackbits(found.view(np.uint8), axis=1, bitorder="little")[:, :700].astype(bool)
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2)
+    assert (bits == (apart <= radius)).all()
+
+
 @pytest.mark.parametrize("nodes", [0, 1000, 10**7, 10**11])
 def test_tables_follow_the_number_of_nodes(nodes):
     tables = near.sampled_bits(nodes)
@@ -111,6 +125,6 @@ def test_tables_follow_the_number_of_nodes(nodes):
     rng = np.random.default_rng(0)
     hits = 0
     for _ in range(300):
-        differ = set(rng.permutation(64)[:near.FAR].tolist())
+        differ = set(rng.permutation(near.FINGERPRINT)[:near.FAR].tolist())
         hits += any(not differ & set(bits) for bits in tables)
     assert hits >= 0.9 * 300

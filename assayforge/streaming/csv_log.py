@@ -12,7 +12,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -29,10 +29,11 @@ def write_batch(df: DataFrame, output: str, query_id: str, batch_id: int) -> Non
         header = spark.createDataFrame([], df.schema).coalesce(1)
         header.write.mode("overwrite").options(**FORMAT).option("header", True).csv(f"{output}/data/000-header")
     folder = f"{query_id}-{batch_id:010d}"
-    seen = Observation()
-    rows = df.observe(seen, F.count(F.lit(1)).alias("n"))
-    rows.write.mode("overwrite").options(**FORMAT).option("header", False).csv(f"{output}/data/{folder}")
-    commit = spark.createDataFrame([(query_id, batch_id, folder, seen.get["n"])], COMMIT)
+    df.write.mode("overwrite").options(**FORMAT).option("header", False).csv(f"{output}/data/{folder}")
+    # Counted in the files; an observation of the rows would leave the session with an object that fitted models,
+    # which hold their session, can't be sent to tasks with.
+    rows = spark.read.schema(df.schema).options(**FORMAT).option("multiLine", True).csv(f"{output}/data/{folder}").count()
+    commit = spark.createDataFrame([(query_id, batch_id, folder, rows)], COMMIT)
     commit.coalesce(1).write.mode("overwrite").json(f"{output}/commits/{folder}")
 
 

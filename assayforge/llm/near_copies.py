@@ -31,7 +31,7 @@ NODES_PER_KEY = 2048  # about so many lie in one key at most: longer keys, and m
 BAND = math.log(1.4)  # lengths of similar texts are at most one band apart
 SLOTS = 256  # of a sketch, a byte each
 SLACK = 0.15  # below the similarity, for the sketch's error
-PARTNERS = 8
+PARTNERS = 2  # of each row in each group, besides those of a spanning forest
 SEED = 42
 _MULTIPLIERS = np.random.default_rng(SEED).integers(1, 2**63, SLOTS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -256,23 +256,45 @@ def signed(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_rows(both, run, "node long, sketch binary, shingles array<long>")
 
 
+def alike_links(near: np.ndarray, signs: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of rows (i < j) that are near and alike by their sketches: a maximum spanning forest, and each row's best ones.
+
+    The forest joins whatever such pairs join, with fewer links than rows; it is grown from row to row, so that what
+    is alike is worked out once for each row and no list of pairs is held.
+    """
+    n = len(near)
+    inside, best, parent = np.zeros(n, bool), np.full(n, -1.0), np.full(n, -1)
+    links: set[tuple[int, int]] = set()
+    for start in np.flatnonzero(near.any(1)).tolist():
+        at = -1 if inside[start] else start
+        while at >= 0:
+            inside[at] = True
+            if parent[at] >= 0:
+                links.add((min(at, int(parent[at])), max(at, int(parent[at]))))
+            found = np.flatnonzero(np.unpackbits(near[at].view(np.uint8), bitorder="little"))
+            alike = (signs[found] == signs[at]).mean(1)
+            found, alike = found[alike >= least], alike[alike >= least]
+            links.update((min(at, j), max(at, j)) for j in found[np.argsort(-alike, kind="stable")[:PARTNERS]].tolist())
+            closer = ~inside[found] & (alike > best[found])
+            best[found[closer]], parent[found[closer]] = alike[closer], at
+            best[at] = -1.0
+            at = int(best.argmax())
+            at = at if best[at] >= 0 else -1
+    return sorted(links)
+
+
 def likely_pairs(alive: DataFrame, signatures: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b), a < b: of every candidate the most alike partners of each group, by the sketch."""
+    """(a, b), a < b: of the candidates of each group the links that join those alike by the sketch."""
     def run(batches) -> Iterator[dict]:
         for key, chunk, node, low, high, sketches in _grouped(batches, 6):
-            out_a, out_b = [], []
+            links = []
             signs = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(key), SLOTS)
             for start, end, group in _blocks(key, chunk):
                 near = _near(low[start:end], high[start:end], group, radius)
-                for i in np.flatnonzero(near.any(1)).tolist():
-                    found = start + np.flatnonzero(np.unpackbits(near[i].view(np.uint8), bitorder="little"))
-                    alike = (signs[found] == signs[start + i]).mean(1)
-                    found = found[alike >= similarity - SLACK]
-                    alike = alike[alike >= similarity - SLACK]
-                    best = found[np.argsort(-alike, kind="stable")[:PARTNERS]]
-                    out_a += np.minimum(node[best], node[start + i]).tolist()
-                    out_b += np.maximum(node[best], node[start + i]).tolist()
-            yield {"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())}
+                links += [(node[start + i], node[start + j]) for i, j in alike_links(near, signs[start:end], similarity - SLACK)]
+            found = np.sort(np.array(links, np.int64).reshape(len(links), 2), axis=1)
+            found = np.unique(found, axis=0)
+            yield {"a": pa.array(found[:, 0].copy()), "b": pa.array(found[:, 1].copy())}
 
     lines = alive.join(signatures.select("node", "sketch"), "node").select("key", "chunk", "node", "low", "high", "sketch")
     ordered = lines.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "node")
@@ -308,7 +330,7 @@ def without_near_copies(docs: DataFrame, *, similarity: float = SIMILARITY, radi
     between words; a shorter text is one shingle) have ``similarity`` in common; groups are what links of near
     copies join. Texts without words are copies of each other. A link is never drawn between less similar texts;
     one between near copies is missed where their fingerprints differ in more than ``radius`` bits or share no key,
-    or where a text has over ``PARTNERS`` more alike partners in all keys that both share. Of several texts with
+    or where the sketches put other links before it in all keys that both share. Of several texts with
     the smallest doc_id, the one with the smallest hash stays, and of rows that repeat doc_id and text, one. Null
     doc_ids come last. No rows give no rows.
     """

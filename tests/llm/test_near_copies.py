@@ -91,7 +91,7 @@ def test_one_original_with_many_near_copies(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
     kept = {r["doc_id"] for r in near.without_near_copies(docs).collect()}
     assert {0, *range(401, 431)} <= kept
-    assert len(kept) - 31 <= 0.03 * 400  # far fingerprints; as many with PARTNERS at 400
+    assert len(kept) - 31 <= 0.03 * 400  # far fingerprints
 
 
 def test_sketch_estimates_similarity():
@@ -103,6 +103,22 @@ def test_sketch_estimates_similarity():
     assert near.sketch(pool) == near.sketch(pool[::-1]) and len(near.sketch(pool[:0])) == near.SLOTS
 
 
+def test_links_join_what_is_alike():
+    rng = np.random.default_rng(4)
+    signs = rng.integers(0, 256, (60, near.SLOTS)).astype(np.uint8)
+    for i in range(60):  # a chain of thirds: each like the one before it
+        if i % 3:
+            signs[i, :200] = signs[i - 1, :200]
+    bits = np.zeros((60, 64), np.uint8)
+    bits[:, :60] = 1 - np.eye(60, dtype=np.uint8)
+    links = near.alike_links(np.packbits(bits, axis=1, bitorder="little").view(np.uint64), signs, 0.6)
+    root = list(range(60))
+    for i, j in links:
+        root = [root[i] if r == root[j] else r for r in root]
+    assert all((root[i] == root[j]) == (i // 3 == j // 3) for i in range(60) for j in range(60))
+    assert len(links) <= 2 * 60
+
+
 @pytest.mark.parametrize("radius", [0, 1, 7, 28])
 def test_bit_sliced_distances(radius):
     rng = np.random.default_rng(radius)

@@ -61,10 +61,10 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of ``docs``: other columns are dropped, a null text is empty."""
+def texts(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, text, more...) of ``docs``: other columns are dropped, a null text is empty."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"),
-                       F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+                       F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *more)
 
 
 def document_hash(text: Column) -> Column:

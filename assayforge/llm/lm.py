@@ -32,6 +32,7 @@ BITS_PER_ENTRY = 12
 PROBES = 5
 HEAD_WORDS = 1 << 20  # bounds the broadcast of exact word counts: 16 MiB
 COUNT_SLICE = 32 * 2**20
+ASKED = 1 << 40  # above all counts: what a slice that only asks for a pair adds to its count
 MASS = 30.0  # weight of the word's own probability in that of a pair
 UNSEEN = 0.5  # count of a word that the filter lacks: seen once or not at all
 
@@ -79,11 +80,19 @@ def pair_grams(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return x ^ x >> _U64(32) | _ONE
 
 
-def gram_counts(docs: DataFrame, lowest: int = LOWEST_LEVEL) -> DataFrame:
+def gram_counts(docs: DataFrame, lowest: int = LOWEST_LEVEL, asked: DataFrame | None = None) -> DataFrame:
     """(gram, n) over all of ``docs``: every word, and the pairs of level ``lowest``, 1 or 2, and above.
 
-    Each slice of texts is counted before anything is shuffled; the sums are Spark's.
+    Each slice of texts is counted before anything is shuffled; the sums are Spark's. Where ``asked`` gives the only
+    other texts that will ask for a count, a pair that ``docs`` have once is kept if one of those has it too: in the
+    text of ``docs`` that has it, it is known to be there.
     """
+    def ask(batches):
+        for batch in slices(batches, most=COUNT_SLICE):
+            grams, index, starts = word_grams(batch.column(1))
+            pairs = np.unique(pair_grams(grams[index], starts[:-1]))
+            yield {"gram": pa.array(pairs.view(np.int64)), "n": pa.array(np.full(len(pairs), ASKED))}
+
     def run(batches):
         for batch in slices(batches, most=COUNT_SLICE):
             grams, index, starts = word_grams(batch.column(1))
@@ -92,8 +101,15 @@ def gram_counts(docs: DataFrame, lowest: int = LOWEST_LEVEL) -> DataFrame:
             yield {"gram": pa.array(np.concatenate([grams, pairs]).view(np.int64)),
                    "n": pa.array(np.concatenate([words, n]))}
 
-    sums = map_rows(texts(docs), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return sums.where((F.col("gram").bitwiseAND(1) == 0) & (F.col("n") > 0) | (F.col("n") >= lowest))
+    rows = map_rows(texts(docs), run, "gram long, n long")
+    if asked is not None:
+        rows = rows.unionAll(map_rows(texts(asked), ask, "gram long, n long"))
+    sums = rows.groupBy("gram").agg(F.sum("n").alias("sum"))
+    counts = sums.select("gram", F.col("sum").bitwiseAND(ASKED - 1).alias("n"), (F.col("sum") >= ASKED).alias("asked"))
+    wanted = F.col("n") >= lowest
+    if asked is not None:
+        wanted = wanted & ((F.col("n") > 1) | F.col("asked"))
+    return counts.where((F.col("gram").bitwiseAND(1) == 0) & (F.col("n") > 0) | wanted).select("gram", "n")
 
 
 @dataclass
@@ -223,20 +239,20 @@ def pair_log(pair: np.ndarray, alone: np.ndarray, before: np.ndarray, mass: floa
 def rare_gains(probes: DataFrame, rare: RareGrams, mass: float) -> DataFrame:
     """(row, gain): what the pairs of ``RareGrams`` add to the scores that were worked out without them.
 
-    ``probes`` are (row, gram, tf, alone, before). They meet the segments of the rare pairs' filter by a shuffle;
+    ``probes`` are (row, gram, tf, alone, before, least), the last being the count that the score has for the pair. They meet the segments of the rare pairs' filter by a shuffle;
     a segment's bits are made once, and its probes stream past them. Only sums of found pairs go on.
     """
     lowest = rare.lowest  # not ``rare`` itself in the tasks: it holds a DataFrame
     segment = (F.shiftrightunsigned("gram", 1) % rare.segments).cast("int").alias("segment")
     blank = lambda kind, name: F.lit(0).cast(kind).alias(name)
     stored = rare.pairs.select(segment, F.lit(0).alias("asks"), "gram", "level", blank("long", "row"), blank("int", "tf"),
-                               blank("float", "alone"), blank("float", "before"))
-    asked = probes.select(segment, F.lit(1).alias("asks"), "gram", blank("int", "level"), "row", "tf", "alone", "before")
+                               blank("float", "alone"), blank("float", "before"), blank("float", "least"))
+    asked = probes.select(segment, F.lit(1).alias("asks"), "gram", blank("int", "level"), "row", "tf", "alone", "before", "least")
 
     def run(batches) -> Iterator[dict]:
         at, bits, top = None, None, lowest
         for batch in batches:
-            segment, asks, gram, level, row, tf, alone, before = (c.to_numpy() for c in batch.columns)
+            segment, asks, gram, level, row, tf, alone, before, least = (c.to_numpy() for c in batch.columns)
             gram = gram.view(_U64)
             rows, gains = [], []
             cuts = np.flatnonzero((np.diff(segment) != 0) | (np.diff(asks) != 0)) + 1
@@ -255,7 +271,7 @@ def rare_gains(probes: DataFrame, rare: RareGrams, mass: float) -> DataFrame:
                     known = np.flatnonzero(count > 0)
                     p, u, n = alone[a:b][known].astype(float), before[a:b][known].astype(float), count[known]
                     rows.append(row[a:b][known])
-                    gains.append(tf[a:b][known] * (pair_log(n, p, u, mass) - pair_log(np.zeros(len(n)), p, u, mass)))
+                    gains.append(tf[a:b][known] * (pair_log(n, p, u, mass) - pair_log(least[a:b][known].astype(float), p, u, mass)))
             if rows:
                 own, place = np.unique(np.concatenate(rows), return_inverse=True)
                 yield {"row": pa.array(own), "gain": pa.array(np.bincount(place, np.concatenate(gains), len(own)))}
@@ -292,7 +308,8 @@ def score(docs: DataFrame, *, folds: int = 10, mass: float = MASS, most_segments
     are not broadcast, so none is left out; words below the broadcast levels, unless they are among the frequent
     ones that travel to the texts, have the mean count of such words in ``score``.
 
-    ``lowest``: 2 leaves out grams that training has once, 1 keeps them.
+    ``lowest``: 2 leaves out grams that training has once, 1 keeps them. A text that was learnt from has each of its pairs
+    at least once, so that of the pairs seen once only those are stored that a held-out text has too: no other is asked for.
 
     Word counts behind base_score are exact: those of frequent words travel to the texts, other words
     of a text are joined with the table of counts. A null text is empty and has the end token alone; a
@@ -300,7 +317,8 @@ def score(docs: DataFrame, *, folds: int = 10, mass: float = MASS, most_segments
     nothing to learn from, every token has count 0. No rows give no rows.
     """
     spark = docs.sparkSession
-    counts = written(gram_counts(docs.where(~held_out(docs["doc_id"], folds)), lowest), "gram-counts")
+    held = held_out(docs["doc_id"], folds)
+    counts = written(gram_counts(docs.where(~held), lowest, docs.where(held) if lowest == 1 else None), "gram-counts")
     words = counts.where(F.col("gram").bitwiseAND(1) == 0)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     scale = total + 0.1 * (distinct + 1)
@@ -327,7 +345,9 @@ def score(docs: DataFrame, *, folds: int = 10, mass: float = MASS, most_segments
             before[first] = len(first) and own_start
             pairs = pair_grams(tokens, first)
             pair = model.counts(pairs)
-            logs = pair_log(pair, alone[index], before, mass)
+            learnt = batch.column(2).to_numpy(zero_copy_only=False) & (lowest == 1)
+            least = np.repeat(learnt.astype(float), np.diff(starts))
+            logs = pair_log(np.maximum(pair, least), alone[index], before, mass)
             rest = np.flatnonzero(~known[index])
             row = np.searchsorted(starts, rest, "right") - 1
             cell, tf = np.unique(row * len(grams) + index[rest], return_counts=True)
@@ -349,23 +369,25 @@ def score(docs: DataFrame, *, folds: int = 10, mass: float = MASS, most_segments
                 out |= {"pair": nested(pairs[at[lead]].view(np.int64), ends),
                         "pair_tf": nested(np.diff(np.append(lead, len(at))).astype(np.int32), ends),
                         "alone": nested(alone[index[at[lead]]].astype(np.float32), ends),
-                        "before": nested(before[at[lead]].astype(np.float32), ends)}
+                        "before": nested(before[at[lead]].astype(np.float32), ends),
+                        "least": nested(least[at[lead]].astype(np.float32), ends)}
             yield out
 
-    n_docs = docs.where(~held_out(docs["doc_id"], folds)).count()
+    n_docs = docs.where(~held).count()
+    marked = texts(docs, (~held).alias("learnt"))
     own_start = float(n_docs)  # START stands before one pair in each training text
     schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<long>, tf array<int>"
     if rare is not None:
-        schema += ", pair array<long>, pair_tf array<int>, alone array<float>, before array<float>"
-    scored = written(map_rows(texts(docs), run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+        schema += ", pair array<long>, pair_tf array<int>, alone array<float>, before array<float>, least array<float>"
+    scored = written(map_rows(marked, run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = scored.select("row", F.explode(F.arrays_zip("rare", "tf")).alias("x")).select("row", "x.rare", "x.tf")
     log = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(scale))
     added = rest.join(words, rest["rare"] == words["gram"], "left").groupBy("row").agg(
         F.sum(F.col("tf") * log).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("seen"))
     score = F.col("score")
     if rare is not None:
-        probes = scored.select("row", F.explode(F.arrays_zip("pair", "pair_tf", "alone", "before")).alias("x")).select(
-            "row", F.col("x.pair").alias("gram"), F.col("x.pair_tf").alias("tf"), "x.alone", "x.before")
+        probes = scored.select("row", F.explode(F.arrays_zip("pair", "pair_tf", "alone", "before", "least")).alias("x")).select(
+            "row", F.col("x.pair").alias("gram"), F.col("x.pair_tf").alias("tf"), "x.alone", "x.before", "x.least")
         scored = scored.join(rare_gains(probes, rare, mass), "row", "left")
         score = score + F.coalesce("gain", F.lit(0.0))
     return scored.join(added, "row", "left").select(

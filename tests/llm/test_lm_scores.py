@@ -136,3 +136,24 @@ def test_nothing_to_score_or_learn_from(spark, rows):
     only = [(i, "a b c") for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
     got = lm.score(spark.createDataFrame(only, SCHEMA), most_segments=1).collect()
     assert len(got) == len(only) and all(math.isfinite(r["score"]) for r in got)
+
+
+def test_the_query_keeps_pairs_seen_once(spark, rows, tmp_path):
+    from assayforge.llm.queries import QUERIES
+
+    spark.createDataFrame(rows, SCHEMA).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in QUERIES["op10_lm_scores"](spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], []).append(r["score"])
+    apart, without = (close(got, rows, brute(rows, None, least)) for least in (1, 2))
+    assert np.median(apart) < 0.005 and apart.mean() < 0.015 and without.mean() > 4 * apart.mean()
+
+
+def test_of_pairs_seen_once_those_that_another_text_asks_for_are_stored(spark, rows):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    held = lm.held_out(docs["doc_id"], 10)
+    every = dict(lm.gram_counts(docs.where(~held), 1).collect())
+    some = dict(lm.gram_counts(docs.where(~held), 1, docs.where(held)).collect())
+    other = dict(lm.gram_counts(docs.where(held), 1).collect())
+    assert some == {g: n for g, n in every.items() if n > 1 or g % 2 == 0 or g in other}
+    assert any(g % 2 and n == 1 for g, n in some.items()) and len(some) < len(every)

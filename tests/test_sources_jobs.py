@@ -162,6 +162,20 @@ def test_molecules_and_preview(spark):
     assert readers.spread_scan(spark.range(100, numPartitions=20)).rdd.getNumPartitions() == 20
 
 
+def test_a_scan_with_empty_splits_is_dealt(spark, tmp_path):
+    path, settings = str(tmp_path / "t"), {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "0"}
+    spark.range(20_000).withColumn("text", F.md5(F.col("id").cast("string"))).coalesce(1).write.parquet(path)
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        scan = spark.read.parquet(path)
+        rows = [len(p) for p in readers.spread_scan(scan).rdd.glom().collect()]
+        assert scan.rdd.getNumPartitions() > 8 and sum(rows) == 20_000 and max(rows) * 8 <= 2 * 20_000
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
 def test_a_large_group_of_copies_is_dealt_over_the_files(spark, tmp_path):
     rows = spark.range(4000).select(
         F.when(F.col("id") < 2000, "CC").otherwise(F.concat(F.lit("C"), "id")).alias("smiles"),

@@ -5,9 +5,10 @@ is quantised to level 1 + floor(log n / log BASE). The filter holds (gram, level
 the lowest kept one up to the gram's own, so a gram's level is found by asking for one level after the
 other until one is missing; a false positive can only raise a level.
 
-The filter is broadcast up to ``MOST_SEGMENTS``. Of a corpus with more entries the frequent grams are broadcast, and
-the pairs below them lie in segments of a second filter that is never in one place: the probes that the first one
-can't answer are sent to the segments.
+``score`` cuts the corpus into slices of texts that are written once. Each slice sends its different grams, packed, to
+bands of grams, together as what it adds to their counts and as a question. A band adds up, makes the segments of the filter that
+hold its grams, asks them and answers each slice, which then scores its texts. So the filter is never in one place,
+and a gram of a slice crosses the network once, its answer once. ``build_filter`` makes the filter in one piece.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ from assayforge.llm.batches import map_rows, slices, texts, written
 BASE = 1.5
 LOWEST_LEVEL = 2  # counts from 2 on; level 1, grams seen once, is four fifths of the pairs and mostly tells copies
 SEGMENT_BITS = 1 << 16
-MOST_SEGMENTS = 6 << 10  # bounds the broadcast: 48 MiB
+MOST_SEGMENTS = 6 << 10  # bounds a filter in one piece: 48 MiB
 BITS_PER_ENTRY = 12
 PROBES = 5
-HEAD_WORDS = 1 << 20  # bounds the broadcast of exact word counts: 16 MiB
 COUNT_SLICE = 32 * 2**20
+SCORE_SLICE = 8 * 2**20
+BAND_GRAMS = 1 << 20  # about as many grams of slices meet in a band, which one task holds
+GRAM_BYTES = 8  # of text for each gram of a slice, as measured
 ASKED = 1 << 40  # above all counts: what a slice that only asks for a pair adds to its count
 MASS = 30.0  # weight of the word's own probability in that of a pair
 UNSEEN = 0.5  # count of a word that the filter lacks: seen once or not at all
@@ -161,51 +164,61 @@ def _level(n: Column) -> Column:
 
 @dataclass
 class RareGrams:
-    """What lies below the levels that are broadcast."""
+    """What lies below the levels of a filter in one piece."""
 
-    pairs: DataFrame  # (gram, level), in the segments of a filter that is not broadcast
+    pairs: DataFrame  # (gram, level)
     lowest: int
     segments: int
-    word_count: float  # mean count of the words there
 
 
-def _marks(gram: np.ndarray, level: np.ndarray, lowest: int) -> np.ndarray:
-    """The bits of a segment that the entries of its grams set, a byte each."""
-    out = np.zeros(SEGMENT_BITS, np.uint8)
+def _marks(gram: np.ndarray, level: np.ndarray, lowest: int, segments: int = 1) -> np.ndarray:
+    """The bits that the entries of grams set in their segments, a byte each."""
+    out = np.zeros(segments * SEGMENT_BITS, np.uint8)
     for j in range(lowest, int(level.max(initial=0)) + 1):
+        own = gram[level >= j]
+        first = _segment(own, segments) * SEGMENT_BITS
         for probe in range(PROBES):
-            out[_bit(gram[level >= j], j, probe)] = 1
+            out[first + _bit(own, j, probe)] = 1
     return out
 
 
+def _segments(have: dict[int, int], lowest: int) -> int:
+    """How many segments the entries of ``have``, grams by level, need from level ``lowest`` on."""
+    entries = sum(n * (level - lowest + 1) for level, n in have.items() if level >= lowest)
+    return max(1, math.ceil(entries * BITS_PER_ENTRY / SEGMENT_BITS))
+
+
+def _lowest(have: dict[int, int], least: int, most_segments: int) -> int:
+    """The lowest level, from ``least`` on, from which ``most_segments`` have room for the entries."""
+    lowest = least
+    while _segments(have, lowest) > most_segments:
+        lowest += 1
+    return lowest
+
+
 def build_filter(counts: DataFrame, most_segments: int = MOST_SEGMENTS, least: int = LOWEST_LEVEL
                  ) -> tuple[LogFrequencyFilter, RareGrams | None]:
-    """The broadcast filter of counts (gram, n), and what it has no room for.
+    """The filter of counts (gram, n) in one piece, and what it has no room for.
 
     The number of segments follows that of entries, at ``BITS_PER_ENTRY``. Where there would be more than
-    ``most_segments``, the filter begins at a higher level; the grams below it are ``RareGrams``, whose segments
-    follow their entries without a bound. The histogram of levels that decides it covers all grams. A segment's
-    bits are made in one task from its own grams, and the driver gets one bit field a broadcast segment.
+    ``most_segments``, the filter begins at a higher level; the pairs below it are ``RareGrams``, with the segments that
+    they would need. The histogram of levels that decides it covers all grams. A segment's
+    bits are made in one task from its own grams, and the driver gets one bit field a segment.
     """
     graded = counts.where(F.col("n") >= least).withColumn("level", _level(F.col("n")))
     is_word = F.col("gram").bitwiseAND(1) == 0
-    seen = graded.groupBy("level", is_word.alias("word")).agg(F.count("*").alias("grams"), F.sum("n").alias("total")).collect()
+    seen = graded.groupBy("level", is_word.alias("word")).agg(F.count("*").alias("grams")).collect()
     have: dict[int, int] = {}
     for r in seen:
         have[r["level"]] = have.get(r["level"], 0) + r["grams"]
-    highest, lowest = max(have, default=least), least
-    entries = lambda low: sum(n * (level - low + 1) for level, n in have.items() if level >= low)
-    while entries(lowest) * BITS_PER_ENTRY > most_segments * SEGMENT_BITS:
-        lowest += 1
-    segments = max(1, math.ceil(entries(lowest) * BITS_PER_ENTRY / SEGMENT_BITS))
+    highest, lowest = max(have, default=least), _lowest(have, least, most_segments)
+    segments = _segments(have, lowest)
     rare = None
     if lowest > least:
         below = [r for r in seen if r["level"] < lowest]
-        words = [r for r in below if r["word"]]
         size = sum(r["grams"] * (r["level"] - least + 1) for r in below if not r["word"])
         rare = RareGrams(graded.where(~is_word & (F.col("level") < lowest)).select("gram", "level"), least,
-                         max(1, math.ceil(size * BITS_PER_ENTRY / SEGMENT_BITS)),
-                         sum(r["total"] for r in words) / max(1, sum(r["grams"] for r in words)))
+                         max(1, math.ceil(size * BITS_PER_ENTRY / SEGMENT_BITS)))
 
     def run(batches) -> Iterator[dict]:
         at, field = None, None
@@ -236,64 +249,154 @@ def pair_log(pair: np.ndarray, alone: np.ndarray, before: np.ndarray, mass: floa
     return np.log10((pair + mass * alone) / (np.maximum(before, pair) + mass))
 
 
-def rare_gains(probes: DataFrame, rare: RareGrams, mass: float) -> DataFrame:
-    """(row, gain): what the pairs of ``RareGrams`` add to the scores that were worked out without them.
+def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The integers between each two ``cuts`` as bytes, first all lowest ones: high bytes are alike and compress away."""
+    width = values.dtype.itemsize
+    planes = values.view(np.uint8).reshape(-1, width)
+    return pa.array([planes[a:b].T.tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+
+
+def _unpacked(packed: list, kind: type) -> np.ndarray:
+    """The integers of ``_packed`` bytes, in a row."""
+    width = np.dtype(kind).itemsize
+    planes = [np.frombuffer(x, np.uint8).reshape(width, -1) for x in packed]
+    if not planes:
+        return np.zeros(0, kind)
+    return np.ascontiguousarray(np.concatenate(planes, axis=1).T).view(kind).ravel()
 
-    ``probes`` are (row, gram, tf, alone, before, least), the last being the count that the score has for the pair. They meet the segments of the rare pairs' filter by a shuffle;
-    a segment's bits are made once, and its probes stream past them. Only sums of found pairs go on.
+
+def sliced(docs: DataFrame, folds: int) -> DataFrame:
+    """(slice, size, learnt, rows): the texts in slices of about ``SCORE_SLICE`` bytes, written out so that they stay.
+
+    ``rows`` are compressed Arrow rows (doc_id, text, learnt), ``learnt`` counts those outside fold 0, ``size`` is of the texts.
     """
-    lowest = rare.lowest  # not ``rare`` itself in the tasks: it holds a DataFrame
-    segment = (F.shiftrightunsigned("gram", 1) % rare.segments).cast("int").alias("segment")
-    blank = lambda kind, name: F.lit(0).cast(kind).alias(name)
-    stored = rare.pairs.select(segment, F.lit(0).alias("asks"), "gram", "level", blank("long", "row"), blank("int", "tf"),
-                               blank("float", "alone"), blank("float", "before"), blank("float", "least"))
-    asked = probes.select(segment, F.lit(1).alias("asks"), "gram", blank("int", "level"), "row", "tf", "alone", "before", "least")
+    def run(batches) -> Iterator[dict]:
+        for batch in slices(batches, most=SCORE_SLICE):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield {"size": [pc.sum(pc.binary_length(batch.column(1))).as_py()], "learnt": [pc.sum(batch.column(2)).as_py()],
+                   "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())}
+
+    marked = texts(docs, (~held_out(docs["doc_id"], folds)).alias("learnt"))
+    rows = map_rows(marked, run, "size long, learnt long, rows binary")
+    return written(rows.withColumn("slice", F.monotonically_increasing_id()), "slices")
+
+
+@dataclass
+class SliceGrams:
+    """The texts of a slice as grams: sorted words and pairs, and which of them each token is."""
+
+    doc_id: pa.Array
+    learnt: np.ndarray
+    starts: np.ndarray  # where texts begin among the tokens, and their end
+    words: np.ndarray
+    word_at: np.ndarray
+    pairs: np.ndarray
+    pair_at: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Scalar) -> SliceGrams:
+        batch = pa.ipc.open_stream(rows.as_buffer()).read_next_batch()
+        grams, index, starts = word_grams(batch.column(1))
+        words, at = np.unique(grams, return_inverse=True)
+        pairs, pair_at = np.unique(pair_grams(grams[index], starts[:-1]), return_inverse=True)
+        return cls(batch.column(0), batch.column(2).to_numpy(zero_copy_only=False), starts, words, at[index], pairs, pair_at)
+
+    def order(self) -> tuple[np.ndarray, np.ndarray]:
+        """All grams, sorted, and where each of the words and then the pairs comes from."""
+        both = np.concatenate([self.words, self.pairs])
+        order = np.argsort(both)
+        return both[order], order
+
+
+def slice_grams(rows: DataFrame, bands: int) -> DataFrame:
+    """(slice, band, grams, adds): of each slice its different grams by their highest bits, packed.
+
+    ``adds`` is twice the count in the texts that are learnt from, odd where a text that is not asks for the gram.
+    """
+    shift = _U64(64 - bands.bit_length() + 1)
 
     def run(batches) -> Iterator[dict]:
-        at, bits, top = None, None, lowest
         for batch in batches:
-            segment, asks, gram, level, row, tf, alone, before, least = (c.to_numpy() for c in batch.columns)
-            gram = gram.view(_U64)
-            rows, gains = [], []
-            cuts = np.flatnonzero((np.diff(segment) != 0) | (np.diff(asks) != 0)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(gram)], strict=True):
+            for name, one in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = SliceGrams.of(one)
+                learnt = np.repeat(own.learnt, np.diff(own.starts))
+                adds = []
+                for grams, at in ((own.words, own.word_at), (own.pairs, own.pair_at)):
+                    asked = np.zeros(len(grams), np.uint32)
+                    asked[at[~learnt]] = 1
+                    adds.append(2 * np.bincount(at[learnt], minlength=len(grams)).astype(np.uint32) + asked)
+                grams, order = own.order()
+                band = (grams >> shift).astype(np.int64) if bands > 1 else np.zeros(len(grams), np.int64)
+                cuts = np.r_[0, np.flatnonzero(np.diff(band)) + 1, len(grams)]
+                yield {"slice": pa.array(np.full(len(cuts) - 1, name)), "band": pa.array(band[cuts[:-1]].astype(np.int32)),
+                       "grams": _packed(grams, cuts), "adds": _packed(np.concatenate(adds)[order], cuts)}
+
+    return map_rows(rows.select("slice", "rows"), run, "slice long, band int, grams binary, adds binary")
+
+
+def _answer(names: list, grams: list, adds: list, least: int) -> tuple[dict, dict]:
+    """What one band answers to its slices, and what its grams are: the histogram of levels, tokens and different words."""
+    sizes = [len(x) // 8 for x in grams]
+    gram, at = np.unique(_unpacked(grams, _U64), return_inverse=True)
+    add = _unpacked(adds, np.uint32)
+    n = np.bincount(at, add >> 1, len(gram)).astype(np.int64)
+    asked = np.bincount(at, add & 1, len(gram)) > 0
+    is_word = gram & _ONE == 0
+    kept = np.flatnonzero((n >= least) & (is_word | (n > 1) | asked))
+    level = np.floor(np.log(n[kept] + 1e-9) / math.log(BASE)).astype(np.int64) + 1
+    have = np.bincount(level)
+    segments = _segments(dict(enumerate(have.tolist())), least)
+    bits = np.packbits(_marks(gram[kept], level, least, segments), bitorder="little").view("<u4")
+    found = LogFrequencyFilter(bits, segments, least, int(level.max(initial=least))).levels(gram).astype(np.uint8)[at]
+    cuts = np.r_[0, np.cumsum(sizes)]
+    word = is_word[at]
+    word_cuts = np.r_[0, np.cumsum(word)][cuts]
+    total = n[is_word]
+    return ({"slice": pa.array(names), "levels": _packed(found, cuts), "counts": _packed(n[at][word], word_cuts)},
+            {"have": [have.tolist()], "tokens": [int(total.sum())], "words": [int((total > 0).sum())]})
+
+
+def band_answers(asked: DataFrame, least: int) -> DataFrame:
+    """(slice, band, levels, counts) for each row of ``slice_grams``, and a row (have, tokens, words) without slice a band.
+
+    ``levels`` come from the band's own segments of the filter, ``counts`` of its words are exact. A pair that training
+    has once is stored if a text that is not learnt from asks for it.
+    """
+    schema = "slice long, band int, levels binary, counts binary, have array<long>, tokens long, words long"
+
+    def run(batches) -> Iterator[dict]:
+        def done() -> Iterator[dict]:
+            to_slices, own = _answer(*(sum(x, []) for x in zip(*kept, strict=True)), least)
+            n = len(to_slices["slice"])
+            blank = lambda kind, size: pa.nulls(size, kind)
+            yield to_slices | {"band": pa.array(np.full(n, at, np.int32)), "have": blank(pa.list_(pa.int64()), n),
+                               "tokens": blank(pa.int64(), n), "words": blank(pa.int64(), n)}
+            yield own | {"slice": blank(pa.int64(), 1), "band": [at], "levels": blank(pa.binary(), 1), "counts": blank(pa.binary(), 1)}
+
+        at, kept = None, []
+        for batch in batches:
+            band = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(band)) + 1).tolist(), len(band)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if segment[a] != at:
-                    at, bits, top = segment[a], None, lowest
-                if not asks[a]:
-                    marks = _marks(gram[a:b], level[a:b], lowest)
-                    bits = marks if bits is None else bits | marks
-                    top = max(top, int(level[a:b].max()))
-                elif bits is not None:
-                    field = np.packbits(bits, bitorder="little").view("<u4")
-                    count = LogFrequencyFilter(field, 1, lowest, top).counts(gram[a:b])
-                    known = np.flatnonzero(count > 0)
-                    p, u, n = alone[a:b][known].astype(float), before[a:b][known].astype(float), count[known]
-                    rows.append(row[a:b][known])
-                    gains.append(tf[a:b][known] * (pair_log(n, p, u, mass) - pair_log(least[a:b][known].astype(float), p, u, mass)))
-            if rows:
-                own, place = np.unique(np.concatenate(rows), return_inverse=True)
-                yield {"row": pa.array(own), "gain": pa.array(np.bincount(place, np.concatenate(gains), len(own)))}
-
-    both = stored.unionByName(asked).repartition("segment").sortWithinPartitions("segment", "asks")
-    return map_rows(both, run, "row long, gain double").groupBy("row").agg(F.sum("gain").alias("gain"))
-
-
-def _head(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent words, whole levels of them up to ``HEAD_WORDS``, sorted by gram, and their counts."""
-    graded = words.withColumn("level", _level(F.col("n")))
-    least, total = 10**9, 0
-    for row in sorted(graded.groupBy("level").count().collect(), key=lambda r: -r["level"]):
-        total += row["count"]
-        if total > HEAD_WORDS:
-            break
-        least = row["level"]
-    head = graded.where(F.col("level") >= least).select("gram", "n").toArrow()
-    gram, n = (head.column(c).to_numpy() for c in ("gram", "n"))
-    gram = gram.view(_U64)
-    order = np.argsort(gram)
-    return np.append(gram[order], _U64(2**64 - 1)), np.append(n[order], 0)
+                if band[a] != at and kept:
+                    yield from done()
+                    kept = []
+                at = int(band[a])
+                kept.append([batch.column(i).slice(a, b - a).to_pylist() for i in (1, 2, 3)])
+        if kept:
+            yield from done()
+
+    placed = asked.select("band", "slice", "grams", "adds").repartition("band").sortWithinPartitions("band")
+    return written(map_rows(placed, run, schema), "answers")
+
+
+def pair_log(pair: np.ndarray, alone: np.ndarray, before: np.ndarray, mass: float) -> np.ndarray:
+    """log10 of the smoothed probability of a word with probability ``alone`` after one with count ``before``."""
+    return np.log10((pair + mass * alone) / (np.maximum(before, pair) + mass))
 
 
 def score(docs: DataFrame, *, folds: int = 10, mass: float = MASS, most_segments: int = MOST_SEGMENTS,
@@ -304,94 +407,61 @@ def score(docs: DataFrame, *, folds: int = 10, mass: float = MASS, most_segments
     training), train_tokens, base_score (exact smoothed word log10 probability), score (log10
     probability by the filter's pairs: (c(uw) + mass P(w)) / (c(u) + mass)).
 
-    Where the filter would have more than ``most_segments`` segments, the rarer pairs are asked for in segments that
-    are not broadcast, so none is left out; words below the broadcast levels, unless they are among the frequent
-    ones that travel to the texts, have the mean count of such words in ``score``.
+    Word counts in ``score`` are the filter's too, of all levels if ``most_segments`` have room for it, else from the
+    level on that they have room for; rarer words then have their exact counts. No pair is left out at any size.
 
     ``lowest``: 2 leaves out grams that training has once, 1 keeps them. A text that was learnt from has each of its pairs
     at least once, so that of the pairs seen once only those are stored that a held-out text has too: no other is asked for.
 
-    Word counts behind base_score are exact: those of frequent words travel to the texts, other words
-    of a text are joined with the table of counts. A null text is empty and has the end token alone; a
+    Word counts behind base_score are exact. A null text is empty and has the end token alone; a
     null doc_id counts as the empty text for the fold; repeated rows are learnt and scored each. With
     nothing to learn from, every token has count 0. No rows give no rows.
     """
-    spark = docs.sparkSession
-    held = held_out(docs["doc_id"], folds)
-    counts = written(gram_counts(docs.where(~held), lowest, docs.where(held) if lowest == 1 else None), "gram-counts")
-    words = counts.where(F.col("gram").bitwiseAND(1) == 0)
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    rows = sliced(docs, folds)
+    size, n_docs = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("learnt"), F.lit(0))).first()
+    bands = 1 << max(0, math.ceil(math.log2(max(1, size) / GRAM_BYTES / BAND_GRAMS)))  # grams are hashes: bands are even
+    answers = band_answers(slice_grams(rows, bands), lowest)
+    of_bands = answers.where(F.col("slice").isNull())
+    total, distinct = of_bands.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    levels = of_bands.select(F.posexplode("have").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
+    filtered = _lowest({r["level"]: r["n"] for r in levels}, lowest, most_segments)
     scale = total + 0.1 * (distinct + 1)
-    model, rare = build_filter(counts, most_segments, lowest)
-    shared = spark.sparkContext.broadcast((model, *_head(words)))
-    rare_count = None if rare is None else rare.word_count
+    highest = max((r["level"] for r in levels), default=lowest)
+    middle = np.array([0.0] * lowest + [expected_count(j) for j in range(lowest, highest + 1)])
+
+    def scored(own: SliceGrams, level: np.ndarray, exact: np.ndarray) -> dict:
+        found = np.empty_like(level)
+        found[own.order()[1]] = level
+        word, pair = found[: len(own.words)], middle[found[len(own.words):]]
+        count = middle[word] if filtered == lowest else np.where(word >= filtered, middle[word], exact)
+        alone = ((np.maximum(count, UNSEEN) + 0.1) / scale)[own.word_at]
+        first, tokens = own.starts[:-1], np.diff(own.starts)
+        before = np.empty(len(own.word_at))
+        before[1:] = count[own.word_at[:-1]]
+        before[first] = float(n_docs)  # START stands before one pair in each training text
+        least = np.repeat(own.learnt & (lowest == 1), tokens).astype(float)
+        logs = pair_log(np.maximum(pair[own.pair_at], least), alone, before, mass)
+        return {"doc_id": own.doc_id, "n_tokens": pa.array(tokens),
+                "n_known": pa.array(np.add.reduceat((exact > 0).astype(np.int64)[own.word_at], first)),
+                "base_score": pa.array(np.add.reduceat(np.log10((exact + 0.1) / scale)[own.word_at], first)),
+                "score": pa.array(np.add.reduceat(logs, first))}
 
     def run(batches) -> Iterator[dict]:
-        model, head, head_n = shared.value
-        for batch in slices(batches):
-            grams, index, starts = word_grams(batch.column(1))
-            first = starts[:-1]
-            place = np.searchsorted(head, grams)
-            known = head[place] == grams
-            exact = np.where(known, head_n[place], 0)
-            base = np.where(known, np.log10((exact + 0.1) / scale), 0.0)
-            own = model.counts(grams)
-            if rare_count is not None:
-                own = np.where(own > 0, own, np.where(known, exact, rare_count))
-            alone = (np.maximum(own, UNSEEN) + 0.1) / scale
-            tokens = grams[index]
-            before = np.empty(len(index))
-            before[1:] = own[index[:-1]]
-            before[first] = len(first) and own_start
-            pairs = pair_grams(tokens, first)
-            pair = model.counts(pairs)
-            learnt = batch.column(2).to_numpy(zero_copy_only=False) & (lowest == 1)
-            least = np.repeat(learnt.astype(float), np.diff(starts))
-            logs = pair_log(np.maximum(pair, least), alone[index], before, mass)
-            rest = np.flatnonzero(~known[index])
-            row = np.searchsorted(starts, rest, "right") - 1
-            cell, tf = np.unique(row * len(grams) + index[rest], return_counts=True)
-            ends = np.searchsorted(cell // max(1, len(grams)), np.arange(len(starts))).astype(np.int32)
-            nested = lambda values, ends: pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-            out = {"doc_id": batch.column(0), "n_tokens": pa.array(np.diff(starts)),
-                   "known": pa.array(np.add.reduceat(known[index].astype(np.int64), first)),
-                   "base": pa.array(np.add.reduceat(base[index], first)),
-                   "score": pa.array(np.add.reduceat(logs, first)),
-                   "rare": nested(grams[cell % max(1, len(grams))].view(np.int64), ends), "tf": nested(tf.astype(np.int32), ends)}
-            if rare_count is not None:
-                open_at = np.flatnonzero(pair == 0)
-                row = np.searchsorted(starts, open_at, "right") - 1
-                order = np.lexsort((pairs[open_at], row))
-                row, at = row[order], open_at[order]
-                new = np.r_[True, (row[1:] != row[:-1]) | (pairs[at][1:] != pairs[at][:-1])] if len(at) else np.zeros(0, bool)
-                lead = np.flatnonzero(new)
-                ends = np.searchsorted(row[lead], np.arange(len(starts))).astype(np.int32)
-                out |= {"pair": nested(pairs[at[lead]].view(np.int64), ends),
-                        "pair_tf": nested(np.diff(np.append(lead, len(at))).astype(np.int32), ends),
-                        "alone": nested(alone[index[at[lead]]].astype(np.float32), ends),
-                        "before": nested(before[at[lead]].astype(np.float32), ends),
-                        "least": nested(least[at[lead]].astype(np.float32), ends)}
-            yield out
-
-    n_docs = docs.where(~held).count()
-    marked = texts(docs, (~held).alias("learnt"))
-    own_start = float(n_docs)  # START stands before one pair in each training text
-    schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<long>, tf array<int>"
-    if rare is not None:
-        schema += ", pair array<long>, pair_tf array<int>, alone array<float>, before array<float>, least array<float>"
-    scored = written(map_rows(marked, run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rest = scored.select("row", F.explode(F.arrays_zip("rare", "tf")).alias("x")).select("row", "x.rare", "x.tf")
-    log = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(scale))
-    added = rest.join(words, rest["rare"] == words["gram"], "left").groupBy("row").agg(
-        F.sum(F.col("tf") * log).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("seen"))
-    score = F.col("score")
-    if rare is not None:
-        probes = scored.select("row", F.explode(F.arrays_zip("pair", "pair_tf", "alone", "before", "least")).alias("x")).select(
-            "row", F.col("x.pair").alias("gram"), F.col("x.pair_tf").alias("tf"), "x.alone", "x.before", "x.least")
-        scored = scored.join(rare_gains(probes, rare, mass), "row", "left")
-        score = score + F.coalesce("gain", F.lit(0.0))
-    return scored.join(added, "row", "left").select(
-        "doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "n_tokens",
-        (F.col("known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), score.alias("score"))
+        level, exact = [], []
+        for batch in batches:
+            whole, levels, counts = (batch.column(i) for i in (1, 2, 3))
+            for i in range(batch.num_rows):  # the answers of all bands, then the slice
+                if whole[i].is_valid:
+                    yield scored(SliceGrams.of(whole[i]), _unpacked(level, np.uint8), _unpacked(exact, np.int64))
+                    level, exact = [], []
+                else:
+                    level.append(levels[i].as_py())
+                    exact.append(counts[i].as_py())
+
+    blank = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    both = answers.where(F.col("slice").isNotNull()).select("slice", "band", blank("binary", "rows"), "levels", "counts").unionByName(
+        rows.select("slice", F.lit(bands).alias("band"), "rows", blank("binary", "levels"), blank("binary", "counts")))
+    both = both.repartition("slice").sortWithinPartitions("slice", "band").select("slice", "rows", "levels", "counts")
+    found = map_rows(both, run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return found.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "n_tokens", "n_known",
+                        F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

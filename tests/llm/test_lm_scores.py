@@ -157,3 +157,36 @@ def test_of_pairs_seen_once_those_that_another_text_asks_for_are_stored(spark, r
     other = dict(lm.gram_counts(docs.where(held), 1).collect())
     assert some == {g: n for g, n in every.items() if n > 1 or g % 2 == 0 or g in other}
     assert any(g % 2 and n == 1 for g, n in some.items()) and len(some) < len(every)
+
+
+@pytest.mark.parametrize("lowest", [1, 2])
+def test_slices_and_bands_make_no_difference(spark, rows, monkeypatch, lowest):
+    monkeypatch.setattr(lm, "SCORE_SLICE", 3000)
+    monkeypatch.setattr(lm, "BAND_GRAMS", 2000)
+    apart = close(by_row(spark, rows, lowest=lowest), rows, brute(rows, None, lowest))
+    assert np.median(apart) < 0.01 and apart.mean() < 0.02
+
+
+def test_a_slice_sends_its_grams_packed_one_row_a_band(spark, rows, monkeypatch):
+    monkeypatch.setattr(lm, "SCORE_SLICE", 20000)
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    cut = lm.sliced(docs, 10)
+    sent = lm.slice_grams(cut, 8).collect()
+    assert cut.count() > 5 and len(sent) == 8 * cut.count() == len({(r["slice"], r["band"]) for r in sent})
+    counts = Counter()
+    for r in sent:
+        grams, adds = lm._unpacked([r["grams"]], np.uint64), lm._unpacked([r["adds"]], np.uint32)
+        assert (np.diff(grams.astype(object)) > 0).all() and (grams >> np.uint64(61) == r["band"]).all() and len(grams) == len(adds)
+        counts.update(dict(zip(grams.view(np.int64).tolist(), (adds >> 1).tolist(), strict=True)))
+    want = dict(lm.gram_counts(docs.where(~lm.held_out(docs["doc_id"], 10)), 1).collect())
+    assert {g: n for g, n in counts.items() if n} == want
+
+
+def test_words_that_training_lacks_count_nothing_past_the_bound(spark, rows):
+    new = [(i, f"unseen{i} other{i}") for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [*rows, *new]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    small, rare = lm.build_filter(lm.gram_counts(docs.where(~lm.held_out(docs["doc_id"], 10))), 1)
+    got, want = by_row(spark, rows, most_segments=1), brute(rows, small.lowest)
+    assert rare is not None and len(new) > 5
+    assert np.median([abs(got[i][0] - w) for (i, _), w in zip(rows[-len(new):], want[-len(new):], strict=True)]) < 1e-9

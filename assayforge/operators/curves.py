@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayforge.functions.names import fresh
 from assayforge.functions.sequences import elements
-from assayforge.operators.ranking import running_sums
+from assayforge.operators.score_steps import mean_precision
 from assayforge.schemas import LABEL_MISSING
 
 THRESHOLDS = 200
@@ -91,21 +91,9 @@ def masked_pr_auc(df: DataFrame, labels: Sequence[str], predictions: Sequence[st
 def average_precision(df: DataFrame, *, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
     """(by..., n, n_positive, average_precision): sum of precision times recall step, ties together.
 
-    Equal scores are counted into one row before any shuffle; the cumulative counts then run over
+    Equal scores are counted together before any shuffle; the cumulative counts then run over
     score ranges, so one label with most of the rows is still spread out.
     """
     one = fresh("_all", df)
-    group = [*by] if by else [one]
-    source = df if by else df.withColumn(one, F.lit(0))
-    value = fresh("_score", group)
-    steps = source.groupBy(*group, F.col(p).alias(value)).agg(
-        F.sum(F.col(y)).cast("long").alias("pos"), F.count("*").alias("n")
-    )
-    summed = running_sums(steps, within=group, order=F.desc(value), amounts=["pos", "n"])
-    total = F.sum("pos")
-    area = F.sum(F.col("pos") * F.col("pos_upto") / F.col("n_upto"))
-    result = summed.groupBy(*group).agg(
-        F.sum("n").alias("n"), total.alias("n_positive"),
-        F.coalesce(F.try_divide(area, total), F.lit(0.0)).alias("average_precision"),
-    )
+    result = mean_precision(df if by else df.withColumn(one, F.lit(0)), y=y, p=p, by=[*by] if by else [one])
     return result if by else result.drop(one)

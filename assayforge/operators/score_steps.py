@@ -21,8 +21,9 @@ from assayforge.functions.names import fresh
 from assayforge.operators.ranking import running_totals
 from assayforge.session import pinned
 
-RUN_ROWS = 1 << 20
-RANGE_ROWS = 1 << 21  # about as many scores of runs meet in a range, which one task merges
+RUN_ROWS = 1 << 18  # rows that a task sorts at once
+RANGE_ROWS = 1 << 19  # about as many scores of runs meet in a range, which one task merges
+RUNS_CUT = 4  # runs of a task that are cut together, so that there are fewer pieces
 SAMPLE_EVERY = 1 << 12
 LAST = np.iinfo(np.int64).max  # null scores come last
 
@@ -43,14 +44,16 @@ def _merged(keys: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    raw = np.concatenate(columns).tobytes()
+    """The columns by places of their bytes: first bytes, second bytes and so on, most of which are alike in sorted scores and counts."""
+    raw = np.concatenate(columns).view(np.uint8).reshape(-1, 8).T.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="lz4", asbytes=True)
 
 
 def _unpack(steps: pa.Scalar) -> list[np.ndarray]:
     packed = steps.as_buffer()
     size = int.from_bytes(packed[:8], "little")
-    return list(np.frombuffer(pa.decompress(packed[8:], size, codec="lz4"), np.int64).reshape(3, -1))
+    raw = np.frombuffer(pa.decompress(packed[8:], size, codec="lz4"), np.uint8)
+    return list(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(3, -1))
 
 
 def _groups(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray | None]]:
@@ -100,6 +103,7 @@ def _runs(df: DataFrame, by: Sequence[str], y: str, p: str, size: str, steps: st
             if held >= RUN_ROWS:
                 yield from emit(kept)
                 kept, held = [], 0
+                pa.default_memory_pool().release_unused()
         if kept:
             yield from emit(kept)
 
@@ -124,19 +128,27 @@ def mean_precision(df: DataFrame, *, y: str, p: str, by: Sequence[str]) -> DataF
     width = len(by)
 
     def cut(whole: bool):
+        def pieces(rows: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+            """What some runs of a group have in each range."""
+            runs = [_unpack(rows.column(width)[i]) for i in at.tolist()]
+            ends = [[0, *np.searchsorted(columns[0], cuts).tolist(), len(columns[0])] for columns in runs]
+            has = [r for r in range(len(cuts) + 1) if any(e[r] < e[r + 1] for e in ends)]
+            if whole:
+                held = ([np.concatenate([c[e[r]:e[r + 1]] for c, e in zip(cs, ends, strict=True)]) for cs in zip(*runs, strict=True)] for r in has)
+                more = [pa.array([_pack(*columns) for columns in held], pa.binary())]
+            else:
+                sums = [[int(sum(columns[i][e[r]:e[r + 1]].sum() for columns, e in zip(runs, ends, strict=True))) for r in has] for i in (1, 2)]
+                more = [pa.array(x, pa.int64()) for x in sums]
+            own = rows.slice(int(at[0]), 1).take(pa.array(np.zeros(len(has), np.int64)))
+            return pa.RecordBatch.from_arrays([*own.columns[:width], pa.array(has, pa.int32()), *more], names=[*by, *names[whole]])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i in range(batch.num_rows):
-                    columns = _unpack(batch.column(width)[i])
-                    ends = [0, *np.searchsorted(columns[0], cuts).tolist(), len(columns[0])]
-                    has = [(r, a, b) for r, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b]
-                    if whole:
-                        more = [pa.array([_pack(*[c[a:b] for c in columns]) for _, a, b in has], pa.binary())]
-                    else:
-                        more = [pa.array([int(c[a:b].sum()) for _, a, b in has], pa.int64()) for c in columns[1:]]
-                    own = batch.slice(i, 1).take(pa.array(np.zeros(len(has), np.int64)))
-                    yield pa.RecordBatch.from_arrays(
-                        [*own.columns[:width], pa.array([r for r, *_ in has], pa.int32()), *more], names=[*by, *names[whole]])
+                for _, at in _groups(batch, width):
+                    at = np.arange(batch.num_rows) if at is None else at
+                    for a in range(0, len(at), RUNS_CUT):
+                        yield pieces(batch, at[a:a + RUNS_CUT])
+            pa.default_memory_pool().release_unused()
 
         names = {True: [part, steps], False: [part, pos, n]}
         kinds = {part: IntegerType(), **({steps: BinaryType()} if whole else {pos: LongType(), n: LongType()})}

@@ -71,3 +71,25 @@ def test_no_rows_and_columns_of_the_same_names(spark, small):
     named = spark.createDataFrame([("x", i % 2, i / 100) for i in range(100)], "_area string, y int, p double")
     got = curves.average_precision(named, by=["_area"]).first()
     assert got["average_precision"] == pytest.approx(brute([(i % 2, i / 100) for i in range(100)])[2], abs=1e-12)
+
+
+def test_what_a_task_sorts_at_once_is_bounded_and_packed_small(spark):
+    rows = spark.range(0, 900_000, 1, 1).select(
+        F.lit(0).alias("g"), (F.col("id") % 2).alias("y"), (F.pmod(F.xxhash64("id"), F.lit(2**32)) / 2**32).alias("p"))
+    runs = score_steps._runs(rows, ["g"], "y", "p", "size", "steps").select("size", F.octet_length("steps").alias("bytes")).collect()
+    assert sum(r["size"] for r in runs) > 899_000 and max(r["size"] for r in runs) <= 300_000
+    assert all(r["bytes"] < 7 * r["size"] for r in runs)
+
+
+def test_runs_of_a_task_are_cut_together(spark, small, monkeypatch):
+    monkeypatch.setattr(score_steps, "RUNS_CUT", 3)
+    held = [("ab"[i % 3 == 0], i % 2, i * 7919 % 109 / 109) for i in range(1200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = curves.average_precision(spark.createDataFrame(held, "g string, y int, p double").coalesce(1), by=["g"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r["g"] for r in got) == ["a", "b"]
+    for r in got:
+        n, pos, ap = brute([(y, p) for g, y, p in held if g == r["g"]])
+        assert (r["n"], r["n_positive"]) == (n, pos) and r["average_precision"] == pytest.approx(ap, abs=1e-12)

@@ -176,6 +176,20 @@ def test_a_scan_with_empty_splits_is_dealt(spark, tmp_path):
             spark.conf.unset(key)
 
 
+def test_an_uneven_scan_is_spread_without_a_shuffle(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5_000).withColumn("text", F.md5(F.col("id").cast("string"))).coalesce(1).write.parquet(path)
+    scan = spark.read.parquet(path).where("id % 5 > 0").select("text")
+    spread = readers.spread_scan(scan)
+    assert "Exchange" not in spread._jdf.queryExecution().executedPlan().toString() and spread.columns == ["text"]
+    parts = [len(p) for p in spread.rdd.glom().collect()]
+    assert sum(n > 0 for n in parts) >= 8 and max(parts) * 8 <= 2 * 4_000
+    assert sorted(r[0] for r in spread.collect()) == sorted(r[0] for r in scan.collect())
+    for other in (scan.distinct(), spark.read.parquet(path).selectExpr("struct(id AS row_index) AS _metadata")):
+        assert sorted(map(str, readers.spread_scan(other).collect())) == sorted(map(str, other.collect()))
+    assert readers.spread_scan(spark.read.parquet(path).where("id < 0")).collect() == []
+
+
 def test_a_large_group_of_copies_is_dealt_over_the_files(spark, tmp_path):
     rows = spark.range(4000).select(
         F.when(F.col("id") < 2000, "CC").otherwise(F.concat(F.lit("C"), "id")).alias("smiles"),

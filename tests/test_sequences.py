@@ -87,6 +87,21 @@ def test_join_encoding_keeps_copies(spark):
     assert [r["ids"] for r in vocabulary.encode_by_join(df, "tokens", vocab).collect()] == [[2, 3]] * 40
 
 
+def test_join_encoding_writes_packed_rows(spark, monkeypatch):
+    monkeypatch.setattr(vocabulary, "PACKED_ITEMS", 500)
+    rows = [(i, None if i % 50 == 0 else [f"token-{(i * j) % 97}" for j in range(i % 90)], [(str(i), i)], i / 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, Tokens array<string>, more array<struct<a: string, b: int>>, x double").coalesce(2)
+    vocab = spark.createDataFrame([(f"token-{i}", 2 + i) for i in range(60)], "token string, token_id int")
+    written, keep = [], vocabulary.pinned
+    monkeypatch.setattr(vocabulary, "pinned", lambda held: (written.append(keep(held)), written[-1])[1])
+    got = sorted((r["k"], r["Tokens"], [tuple(m) for m in r["more"]], r["x"], r["Tokens2"])
+                 for r in vocabulary.encode_by_join(df, "tokens", vocab, "Tokens2").collect())
+    known = {f"token-{i}": 2 + i for i in range(60)}
+    assert got == [(*r, r[1] and [known.get(x, 1) for x in r[1]] if r[1] is not None else None) for r in rows]
+    sizes = [len(r[0]) for r in written[0].collect()]
+    assert len(sizes) > 10 and sum(sizes) < 150_000  # as rows the tokens alone take 24 bytes each, over 300,000
+
+
 @pytest.fixture(scope="module")
 def masked(spark):
     ids = F.concat(F.transform(F.sequence(F.lit(1), F.lit(90)), lambda i: (i % 41 + 2).cast("int")),
